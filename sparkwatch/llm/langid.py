@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
@@ -92,7 +92,6 @@ def fit(grams: dict[str, tuple[np.ndarray, np.ndarray]], symbols: int = 96, cell
     symbol = np.zeros(256, np.int64)
     symbol[common] = np.arange(1, len(common) + 1)
     size = len(common) + 1
-    tables: dict[int, np.ndarray] = {}
     totals = np.zeros(size**3)
     split = {}
     for lang, (code, n) in grams.items():
@@ -123,7 +122,6 @@ def fit(grams: dict[str, tuple[np.ndarray, np.ndarray]], symbols: int = 96, cell
         use = where >= 0
         count = np.bincount(where[use] * size + s[3][use], n[use], len(deep) * size).reshape(len(deep), size)
         bits[size * size :, :, k] = -np.log2(shorter(count, p2[deep % (size * size)]))
-    tables.clear()
     return Model(langs, symbol, row, bits)
 
 
@@ -139,6 +137,20 @@ def train(docs: DataFrame, per_language: int = 1500) -> Model:
     return fit({lang: (g.gram.to_numpy(np.int64), g.n.to_numpy(np.float64)) for lang, g in counts.groupby("lang")})
 
 
+def _predictions(model: Model, text: pa.Array, letter: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    n = len(text)
+    if not model.langs or not n:
+        return pa.array([UNDETERMINED] * n, pa.string()), np.zeros(n)
+    length = np.concatenate(list(model.lengths(text)))
+    score = 1 / np.exp2(np.clip(length.min(axis=1, keepdims=True) - length, -1000, 0)).sum(axis=1)
+    names = [model.langs[k] if ok else UNDETERMINED for k, ok in zip(length.argmin(axis=1), letter, strict=True)]
+    return pa.array(names, pa.string()), np.where(letter, score, 0.0)
+
+
+def _letter() -> Column:
+    return F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letter")
+
+
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score: of each row. A null text, or one without a letter, is `und` with score 0; so is any text if nothing was learned.
 
@@ -147,18 +159,23 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by `cells`
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
         for b in batches:
-            letter = b.column(2).to_numpy(zero_copy_only=False)
-            if not model.langs or not b.num_rows:
-                best, score = np.zeros(b.num_rows, int), np.zeros(b.num_rows)
-                letter = np.zeros(b.num_rows, bool)
-            else:
-                length = np.concatenate(list(model.lengths(b.column(1))))
-                best = length.argmin(axis=1)
-                score = 1 / np.exp2(np.clip(length.min(axis=1, keepdims=True) - length, -1000, 0)).sum(axis=1)
-            names = [model.langs[k] if ok else UNDETERMINED for k, ok in zip(best, letter, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(np.where(letter, score, 0.0))], ["doc_id", "lang_pred", "score"])
-
-    letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letter")
-    return docs.select("doc_id", "text", letter).mapInArrow(work, "doc_id long, lang_pred string, score double")
+            names, score = _predictions(shared.value, b.column(1), b.column(2).to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([b.column(0), names, pa.array(score)], ["doc_id", "lang_pred", "score"])
+
+    return docs.select("doc_id", "text", _letter()).mapInArrow(work, "doc_id long, lang_pred string, score double")
+
+
+def relabel(docs: DataFrame, model: Model) -> DataFrame:
+    """Rows of docs whose language can be told, all columns, with the prediction as lang (a string column of docs)."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    schema, names = docs.schema, docs.columns
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            letter = b.column(len(names)).to_numpy(zero_copy_only=False)
+            found, _ = _predictions(shared.value, b.column(names.index("text")), letter)
+            rows = pa.RecordBatch.from_arrays([found if n == "lang" else b.column(i) for i, n in enumerate(names)], names)
+            yield rows.filter(pc.not_equal(found, UNDETERMINED))
+
+    return docs.select("*", _letter().alias("__letter")).mapInArrow(work, schema)
