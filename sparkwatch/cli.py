@@ -33,7 +33,7 @@ def _arguments(argv: list[str] | None) -> argparse.Namespace:
 
 def _gate(spark: SparkSession, rules: list, events, policy: GatePolicy):  # type: ignore[no-untyped-def]
     """Fixtures and corpus of each rule in one table, a hit or not."""
-    from .plans.compile import rule_column
+    from .plans.compile import hit_column
 
     parts = None
     for r in rules:
@@ -41,7 +41,7 @@ def _gate(spark: SparkSession, rules: list, events, policy: GatePolicy):  # type
         own = spark.createDataFrame(cases, "rule_id string, kind string, idx long, event map<string,string>")
         corpus = events.select(F.lit(r.key).alias("rule_id"), F.lit("corpus").alias("kind"), F.col("event_idx").alias("idx"), "event")
         both = own.unionByName(corpus)
-        part = both.select("rule_id", "kind", "idx", rule_column(both, r, document="event").alias("hit"))
+        part = both.select("rule_id", "kind", "idx", hit_column(both, r, document="event").alias("hit"))
         parts = part if parts is None else parts.unionByName(part)
     return gate.evaluate(parts, policy)
 

@@ -72,13 +72,13 @@ def cross_validate(table: DataFrame, names: list[str], label: str = "label", fol
     spark = table.sparkSession
     data = table.withColumn("__fold", F.pmod(F.xxhash64("rule_id", F.lit(seed)), F.lit(folds))).withColumn("__y", F.col(label).cast("double"))
     assemble, scale = VectorAssembler(inputCols=names, outputCol="__raw"), StandardScaler(inputCol="__raw", outputCol="__x")
-    models = {"logistic": LogisticRegression(featuresCol="__x", labelCol="__y", regParam=0.01, probabilityCol="__p"), "boosted": GBTClassifier(featuresCol="__x", labelCol="__y", maxIter=20, maxDepth=3, seed=seed, probabilityCol="__p")}
+    models = {"logistic": LogisticRegression(featuresCol="__x", labelCol="__y", regParam=0.01), "boosted": GBTClassifier(featuresCol="__x", labelCol="__y", maxIter=20, maxDepth=3, seed=seed)}
     rows = []
     for name, model in models.items():
         held = None
         for k in range(folds):
             fitted = Pipeline(stages=[assemble, scale, model]).fit(data.filter(F.col("__fold") != k))
-            part = fitted.transform(data.filter(F.col("__fold") == k)).select("rule_id", "__y", vector_to_array("__p")[1].alias("score"))
+            part = fitted.transform(data.filter(F.col("__fold") == k)).select("rule_id", "__y", vector_to_array("probability")[1].alias("score"))
             held = part if held is None else held.unionByName(part)
         rows.append((name, held))
     if "level" in names:

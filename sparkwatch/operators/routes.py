@@ -137,7 +137,7 @@ def candidates(events: DataFrame, routes: DataFrame) -> DataFrame:
     parts = [
         events.join(exact, (F.col("__channel") == F.col("__c")) & (F.col("__eid") == F.col("__e"))),
         events.join(wide, F.col("__channel") == F.col("__c")),
-        events.filter(~F.col("__channel").isin(*NOT_WINDOWS)).withColumn("__any", F.lit(ANY)).join(anywhere, F.col("__any") == F.col("__c")).drop("__any"),
+        events.withColumn("__any", F.when(~F.col("__channel").isin(*NOT_WINDOWS), ANY)).join(anywhere, F.col("__any") == F.col("__c")).drop("__any"),
     ]
     out = parts[0]
     for p in parts[1:]:

@@ -1,6 +1,7 @@
-"""Rules as predicates: two-valued SQL expressions that Catalyst plans, or the oracle's engine runs.
+"""Rules as predicates: SQL expressions that Catalyst plans, or the oracle's engine runs.
 
-Every leaf is wrapped so that a missing field makes it false, never NULL: `not` of it is then true.
+A missing field makes a leaf NULL, which a filter treats as false and AND and OR carry along as such; only where a rule
+negates is NULL made false first, so that `not` of it is true. Leaves stay bare, so filters reach the files' statistics.
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ def _or(parts: list[str]) -> str:
     return "(" + " OR ".join(parts) + ")" if len(parts) > 1 else parts[0] if parts else "FALSE"
 
 
-def _total(sql: str) -> str:
-    return f"coalesce({sql}, FALSE)"
+def _not(sql: str) -> str:
+    return f"(NOT coalesce({sql}, FALSE))"
 
 
 class Compiler:
@@ -98,24 +99,24 @@ class Compiler:
         how = next((m for m in lit.STRING if m in mods), "eq")
         flags = "".join(f for f in "ims" if f in mods)
         if "re" in mods:
-            return lambda a: _total(self._regex(self._text(a), str(value), flags))
+            return lambda a: self._regex(self._text(a), str(value), flags)
         if value is None:
             return lambda a: f"({a.sql} IS NULL)" if a.kind in ("number", "boolean") else f"({a.sql} IS NULL OR {a.sql} = '')"
         if "cidr" in mods:
-            return lambda a: _total(self._cidr(self._text(a), str(value)))
+            return lambda a: self._cidr(self._text(a), str(value))
         if compare := next((m for m in mods if m in lit.COMPARE), None):
             sign = {"lt": "<", "lte": "<=", "gt": ">", "gte": ">="}[compare]
             try:
                 bound = float(value) if not isinstance(value, str) else float(int(value, 0)) if re.fullmatch(r"0[xXbBoO]\w+", value) else float(value)
             except (TypeError, ValueError):
                 return lambda a: "FALSE"
-            return lambda a: _total(f"{self._number(a)} {sign} {bound!r}")
+            return lambda a: f"{self._number(a)} {sign} {bound!r}"
         if isinstance(value, bool):
-            return lambda a: _total(f"{a.sql} = {str(value).upper()}" if a.kind == "boolean" else f"lower({self._text(a)}) IN ('{str(value).lower()}', '{int(value)}')")
+            return lambda a: f"{a.sql} = {str(value).upper()}" if a.kind == "boolean" else f"lower({self._text(a)}) IN ('{str(value).lower()}', '{int(value)}')"
         if isinstance(value, (int, float)) and how == "eq" and not encodings:
-            return lambda a: _total(f"{a.sql} = {value!r}" if a.kind == "number" else f"trim({self._text(a)}) = {d.text(str(value))}" if a.kind != "boolean" else f"cast({a.sql} as int) = {value!r}")
+            return lambda a: f"{a.sql} = {value!r}" if a.kind == "number" else f"trim({self._text(a)}) = {d.text(str(value))}" if a.kind != "boolean" else f"cast({a.sql} as int) = {value!r}"
         values = lit.expand(str(value), encodings) if encodings else [str(value)]
-        return lambda a: _total(self._words(self._text(a), values, how, "cased" in mods))
+        return lambda a: self._words(self._text(a), values, how, "cased" in mods)
 
     def _checks(self, values: list[Any], mods: list[str]) -> list[Callable[[Operand], str]]:
         """A predicate for each value, or one for all plain texts of an OR list."""
@@ -126,7 +127,7 @@ class Compiler:
         encodings = [m for m in mods if m in lit.ENCODING]
         how = next((m for m in lit.STRING if m in mods), "eq")
         every = [x for v in simple for x in (lit.expand(v, encodings) if encodings else [v])]
-        grouped = lambda a: _total(self._words(self._text(a), every, how, "cased" in mods))
+        grouped = lambda a: self._words(self._text(a), every, how, "cased" in mods)
         return [grouped, *(self._value(v, mods) for v in values if not isinstance(v, str))]
 
     # selections
@@ -143,17 +144,17 @@ class Compiler:
             return f"({a.sql} IS {'NOT ' if values[0] else ''}NULL)"
         if "fieldref" in mods:
             refs = [self.fields(str(v)) for v in values]
-            parts = [_total(f"lower({self._text(a)}) = lower(coalesce({self._text(r)}, 'none'))") for r in refs]
+            parts = [f"lower({self._text(a)}) = lower(coalesce({self._text(r)}, 'none'))" for r in refs]
             return _and(parts) if "all" in mods else _or(parts)
         checks = self._checks(values, mods)
         if a.array:
             empty = f"({a.sql} IS NULL OR {self.d.size(a.sql)} = 0)"
             missing = Operand("cast(null as string)" if self.d.spark else "cast(null as varchar)", "null")
-            parts = [f"CASE WHEN {empty} THEN {c(missing)} ELSE {_total(self.d.any_of(a.sql, c(a.each())))} END" for c in checks]
+            parts = [f"CASE WHEN {empty} THEN {c(missing)} ELSE {self.d.any_of(a.sql, c(a.each()))} END" for c in checks]
         else:
             parts = [c(a) for c in checks]
         sql = _and(parts) if "all" in mods else _or(parts)
-        return f"(NOT {sql})" if "neq" in mods else sql
+        return _not(sql) if "neq" in mods else sql
 
     def _blob(self) -> str:
         parts = []
@@ -169,7 +170,7 @@ class Compiler:
         """A word anywhere among an event's values, in any case."""
         encodings = [m for m in mods or [] if m in lit.ENCODING]
         values = lit.expand(str(value), encodings) if encodings else [str(value)]
-        return _total(self._words(self._blob(), values, "contains", False))
+        return self._words(self._blob(), values, "contains", False)
 
     def _map(self, selection: dict[str, Any]) -> str:
         if not selection:
@@ -199,7 +200,7 @@ class Compiler:
         if kind == "sel":
             return of[rest[0]]
         if kind == "not":
-            return f"(NOT {self._node(rest[0], of)})"
+            return _not(self._node(rest[0], of))
         if kind in ("any", "all"):
             parts = [of[n] for n in rest[0]]
         else:
@@ -221,13 +222,18 @@ def rule_sql(rule: Rule, schema, dialect: str = "spark", **fields: Any) -> str:
 
 
 def rule_column(df: DataFrame, rule: Rule, **fields: Any) -> Column:
-    """A rule as a predicate over df."""
+    """A rule as a predicate over df, for filters (NULL counts as false)."""
     from ..functions.network import register
 
     register(df.sparkSession)
     return F.expr(rule_sql(rule, df.schema, **fields))
 
 
+def hit_column(df: DataFrame, rule: Rule, **fields: Any) -> Column:
+    """A rule as a boolean that is never NULL."""
+    return F.coalesce(rule_column(df, rule, **fields), F.lit(False))
+
+
 def selection_column(df: DataFrame, selection: Any, **fields: Any) -> Column:
     """One selection (a map, a list or a keyword) as a predicate over df."""
     return rule_column(df, Rule(detection={"s": selection, "condition": "s"}), **fields)

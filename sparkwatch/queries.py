@@ -15,7 +15,7 @@ from .functions import stats
 from .functions.dialect import Fields
 from .model import GatePolicy, LogSource, Rule
 from .operators import coverage, decay, draft, features, gate, lint, routes, scan
-from .plans.compile import rule_column, selection_column
+from .plans.compile import hit_column, rule_column, selection_column
 from .sources import logs
 from .sources.rules import CATALOG_SCHEMA, rules_table
 
@@ -268,7 +268,7 @@ def gate_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as cases of five rules: errors should fire, signups should not, the rest is the corpus; not routed."""
     df = telemetry(spark, sf_dir)
-    tests = F.array(*[F.struct(F.lit(r.key).alias("rule_id"), rule_column(df, r).alias("hit")) for r in library_rules()])
+    tests = F.array(*[F.struct(F.lit(r.key).alias("rule_id"), hit_column(df, r).alias("hit")) for r in library_rules()])
     kind = F.when(F.col("event_type") == "error", "tp").when(F.col("event_type") == "signup", "tn").otherwise("corpus")
     return df.select(kind.alias("kind"), F.col("event_id").alias("idx"), F.explode(tests).alias("t")).select("t.*", "kind", "idx")
 
