@@ -85,6 +85,7 @@ class Model:
 def fit(grams: dict[str, tuple[np.ndarray, np.ndarray]], symbols: int = 96, cells: int = 10_000_000) -> Model:
     """Freezes the trees. `symbols` bounds the bytes told apart, `cells` the table: contexts of three bytes seen most often have rows."""
     langs = sorted(grams)
+    symbols = min(symbols, int((cells / max(1, len(langs))) ** (1 / 3)))  # many languages tell fewer bytes apart
     seen = np.zeros(256)
     for code, n in grams.values():
         seen += np.bincount(code & 255, n, 256)
@@ -99,7 +100,7 @@ def fit(grams: dict[str, tuple[np.ndarray, np.ndarray]], symbols: int = 96, cell
         split[lang] = (s, n)
         totals += np.bincount((s[0] * size + s[1]) * size + s[2], n, size**3)
     deep = np.flatnonzero(totals >= 2)
-    deep = deep[np.argsort(-totals[deep], kind="stable")][: max(0, cells // (size * len(langs)) - size * size)]
+    deep = deep[np.argsort(-totals[deep], kind="stable")][: max(0, cells // (size * max(1, len(langs))) - size * size)]
     row = np.arange(size**3) % (size * size)
     row[deep] = size * size + np.arange(len(deep))
     bits = np.empty((size * size + len(deep), size, len(langs)), np.float32)
