@@ -115,7 +115,7 @@ def sel_cidr_v4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sel_cidr_v6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users and event ids as IPv6 addresses, those in a network of 16 hosts."""
     df = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("2001:db8::"), F.hex("user_id")).alias("ip"))
-    return df.filter(selection_column(df, {"ip|cidr": "2001:db8::10/124"}))
+    return df.filter(selection_column(df, {"ip|cidr": "2001:db8::/124"}))
 
 
 @query("SELECT d.doc_id FROM documents d LEFT JOIN labels l USING (doc_id) WHERE l.quality IS NULL")
@@ -136,11 +136,11 @@ def sel_multivalue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.filter(selection_column(df, {"words": ["steel", "RED"], "words|startswith": "b"})).select("p_partkey")
 
 
-def encoded(name: str, key: str, value: str, made: Column, sql: str, where: str) -> None:
+def encoded(name: str, key: str, value: str, made: Callable[[], Column], sql: str, where: str) -> None:
     """Documents with an encoded literal put behind a third of their sources, found again by the rule's encoding."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.coalesce("source", F.lit("")), F.when(F.col("doc_id") % 3 == 0, made).otherwise("")).alias("line"))
+        df = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.coalesce("source", F.lit("")), F.when(F.col("doc_id") % 3 == 0, made()).otherwise("")).alias("line"))
         return df.filter(selection_column(df, {key: value})).select("doc_id")
 
     run.__name__ = name
@@ -148,10 +148,10 @@ def encoded(name: str, key: str, value: str, made: Column, sql: str, where: str)
     _oracle[name] = f"SELECT doc_id FROM (SELECT doc_id, coalesce(source, '') || CASE WHEN doc_id % 3 = 0 THEN {sql} ELSE '' END AS line FROM documents) t WHERE {where}"
 
 
-encoded("enc_windash", "line|windash|contains", " -enc", F.lit(" /enc x"), "' /enc x'", "contains(line, ' /enc') OR contains(line, ' -enc')")
-encoded("enc_base64", "line|base64|cased|contains", "foobar", F.base64(F.lit("foobar").cast("binary")), "base64('foobar'::BLOB)", "contains(line, 'Zm9vYmFy')")
-encoded("enc_base64offset", "line|base64offset|cased|contains", "foobar", F.base64(F.concat(F.substring("source", 1, 2), F.lit("foobar!")).cast("binary")), "base64((substring(source, 1, 2) || 'foobar!')::BLOB)", "contains(line, 'Zm9vYmFy') OR contains(line, 'Zvb2Jhc') OR contains(line, 'mb29iYX')")
-encoded("enc_wide", "line|wide|contains", "ab", F.lit("a\0b\0"), "'a' || chr(0) || 'b' || chr(0)", "contains(line, 'a' || chr(0) || 'b' || chr(0))")
+encoded("enc_windash", "line|windash|contains", " -enc", lambda: F.lit(" /enc x"), "' /enc x'", "contains(line, ' /enc') OR contains(line, ' -enc')")
+encoded("enc_base64", "line|base64|cased|contains", "foobar", lambda: F.base64(F.lit("foobar").cast("binary")), "base64('foobar'::BLOB)", "contains(line, 'Zm9vYmFy')")
+encoded("enc_base64offset", "line|base64offset|cased|contains", "foobar", lambda: F.base64(F.concat(F.substring("source", 1, 2), F.lit("foobar!")).cast("binary")), "base64((substring(source, 1, 2) || 'foobar!')::BLOB)", "contains(line, 'Zm9vYmFy') OR contains(line, 'Zvb2Jhc') OR contains(line, 'mb29iYX')")
+encoded("enc_wide", "line|wide|contains", "ab", lambda: F.lit("a\0b\0"), "'a' || chr(0) || 'b' || chr(0)", "contains(line, 'a' || chr(0) || 'b' || chr(0))")
 
 # routes and scans
 
