@@ -10,17 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkwatch.llm import decontaminate, langid, minhash, packing, pii
-from sparkwatch.llm.common import materialize, table
+from sparkwatch.llm.common import materialize, small, table
 from sparkwatch.llm.queries import PII_KEY, tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of docs by the ids that a stage keeps."""
-    return docs.select(*COLUMNS).join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
-
-
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told go on with it as their lang; a null text or one without a letter is rejected."""
     return langid.relabel(docs.select(*COLUMNS), langid.train(docs))
@@ -28,13 +23,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: the one with the smallest doc_id."""
-    return _keep(docs, materialize(minhash.near_duplicates(docs).filter("kept"), "kept"))
+    copies = materialize(minhash.near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct(), "copies")
+    return docs.select(*COLUMNS).join(small(copies, copies.count()), "doc_id", "left_anti").select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark window go."""
     found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
-    return _keep(docs, found.filter(~F.col("contaminated")))
+    return docs.select(*COLUMNS).join(found.filter(~F.col("contaminated")).select("doc_id").distinct(), "doc_id", "left_semi")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
