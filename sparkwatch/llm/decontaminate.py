@@ -167,6 +167,23 @@ def _counted(docs: DataFrame, known: Windows) -> dict[int, int]:
     return {r["shingle"] & (2**64 - 1): r["n"] for r in rows.toLocalIterator()}
 
 
+def _clean_shared(docs: DataFrame, known: Windows) -> DataFrame:
+    """Rows of docs that hold no window, as they are read."""
+    known.order(_counted(docs, known))
+    shared = docs.sparkSession.sparkContext.broadcast(known)  # of a checked size
+    at = docs.columns.index("text")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            clean = np.ones(b.num_rows, bool)
+            for i, _, h, first in _word_blocks(b.column(at)):
+                _, start = shared.value.matches(h, first)
+                clean[i + np.searchsorted(first, start, "right") - 1] = False
+            yield b.filter(pa.array(clean))
+
+    return docs.mapInArrow(work, docs.schema)
+
+
 def _match_shared(docs: DataFrame, known: Windows) -> DataFrame:
     known.order(_counted(docs, known))
     shared = docs.sparkSession.sparkContext.broadcast(known)  # of a checked size
@@ -236,6 +253,15 @@ def _match_shuffled(docs: DataFrame, found: DataFrame, width: int, size: int, bl
     return left.cogroup(right).applyInArrow(verify, _SCHEMA)
 
 
+def _known(items: DataFrame, width: int, size: int, most_words: int) -> tuple[DataFrame, Windows | None]:
+    """The items' windows as a table, and as they go to tasks if they have at most `most_words` words."""
+    found = materialize(windows(items.filter("item_id is not null"), width), "windows")
+    if (found.agg(F.sum(F.octet_length("words"))).first()[0] or 0) / 8 > most_words:
+        return found, None
+    grouped = found.groupBy("words").agg(F.sort_array(F.collect_set("item_id")).alias("items")).orderBy("words").collect()
+    return found, Windows([np.frombuffer(bytes(r["words"]), np.uint64) for r in grouped], [list(r["items"]) for r in grouped], size)
+
+
 def contamination(docs: DataFrame, items: DataFrame, width: int = 10, size: int = 3, most_words: int = 4_000_000, block_rows: int = 2000) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
@@ -243,9 +269,14 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = 10, size: int
     is clean; so is every document if there are no items. Items that repeat count by their distinct ids; an item without
     words matches nothing. Up to `most_words` words in all windows are sent to every task, more are joined by shuffles.
     """
-    found = materialize(windows(items.filter("item_id is not null"), width), "windows")
-    if (found.agg(F.sum(F.octet_length("words"))).first()[0] or 0) / 8 > most_words:
-        return _match_shuffled(docs, found, width, size, block_rows)
-    grouped = found.groupBy("words").agg(F.sort_array(F.collect_set("item_id")).alias("items")).orderBy("words").collect()
-    known = Windows([np.frombuffer(bytes(r["words"]), np.uint64) for r in grouped], [list(r["items"]) for r in grouped], size)
-    return _match_shared(docs, known)
+    found, known = _known(items, width, size, most_words)
+    return _match_shared(docs, known) if known else _match_shuffled(docs, found, width, size, block_rows)
+
+
+def clean(docs: DataFrame, items: DataFrame, width: int = 10, size: int = 3, most_words: int = 4_000_000, block_rows: int = 2000) -> DataFrame:
+    """Rows of docs, all columns, that `contamination` calls clean. While the items are few no document is shuffled."""
+    found, known = _known(items, width, size, most_words)
+    if known:
+        return _clean_shared(docs, known)
+    dirty = _match_shuffled(docs, found, width, size, block_rows).filter("contaminated").select("doc_id").distinct()
+    return docs.join(dirty, "doc_id", "left_anti").select(*docs.columns)
