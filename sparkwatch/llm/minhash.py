@@ -25,6 +25,8 @@ from .common import materialize, small
 from .components import components
 
 HASHES, TREES, DEPTH = 128, 16, 4
+#: From so many copies a group is hot: there are few such groups for each million documents.
+HOT_COPIES = 200
 PER_TREE = HASHES // TREES
 _rng = np.random.default_rng(20240229)
 _MUL = _rng.integers(1, 1 << 32, HASHES, np.uint32) | np.uint32(1)
@@ -151,7 +153,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, width: int =
     empty table gives an empty result.
     """
     sigs = materialize(signatures(docs, k), "signatures")
-    classes = sigs.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("id"))
+    classes = sigs.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"))
     nodes = sigs.filter("cls is not null").groupBy("cls").agg(F.min(F.struct("doc_id", "n", "sig")).alias("x")).select(F.col("x.doc_id").alias("id"), "x.n", "x.sig")
     forest = materialize(_forest(nodes), "forest")
     pairs = materialize(_neighbours(forest, width, percent).groupBy("a", "b").agg(F.count("*").alias("trees")), "pairs")
@@ -191,7 +193,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, width: int =
         links = links.unionByName(new)
         comp = materialize(components(links), "components")
 
-    member = classes.join(comp, "id", "left").select("cls", F.coalesce("component", "id").alias("component"))
-    out = sigs.select("doc_id", "n", "cls").join(member, "cls", "left")
+    # large groups of copies find their component through a broadcast (of a checked size), the others in a shuffle
+    member = materialize(classes.join(comp, "id", "left").select("cls", F.coalesce("component", "id").alias("component"), "copies"), "members")
+    hot = member.filter(f"copies > {HOT_COPIES}").select("cls", "component")
+    hot = small(hot, hot.count())
+    ids = sigs.select("doc_id", "n", "cls")
+    cold = ids.join(hot, "cls", "left_anti").join(member.filter(f"copies <= {HOT_COPIES}").select("cls", "component"), "cls", "left")
+    out = ids.join(hot, "cls").unionByName(cold)
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
