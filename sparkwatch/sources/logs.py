@@ -11,7 +11,7 @@ import io
 import json
 import tarfile
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -33,10 +33,19 @@ def _without(m: Column, names: tuple[str, ...]) -> Column:
     return F.map_filter(m, lambda k, v: ~k.isin(*names))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluates value once for each row, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _over(m: Column, new: Column) -> Column:
+    """Both maps together; where they share a key the second counts."""
+    return _let(new, lambda n: F.map_concat(F.map_filter(m, lambda k, v: ~F.map_contains_key(n, k)), n))
+
+
 def _put(m: Column, **fields: Column) -> Column:
     """The map with these fields, in place of those of the same names; null ones are left out."""
-    new = F.map_filter(F.create_map(*[x for k, v in fields.items() for x in (F.lit(k), v.cast("string"))]), lambda k, v: v.isNotNull())
-    return F.map_concat(F.map_filter(m, lambda k, v: ~F.array_contains(F.map_keys(new), k)), new)
+    return _over(m, F.map_filter(F.create_map(*[x for k, v in fields.items() for x in (F.lit(k), v.cast("string"))]), lambda k, v: v.isNotNull()))
 
 
 def _parsed(text: Column) -> Column:
@@ -48,19 +57,26 @@ def _unwrapped(m: Column) -> Column:
     return F.transform_values(_without(m, ("#attributes",)), lambda k, v: F.coalesce(F.when(v.startswith("{"), F.get_json_object(v, "$['#text']")), v))
 
 
-def flatten_evtx(doc: Column) -> Column:
-    """System, EventData and UserData of an event in EVTX's JSON form, as flat fields."""
-    at = lambda path: F.get_json_object(doc, "$.Event." + path)
-    data = F.coalesce(_unwrapped(F.from_json(at("EventData"), _MAP)), F.create_map().cast(_MAP))
-    user = F.from_json(at("UserData"), _MAP)
-    inner = F.coalesce(_unwrapped(F.from_json(F.element_at(F.map_values(user), 1), _MAP)), F.create_map().cast(_MAP))
-    fields = F.map_concat(_without_of(data, inner), inner)
-    eid = F.coalesce(at("System.EventID['#text']"), at("System.EventID"))
-    return _put(fields, Channel=at("System.Channel"), EventID=eid, Computer=at("System.Computer"), Provider_Name=at("System.Provider['#attributes'].Name"), TimeCreated=at("System.TimeCreated['#attributes'].SystemTime"), UserID=at("System.Security['#attributes'].UserID"))
+def _object(text: Column) -> Column:
+    return F.coalesce(F.from_json(text, _MAP), F.create_map().cast(_MAP))
+
+
+def flatten_evtx(event: Column) -> Column:
+    """System, EventData and UserData (as JSON, by key) of an event in EVTX's JSON form, as flat fields."""
+    part = lambda k: F.try_element_at(event, F.lit(k))
+    inner = lambda u: _unwrapped(_object(F.get(F.map_values(u), F.lit(0))))
+    fields = _over(_unwrapped(_object(part("EventData"))), _let(_object(part("UserData")), inner))
 
+    def named(system: Column) -> Column:
+        get = lambda k: F.try_element_at(system, F.lit(k))
+        attribute = lambda k, a: F.get_json_object(get(k), f"$['#attributes'].{a}")
+        eid = F.coalesce(F.when(get("EventID").startswith("{"), F.get_json_object(get("EventID"), "$['#text']")), get("EventID"))
+        return F.create_map(*[x for k, v in {
+            "Channel": get("Channel"), "EventID": eid, "Computer": get("Computer"), "Provider_Name": attribute("Provider", "Name"),
+            "TimeCreated": attribute("TimeCreated", "SystemTime"), "UserID": attribute("Security", "UserID"),
+        }.items() for x in (F.lit(k), v)])
 
-def _without_of(m: Column, other: Column) -> Column:
-    return F.map_filter(m, lambda k, v: ~F.array_contains(F.map_keys(other), k))
+    return _over(fields, F.map_filter(_let(_object(part("System")), named), lambda k, v: v.isNotNull()))
 
 
 def flatten_flat(m: Column) -> Column:
@@ -112,25 +128,33 @@ def auditd(line: Column) -> Column:
 
 def normalised(doc: Column) -> Column:
     """A JSON object in any of the known forms, as an event's fields; null for what is no object."""
-    m = _parsed(doc)
-    has = lambda k: F.map_contains_key(m, k)
-    wrapped = F.try_element_at(m, F.lit("SyslogMessage"))
-    return (
-        F.when(m.isNull(), None)
-        .when(has("eventSource") & has("eventName"), cloudtrail(m))
-        .when(has("SyslogMessage"), F.coalesce(sysmon_xml(wrapped), auditd(wrapped)))
-        .when(F.coalesce(F.try_element_at(m, F.lit("Event")).startswith("{"), F.lit(False)), flatten_evtx(doc))
-        .when(has("Hostname") | has("SourceName") | has("@timestamp"), flatten_flat(m))
-        .otherwise(m)
-    )
+
+    def known(m: Column) -> Column:
+        has = lambda k: F.map_contains_key(m, k)
+        wrapped = F.try_element_at(m, F.lit("SyslogMessage"))
+        event = F.try_element_at(m, F.lit("Event"))
+        return (
+            F.when(m.isNull(), None)
+            .when(has("eventSource") & has("eventName"), cloudtrail(m))
+            .when(has("SyslogMessage"), F.coalesce(sysmon_xml(wrapped), auditd(wrapped)))
+            .when(F.coalesce(event.startswith("{"), F.lit(False)), _let(_object(event), flatten_evtx))
+            .when(has("Hostname") | has("SourceName") | has("@timestamp"), flatten_flat(m))
+            .otherwise(m)
+        )
+
+    return _let(_parsed(doc), known)
 
 
 def aliased(m: Column) -> Column:
     """Fields of Security 4688 and Defender events under the names that rules use too."""
-    get = lambda k: F.try_element_at(m, F.lit(k))
-    channel = F.lower(F.coalesce(get("Channel"), F.lit("")))
-    add = lambda names: _put(m, **{new: F.coalesce(get(new), get(old)) for old, new in names.items()})
-    return F.when((channel == SECURITY) & (get("EventID") == "4688"), add(ALIASES_4688)).when(channel == DEFENDER, add(ALIASES_DEFENDER)).otherwise(m)
+
+    def named(m: Column) -> Column:
+        get = lambda k: F.try_element_at(m, F.lit(k))
+        channel = F.lower(F.coalesce(get("Channel"), F.lit("")))
+        add = lambda names: _put(m, **{new: F.coalesce(get(new), get(old)) for old, new in names.items()})
+        return F.when((channel == SECURITY) & (get("EventID") == "4688"), add(ALIASES_4688)).when(channel == DEFENDER, add(ALIASES_DEFENDER)).otherwise(m)
+
+    return _let(m, named)
 
 
 def numbered(lines: DataFrame) -> DataFrame:
