@@ -78,7 +78,7 @@ def _sliced(cells: np.ndarray, bits: int, chunks: int) -> np.ndarray:
     return np.append(np.searchsorted(cells, starts), len(cells))
 
 
-def remove_repeats(docs: DataFrame, width: int = 20, depth: int = 2, load: int = 8, block_bytes: int = 16 << 20, chunk_windows: int = 1 << 21) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 20, depth: int = 2, load: int = 8, block_bytes: int = 8 << 20, chunk_windows: int = 1 << 21) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_removed, kept_sha256 (of the words kept, joined by one space).
 
     Words are runs of anything but ASCII white space, unchanged. A word goes if a window that covers it starts earlier
@@ -89,7 +89,7 @@ def remove_repeats(docs: DataFrame, width: int = 20, depth: int = 2, load: int =
     return _clean(docs, width, depth, load, block_bytes, chunk_windows, False)
 
 
-def kept_texts(docs: DataFrame, width: int = 20, depth: int = 2, load: int = 8, block_bytes: int = 16 << 20, chunk_windows: int = 1 << 21) -> DataFrame:
+def kept_texts(docs: DataFrame, width: int = 20, depth: int = 2, load: int = 8, block_bytes: int = 8 << 20, chunk_windows: int = 1 << 21) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words kept, joined by one space) of each row; see remove_repeats."""
     return _clean(docs, width, depth, load, block_bytes, chunk_windows, True)
 
