@@ -144,7 +144,7 @@ def _named(forest: DataFrame, comp: DataFrame) -> DataFrame:
     return forest.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, width: int = 4, hub_rounds: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, width: int = 4, hubs: int = 32, rounds: int = 3) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept.
 
     Words are ASCII-lower-cased runs of anything but ASCII white space; a text of fewer than k words is one shingle; a
@@ -177,19 +177,23 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, width: int =
     comp = materialize(components(links), "components")
     tried = best.select("a", "b").unionByName(rest)
 
-    # last the hubs of dense regions that hold more than one component
-    for _ in range(hub_rounds):
+    # last the hubs of dense regions, for the documents there that are not in the largest hub's component
+    for _ in range(rounds):
         degree = links.select(F.explode(F.array("u", "v")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
         dense = _named(forest.filter(f"size > {width + 1}"), comp).join(degree, "id", "left").select("region", "id", "n", "component", F.coalesce("degree", F.lit(0)).alias("degree"))
-        hubs = dense.groupBy("region").agg(F.max(F.struct("degree", (-F.col("id")).alias("hub"), F.col("n").alias("hub_n"), F.col("component").alias("hub_c"))).alias("h"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("region", (-F.col("h.hub")).alias("hub"), "h.hub_n", "h.hub_c")
-        star = dense.join(hubs, "region").filter(f"component <> hub_c and 100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+        rank = F.row_number().over(Window.partitionBy("region").orderBy(F.desc("degree"), "id"))
+        top = dense.withColumn("rank", rank).filter(f"rank <= {hubs}").groupBy("region").agg(F.array_sort(F.collect_list(F.struct("rank", F.col("id").alias("hub"), "n", "component"))).alias("tops"))
+        apart = dense.join(top, "region").filter(F.col("component") != F.col("tops")[0]["component"])
+        fits = F.filter("tops", lambda h: (h["component"] != F.col("component")) & (100 * F.least(F.col("n"), h["n"]) >= percent * F.greatest(F.col("n"), h["n"])))
+        known = apart.select("id", F.transform(fits, lambda h: h["hub"]).alias("fits")).groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("fits"))).alias("fits"))  # at most hubs * TREES of each document
+        star = known.select("id", F.explode("fits").alias("hub")).select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
         star = materialize(star.join(tried, ["a", "b"], "left_anti"), "star")
         if star.isEmpty():
             break
         new = materialize(_confirm(star, sets, percent), "confirmed")
         tried = tried.unionByName(star)
         if new.isEmpty():
-            continue
+            break
         links = links.unionByName(new)
         comp = materialize(components(links), "components")
 
