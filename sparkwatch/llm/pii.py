@@ -184,15 +184,14 @@ def entities(text: str) -> list[tuple[int, int, str]]:
     """Spans of a text that are personal data, in order and apart, with their kinds. Where two kinds overlap the first of PATTERNS has it."""
     found: list[tuple[int, int, str]] = []
     digits = _DIGIT.search(text) is not None
-    if digits or "@" in text or "=" in text:
-        free = text  # claimed spans are blanked for the kinds that follow
-        for kind, pattern, worth in PATTERNS:
-            if (digits or kind in ("email", "secret")) and worth(text):
-                for m in pattern.finditer(free):
-                    s, e = m.span(1) if kind == "secret" and m.lastindex else m.span()
-                    if kind != "phone" or sum(c.isdigit() for c in m[0]) >= 7:
-                        found.append((s, e, kind))
-                        free = free[:s] + "\0" * (e - s) + free[e:]
+    free = text  # claimed spans are blanked for the kinds that follow
+    for kind, pattern, worth in PATTERNS:
+        if (digits or kind in ("email", "secret")) and worth(text):  # all other kinds hold a digit
+            for m in pattern.finditer(free):
+                s, e = m.span(1) if kind == "secret" and m.lastindex else m.span()
+                if kind != "phone" or sum(c.isdigit() for c in m[0]) >= 7:
+                    found.append((s, e, kind))
+                    free = free[:s] + "\0" * (e - s) + free[e:]
     for m in _PERSON.finditer(text) if next(_named().iter(text), None) else ():
         for part in ("a", "b", "given", "last"):
             s, e = m.span(part)

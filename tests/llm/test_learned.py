@@ -112,6 +112,13 @@ def test_surrogates_of_one_entity_agree():
     assert pii.entities("plain prose of 12 words, version 1.2.3 on 2024-01-05 12:30") == []
 
 
+@pytest.mark.parametrize("text", ["password: correcthorsebattery", "the api_key: SecretTokenValue is set", "a hash " + "abcdef" * 6 + " here"])
+def test_secrets_in_texts_without_digits(text):
+    (s, e, kind), = pii.entities(text)
+    new, _ = pii.replace(pii._cipher("key"), text)
+    assert kind == "secret" and text[s:e] not in new and new[:s] == text[:s] and new[e:] == text[e:]
+
+
 def test_pseudonymize(spark, docs, empty):
     extra = docs.withColumn("kinds", F.lit("old")).withColumn("text", F.when(F.col("doc_id") % 2 == 0, F.concat("text", F.lit(" a@b.example.com"))).otherwise(F.col("text")))
     out = pii.pseudonymize(extra, "key")
