@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from math import isqrt
@@ -48,9 +49,19 @@ PATTERNS: list[tuple[str, re.Pattern, Callable[[str], bool]]] = [
     ("ssn", re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"), lambda t: "-" in t),
 ]
 _DIGIT = re.compile(r"\d")
-_PERSON = re.compile(rf"\b(?:(?P<title>{_titles})\.? )(?P<a>{_NAME})(?: (?P<b>{_NAME}))?|\b(?P<given>{'|'.join(_GIVEN_OF)}) (?P<last>{_NAME})")
+_GAP = r"(?:[^\S\r\n]+|[^\S\r\n]*\r?\n[^\S\r\n]*)"  # blanks, or one line end
+_PERSON = re.compile(rf"\b(?:(?P<title>{_titles})\.?{_GAP})(?P<a>{_NAME})(?:{_GAP}(?P<b>{_NAME}))?|\b(?P<given>{'|'.join(_GIVEN_OF)}){_GAP}(?P<last>{_NAME})")
+_MENTION = re.compile(rf"(?<![^\W_]){_NAME}(?![^\W_])")
+_PART = re.compile(r"[^\W\d_]+")
+_TAIL = re.compile(r"(?:['’]s|['’-]+)$")  # a genitive or a mark after a name, not part of it
+#: Capitalized at the start of a line or sentence, but nobody's name: not taken over a line end, and not searched for again.
+_FUNCTION_WORDS = frozenset(
+    "The This That These Those And But Or He She It They We You His Her Its Their Our My In On At By For From To Of With As If When Then There Here Is Was Are Were Not No So "
+    "Der Die Das Ein Eine Und Aber Er Sie Es Wir Ich Le La Les Un Une Et Il Elle Ils Elles Nous Vous El Los Las Una Y Pero Él Ella Ellos Он Она Они Мы Вы Это И Но В На".split()
+)
 
-_NAMED = (*(f"{t} " for v in TITLES.values() for t in v), *(f"{t}. " for v in TITLES.values() for t in v), *(f"{n} " for n in _GIVEN_OF))
+_BLANKS = [c for c in map(chr, range(0x3001)) if c.isspace()]
+_NAMED = tuple(f"{x}{c}" for x in (*(t + dot for v in TITLES.values() for t in v for dot in ("", ".")), *_GIVEN_OF) for c in _BLANKS)
 
 
 @lru_cache
@@ -180,8 +191,25 @@ def _person(cipher: Cipher, name: str) -> str:
     return _given(cipher, name) if name in _GIVEN_OF else surrogate(cipher, "name", name)
 
 
+def _is_name(text: str, m: re.Match, part: str) -> bool:
+    """Whether the match of a part begins in upper case and, over a line end, isn't a function word."""
+    s = m.start(part)
+    over = s > 0 and (gap := re.search(r"\s*$", text[max(0, s - 64) : s])) is not None and "\n" in gap[0]
+    return text[s].isupper() and not (over and m[part] in _FUNCTION_WORDS)
+
+
+def _overlaps(spans: list[tuple[int, int, str]], s: int, e: int) -> bool:
+    """Whether one of these sorted spans, which are apart, overlaps [s, e)."""
+    i = bisect_left(spans, (e,))
+    return i > 0 and spans[i - 1][1] > s
+
+
 def entities(text: str) -> list[tuple[int, int, str]]:
-    """Spans of a text that are personal data, in order and apart, with their kinds. Where two kinds overlap the first of PATTERNS has it."""
+    """Spans of a text that are personal data, in order and apart, with their kinds. Where two kinds overlap the first of PATTERNS has it.
+
+    People are found by a title or listed given name before their name, on one line or over a line end; then all their
+    names are found wherever the text repeats them as whole words in the same case.
+    """
     found: list[tuple[int, int, str]] = []
     digits = _DIGIT.search(text) is not None
     free = text  # claimed spans are blanked for the kinds that follow
@@ -192,13 +220,26 @@ def entities(text: str) -> list[tuple[int, int, str]]:
                 if kind != "phone" or sum(c.isdigit() for c in m[0]) >= 7:
                     found.append((s, e, kind))
                     free = free[:s] + "\0" * (e - s) + free[e:]
+    names: set[str] = set()
+    people: list[tuple[int, int, str]] = []
+    apart = sorted(found)
     for m in _PERSON.finditer(text) if next(_named().iter(text), None) else ():
         for part in ("a", "b", "given", "last"):
             s, e = m.span(part)
-            if s >= 0 and text[s].isupper() and (part != "last" or text[m.start("last")].isupper()) and not any(s < y and x < e for x, y, _ in found):
-                if part == "given" and not text[m.start("last")].isupper():
-                    break
-                found.append((s, e, "name"))
+            if s < 0 or not _is_name(text, m, "last" if part == "given" else part):
+                continue
+            e -= len(tail[0]) if (tail := _TAIL.search(m[part])) else 0
+            if not _overlaps(apart, s, e):
+                people.append((s, e, "name"))
+                names.add(text[s:e])
+    names -= _FUNCTION_WORDS
+    if names:  # again for all who were named, wherever they stand without title or given name
+        apart = sorted(found + people)
+        for m in _MENTION.finditer(text):
+            for s, e in [m.span()] if m[0] in names else [(m.start() + p.start(), m.start() + p.end()) for p in _PART.finditer(m[0])]:
+                if text[s:e] in names and not _overlaps(apart, s, e):
+                    people.append((s, e, "name"))
+    found += people
     return sorted(found)
 
 

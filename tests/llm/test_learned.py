@@ -119,6 +119,24 @@ def test_secrets_in_texts_without_digits(text):
     assert kind == "secret" and text[s:e] not in new and new[:s] == text[:s] and new[e:] == text[e:]
 
 
+@pytest.mark.parametrize(
+    "text, again",
+    [
+        ("Mr Schmidt called. Later Schmidt left.", ["Schmidt"] * 2),
+        ("Karlsson? Sarah Karlsson wrote. Karlsson and Sarah agreed.", ["Karlsson", "Sarah", "Karlsson", "Karlsson", "Sarah"]),
+        ("Frau Schmidt's car; Schmidt’s house, Schmidt-Huber, Schmidts, schmidt", ["Schmidt"] * 3),
+        ("Sarah\nKarlsson and Mrs.\r\n  Weber met. Weber left.", ["Sarah", "Karlsson", "Weber", "Weber"]),
+        ("Mr Schmidt\nThe day was long. The end.", ["Schmidt"]),
+    ],
+)
+def test_bare_mentions_of_a_person(text, again):
+    assert [text[s:e] for s, e, _ in pii.entities(text)] == again
+    c = pii._cipher("key")
+    new, seen = pii.replace(c, text)
+    assert len(seen) == len(again) and not any(re.search(rf"\b{n}\b", new) for n in again)
+    assert all(pii._person(c, n) in new for n in again) and len({o for _, o, _ in seen}) == len({s for _, _, s in seen}) == len(set(again))
+
+
 def test_pseudonymize(spark, docs, empty):
     extra = docs.withColumn("kinds", F.lit("old")).withColumn("text", F.when(F.col("doc_id") % 2 == 0, F.concat("text", F.lit(" a@b.example.com"))).otherwise(F.col("text")))
     out = pii.pseudonymize(extra, "key")
