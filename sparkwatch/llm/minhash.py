@@ -4,10 +4,13 @@ Each document's set of five-word shingles gets a signature of 128 minimum hashes
 the signatures by its 8 hashes; documents that agree on the first four form a region. Within a region the documents
 with the longest common prefix stand next to each other, so a document is paired with its `width` predecessors in that
 order: a region of up to `width` + 1 documents is compared as a whole, and in a dense one the same number of partners
-reaches only as deep a prefix as they share. What the order can't show in a dense region, its hub does: the document
-with the most confirmed links is paired with every document of the region that isn't linked to it yet, again and again
-until no link is new. Every link is confirmed on the two full sets; two texts at the threshold meet in some region
-with probability above 0.9999. Documents with equal sets are one node from the start, however many they are.
+reaches only as deep a prefix as they share. Most of what the order can't show in a dense region, its hubs do: the
+documents with the most confirmed links are paired with those of the region that aren't linked to them yet, for a few
+rounds. That is cheap for large groups of near copies, but leaves pairs of their own unseen. So last, the documents of all
+dense regions that still hold more than one component are joined exactly, on the rarest shingles of their sets (prefixes,
+length and position bounds, which lose no pair), and only across components. Every link is confirmed on the two full sets;
+two texts at the threshold meet in some region with probability above 0.9999, and all that meet are found. Documents with
+equal sets are one node from the start, however many they are.
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ HASHES, TREES, DEPTH = 128, 16, 4
 #: From so many copies a group is hot: there are few such groups for each million documents.
 HOT_COPIES = 200
 PER_TREE = HASHES // TREES
+RARITY_BITS = 18
 _rng = np.random.default_rng(20240229)
 _MUL = _rng.integers(1, 1 << 32, HASHES, np.uint32) | np.uint32(1)
 _ADD = _rng.integers(0, 1 << 32, HASHES, np.uint32)
@@ -140,6 +144,68 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(work, "u long, v long")
 
 
+def _rarity(sets: DataFrame) -> np.ndarray:
+    """About how many sets hold a shingle, by the first bits of its hash: an order for prefixes, so collisions cost time and no pair."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << RARITY_BITS, np.int64)
+        for batch in batches:
+            for x in batch.column(1):
+                at = (np.frombuffer(x.as_buffer(), np.uint64) >> np.uint64(64 - RARITY_BITS)).astype(np.int64)
+                np.add.at(counts, at, 1)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["at", "n"])
+
+    out = np.zeros(1 << RARITY_BITS, np.int64)
+    found = sets.select("doc_id", "set").mapInArrow(work, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # at most 2 ** RARITY_BITS rows
+    out[found.column("at").to_numpy()] = found.column("n").to_numpy()
+    return out
+
+
+def _prefixes(sets: DataFrame, rarity: np.ndarray, percent: int) -> DataFrame:
+    """shingle, id, n, at (from 0), short: the rarest shingles of each set, of which a linked pair shares the first that it shares.
+
+    A pair needs percent / (100 + percent) of the sum of its sizes in common, thus percent % of either size, and of the
+    smaller one even 2 * percent / (100 + percent): its first common shingle is in the one's prefix for the former and in
+    the smaller one's for the latter (short).
+    """
+    order = sets.sparkSession.sparkContext.broadcast(rarity)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = order.value
+        for batch in batches:
+            parts = []
+            for i, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                s = np.frombuffer(x.as_buffer(), np.uint64)
+                n = len(s)
+                most, least = n + (-percent * n) // 100 + 1, n + (-2 * percent * n) // (100 + percent) + 1
+                first = s[np.lexsort((s, counts[(s >> np.uint64(64 - RARITY_BITS)).astype(np.int64)]))[:most]]
+                at = np.arange(len(first))
+                parts.append((first.view(np.int64), np.full(len(first), i), np.full(len(first), n), at, at < least))
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], ["shingle", "id", "n", "at", "short"])
+
+    return sets.select("doc_id", "set").mapInArrow(work, "shingle long, id long, n long, at long, short boolean")
+
+
+def _across(prefixes: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a < b) of different components that share a shingle of their prefixes, if sizes and positions allow a link.
+
+    Of the documents with a shingle those outside its largest component are paired with all of other components, so a
+    large group of linked near copies makes no pairs within itself.
+    """
+    rows = prefixes.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    groups = rows.groupBy("shingle", "component").agg(F.count("*").alias("m")).groupBy("shingle").agg(F.count("*").alias("groups"), F.max_by("component", F.struct("m", "component")).alias("main"))
+    rows = materialize(rows.join(groups.filter("groups > 1").select("shingle", "main"), "shingle"), "prefixes")
+    cols = lambda c: [F.col(x).alias(c + x) for x in ("id", "n", "at", "short", "component")]
+    minor = rows.filter("component <> main").select("shingle", *cols("p"))
+    both = minor.join(rows.select("shingle", *cols("q")), "shingle").filter(
+        f"pcomponent <> qcomponent and 100 * least(pn, qn) >= {percent} * greatest(pn, qn) and (pn > qn or pshort) and (qn > pn or qshort)"
+        f" and {100 + percent} * least(pn - pat, qn - qat) >= {percent} * (pn + qn)"
+    )
+    return both.select(F.least("pid", "qid").alias("a"), F.greatest("pid", "qid").alias("b")).distinct()
+
+
 def _named(forest: DataFrame, comp: DataFrame) -> DataFrame:
     return forest.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
@@ -197,6 +263,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, width: int =
         links = links.unionByName(new)
         comp = materialize(components(links), "components")
 
+    # and exactly what the hubs can't show, in dense regions of more than one component
+    dense = _named(forest.filter(f"size > {width + 1}").select("region", "id"), comp)
+    mixed = dense.groupBy("region").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("region")
+    open_ids = materialize(dense.join(mixed, "region").select(F.col("id").alias("doc_id")).distinct(), "open")
+    if not open_ids.isEmpty():
+        some = materialize(sets.join(small(open_ids, open_ids.count()), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "open-sets")
+        last = materialize(_across(_prefixes(some, _rarity(some), percent), comp, percent).join(tried, ["a", "b"], "left_anti"), "across")
+        new = materialize(_confirm(last, sets, percent), "confirmed")
+        if not new.isEmpty():
+            comp = materialize(components(links.unionByName(new)), "components")
+
     # large groups of copies find their component through a broadcast (of a checked size), the others in a shuffle
     member = materialize(classes.join(comp, "id", "left").select("cls", F.coalesce("component", "id").alias("component"), "copies"), "members")
     hot = member.filter(f"copies > {HOT_COPIES}").select("cls", "component")

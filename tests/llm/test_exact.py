@@ -86,6 +86,20 @@ def test_near_duplicates_of_a_large_group(spark):
     assert got == {d: c for d, (_, c) in want.items()}
 
 
+def test_near_duplicates_under_shared_boilerplate(spark):
+    """Dense regions of texts whose boilerplate alone is below the threshold (0.75), with sparse pairs above it (0.86)."""
+    boilerplate = [f"b{i}" for i in range(172)]
+    tails = [[f"t{d}.{i}" for i in range(28)] for d in range(900)]
+    for d in range(100, 500):
+        tails[d + 400][:13] = tails[d][:13]
+    rows = [(d, " ".join(boilerplate + t)) for d, t in enumerate(tails)]
+    sets = [shingle_set(t) for _, t in rows]
+    alike = lambda a, b: len(a & b) / len(a | b)
+    assert 0.74 < alike(sets[0], sets[1]) < 0.76 and 0.855 < alike(sets[100], sets[500]) < 0.865
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: d - 400 if d >= 500 else d for d in range(900)}
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(1, 60)] + [(100, 101), (102, 101), (7, 7), (101, 100)]
     got = {r.id: r.component for r in components(spark.createDataFrame(chain, "u long, v long")).collect()}
