@@ -1,39 +1,45 @@
-"""Connected components by alternating large and small stars, each round a shuffle of the links."""
+"""Connected components by alternating large and small stars, each round a few shuffles of the links."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import Scratch
+
+
+def _with_least(links: DataFrame) -> DataFrame:
+    """Adds m, the least v of each u. Partial minima meet in the shuffle, and the join splits a u with very many links."""
+    return links.join(links.groupBy("u").agg(F.min("v").alias("m")), "u")
 
 
 def _large(links: DataFrame) -> DataFrame:
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = F.least("u", F.min("v").over(Window.partitionBy("u")))
-    return both.withColumn("m", least).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return _with_least(both).filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
 
 
 def _small(links: DataFrame) -> DataFrame:
     down = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct()
-    star = down.withColumn("m", F.min("v").over(Window.partitionBy("u")))
-    return star.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("l")).select("l.*").filter("u <> v").distinct()
+    ends = F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v"))))
+    return _with_least(down).select(ends.alias("l")).select("l.*").filter("u <> v").distinct()
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, rounds: int = 60, scratch: Scratch | None = None) -> DataFrame:
     """(u, v) links to (id, component): component is the smallest id reachable. Ids without links are left out.
 
     Self links and nulls are ignored; both directions and repeats are fine. Large stars move every neighbour to the
     smallest one, small stars do so among smaller neighbours; when nothing moves each link leads to its component.
+    Tables between the rounds are written to `scratch`, for the caller to drop.
     """
-    now = materialize(links.select("u", "v").filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+    scratch = scratch or Scratch(links.sparkSession)
+    now = scratch.write(links.select("u", "v").filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     state = None
     for _ in range(rounds):
         new = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if new == state or not new[0]:
             break
         state = new
-        now = materialize(_small(_large(now)), "links")
+        now = scratch.write(_small(_large(now)), "links")
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

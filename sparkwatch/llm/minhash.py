@@ -1,16 +1,19 @@
 """MinHash near-duplicate detection with an LSH forest.
 
 Each document's set of five-word shingles gets a signature of 128 minimum hashes, dealt to 16 trees of 8. A tree sorts
-the signatures by its 8 hashes; documents that agree on the first four form a region. Within a region the documents
-with the longest common prefix stand next to each other, so a document is paired with its `width` predecessors in that
-order: a region of up to `width` + 1 documents is compared as a whole, and in a dense one the same number of partners
-reaches only as deep a prefix as they share. Most of what the order can't show in a dense region, its hubs do: the
-documents with the most confirmed links are paired with those of the region that aren't linked to them yet, for a few
-rounds. That is cheap for large groups of near copies, but leaves pairs of their own unseen. So last, the documents of all
-dense regions that still hold more than one component are joined exactly, on the rarest shingles of their sets (prefixes,
-length and position bounds, which lose no pair), and only across components. Every link is confirmed on the two full sets;
-two texts at the threshold meet in some region with probability above 0.9999, and all that meet are found. Documents with
-equal sets are one node from the start, however many they are.
+the signatures by its 8 hashes, over all partitions (range partitioning, so a dense region is spread too). Documents that
+agree on the first three hashes form a region, and each is paired with its `width` predecessors in the region's order,
+those with the longest common prefixes. So the depth adapts to the region: one of up to `width` + 1 documents is compared
+as a whole at depth three; in a denser one the partners share four hashes, five, or all eight, as each cell at a deeper
+prefix that still holds that few is compared as a whole in turn.
+
+A dense region may hold links that its order doesn't show. First its hubs find most of them, one hub at a time: the
+document with the most links is paired with those of the region that are in other components than it is. Then the
+documents of all dense regions that still hold more than one component are joined exactly, on the rarest shingles of
+their sets (prefixes, length and position bounds, which lose no pair), and only across components. So any two documents
+that share a region in some tree end up right, however dense it is; two texts at the threshold share none with probability
+(1 - 0.85^3)^16 = 2e-7. Every link is confirmed on the two full sets. Documents with equal sets are one node from the start,
+however many they are.
 """
 
 from __future__ import annotations
@@ -20,14 +23,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .common import materialize, small
+from .common import Scratch, small
 from .components import components
 
-HASHES, TREES, DEPTH = 128, 16, 4
+HASHES, TREES, DEPTH = 128, 16, 3
 #: From so many copies a group is hot: there are few such groups for each million documents.
 HOT_COPIES = 200
 PER_TREE = HASHES // TREES
@@ -86,40 +89,85 @@ def shingle_sets(docs: DataFrame, k: int = 5) -> DataFrame:
 
 
 def _forest(nodes: DataFrame) -> DataFrame:
-    """tree region, rest (the deeper hashes, which sort the region), id, n: of regions with two documents at least."""
+    """region (a tree and its first hashes), rest (the deeper ones), id, n: of each document in each tree."""
     at = lambda t: F.struct(
         F.xxhash64(F.lit(t), F.substring("sig", 4 * PER_TREE * t + 1, 4 * DEPTH)).alias("region"),
         F.substring("sig", 4 * (PER_TREE * t + DEPTH) + 1, 4 * (PER_TREE - DEPTH)).alias("rest"),
     )
-    rows = nodes.select("id", "n", F.explode(F.array(*[at(t) for t in range(TREES)])).alias("x")).select("x.*", "id", "n")
-    return rows.withColumn("size", F.count("*").over(Window.partitionBy("region"))).filter("size > 1")
+    return nodes.select("id", "n", F.explode(F.array(*[at(t) for t in range(TREES)])).alias("x")).select("x.*", "id", "n")
 
 
-def _neighbours(forest: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs (a < b) of each document and its predecessors in its region's order, if their sizes allow a link."""
+#: What _neighbours says of a row: a pair (x with y), or a document (x) at the edge of a partition.
+PAIR, EDGE = 0, 1
+_NEIGHBOURS = "what int, region long, rest binary, x long, y long, n long"
+
+
+def _predecessors(region: np.ndarray, ids: np.ndarray, n: np.ndarray, width: int, new: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (i, j) of each row from `new` on and of its predecessors in the region, if their sizes allow a link."""
+    rows, befores = [], []
+    for w in range(1, min(width, len(region) - 1) + 1):
+        i = np.arange(max(new, w), len(region))
+        j = i - w
+        fits = (region[i] == region[j]) & (ids[i] != ids[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+        rows.append(i[fits])
+        befores.append(j[fits])
+    return (np.concatenate(rows), np.concatenate(befores)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def _neighbours(ordered: DataFrame, width: int, percent: int, edges: bool) -> DataFrame:
+    """Pairs of each document and its predecessors in its region's order; and the documents at partitions' edges if asked for.
+
+    What stands before a partition's first rows is in another one. So up to `width` rows at either edge are given out,
+    and put in order they show the pairs across.
+    """
+
+    def rows(what: int, region: np.ndarray, rest: pa.Array, x: np.ndarray, y: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(x), what, np.int32)), pa.array(region), rest, pa.array(x), pa.array(y), pa.array(n)], [f.split()[0] for f in _NEIGHBOURS.split(", ")])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, before = None, []
+        region, ids, n = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        rest = pa.array([], pa.binary())
+        first, started = None, False
         for batch in batches:
-            a, b = [], []
-            for region, x, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if region != last:
-                    last, before = region, []
-                for y, m in before:
-                    if x != y and 100 * min(n, m) >= percent * max(n, m):
-                        a.append(min(x, y))
-                        b.append(max(x, y))
-                before = [*before[1 - width :], (x, n)] if len(before) >= width else [*before, (x, n)]
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    order = forest.repartition("region").sortWithinPartitions("region", "rest", "n", "id")
-    return order.select("region", "id", "n").mapInArrow(work, "a long, b long")
+            if not batch.num_rows:
+                continue
+            old = len(region)
+            region, ids, n = (np.concatenate([x, batch.column(i).to_numpy()]) for x, i in ((region, 0), (ids, 2), (n, 3)))
+            rest = pa.concat_arrays([rest, batch.column(1)])
+            i, j = _predecessors(region, ids, n, width, old, percent)
+            a, b = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
+            yield rows(PAIR, region[i], pa.nulls(len(i), pa.binary()), a, b, n[i])
+            if edges and not started:  # the head: rows of the first region, `width` at most
+                first = region[0] if first is None else first
+                head = np.flatnonzero(region[:width] == first)
+                if len(region) >= width or len(head) < len(region):
+                    started = True
+                    yield rows(EDGE, region[head], rest.take(pa.array(head)), ids[head], ids[head], n[head])
+            if started or not edges:
+                region, ids, n, rest = region[-width:], ids[-width:], n[-width:], rest[-width:]
+        if edges and len(region):
+            tail = np.flatnonzero(region == region[-1])[-width:]
+            yield rows(EDGE, region[tail], rest.take(pa.array(tail)), ids[tail], ids[tail], n[tail])
+
+    return ordered.select("region", "rest", "id", "n").mapInArrow(work, _NEIGHBOURS)
+
+
+def _pairs(forest: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
+    """a, b (a < b), trees: pairs of neighbours, and in how many trees they are."""
+    keys = ("region", "rest", "n", "id")
+    ordered = forest.repartitionByRange(max(TREES, int(forest.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys).sortWithinPartitions(*keys)
+    inside = scratch.write(_neighbours(ordered, width, percent, True), "neighbours")
+    edge = inside.filter(f"what = {EDGE}").select("region", "rest", F.col("x").alias("id"), "n").distinct()  # a few rows of each partition
+    across = _neighbours(edge.repartition("region").sortWithinPartitions(*keys), width, percent, False)
+    pairs = inside.filter(f"what = {PAIR}").unionByName(across).select("region", F.col("x").alias("a"), F.col("y").alias("b"))
+    return pairs.groupBy("a", "b").agg(F.count_distinct("region").alias("trees"))
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough. A set travels once for each pair, its partner's once for 256."""
+    """The pairs (a, b) whose full sets are similar enough, as u and v. b's set travels once for each pair, a's once for some 256."""
     n = pairs.count()
-    pairs = pairs.withColumn("part", F.floor((F.row_number().over(Window.partitionBy("a").orderBy("b")) - 1) / 256))
+    hot = pairs.groupBy("a").agg(F.ceil(F.count("*") / 256).alias("parts")).filter("parts > 1")
+    pairs = pairs.join(small(hot, n // 256), "a", "left").withColumn("part", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1)))).select("a", "b", "part")
     leaf = sets.join(small(pairs, n), sets.doc_id == pairs.b).select("a", "part", F.lit(1).alias("role"), "b", "set")
     hubs = pairs.select("a", "part").distinct()
     hub = sets.join(small(hubs, n), sets.doc_id == hubs.a).select("a", "part", F.lit(0).alias("role"), F.col("a").alias("b"), "set")
@@ -188,94 +236,110 @@ def _prefixes(sets: DataFrame, rarity: np.ndarray, percent: int) -> DataFrame:
     return sets.select("doc_id", "set").mapInArrow(work, "shingle long, id long, n long, at long, short boolean")
 
 
-def _across(prefixes: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a < b) of different components that share a shingle of their prefixes, if sizes and positions allow a link.
+def _across(prefixes: DataFrame, comp: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of different components that share a shingle of their prefixes, if sizes and positions allow a link.
 
     Of the documents with a shingle those outside its largest component are paired with all of other components, so a
     large group of linked near copies makes no pairs within itself.
     """
-    rows = prefixes.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    rows = _named(prefixes, comp)
     groups = rows.groupBy("shingle", "component").agg(F.count("*").alias("m")).groupBy("shingle").agg(F.count("*").alias("groups"), F.max_by("component", F.struct("m", "component")).alias("main"))
-    rows = materialize(rows.join(groups.filter("groups > 1").select("shingle", "main"), "shingle"), "prefixes")
+    rows = scratch.write(rows.join(groups.filter("groups > 1").select("shingle", "main"), "shingle"), "prefixes")
     cols = lambda c: [F.col(x).alias(c + x) for x in ("id", "n", "at", "short", "component")]
     minor = rows.filter("component <> main").select("shingle", *cols("p"))
-    both = minor.join(rows.select("shingle", *cols("q")), "shingle").filter(
+    both = minor.join(rows.select("shingle", "main", *cols("q")), "shingle").filter(
         f"pcomponent <> qcomponent and 100 * least(pn, qn) >= {percent} * greatest(pn, qn) and (pn > qn or pshort) and (qn > pn or qshort)"
-        f" and {100 + percent} * least(pn - pat, qn - qat) >= {percent} * (pn + qn)"
+        f" and {100 + percent} * least(pn - pat, qn - qat) >= {percent} * (pn + qn) and (qcomponent = main or pid < qid)"
     )
-    return both.select(F.least("pid", "qid").alias("a"), F.greatest("pid", "qid").alias("b")).distinct()
+    return both.select(F.col("pid").alias("a"), F.col("qid").alias("b")).distinct()
+
+
+def _named(rows: DataFrame, comp: DataFrame) -> DataFrame:
+    """rows with the component of their id: itself where it has no link."""
+    return rows.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
 
-def _named(forest: DataFrame, comp: DataFrame) -> DataFrame:
-    return forest.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
+def _untried(pairs: DataFrame, tried: DataFrame) -> DataFrame:
+    least, greatest = F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")
+    return pairs.select("a", "b", least, greatest).join(tried.select(least, greatest), ["x", "y"], "left_anti").dropDuplicates(["x", "y"]).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, width: int = 4, hubs: int = 32, rounds: int = 3) -> DataFrame:
+def _star(dense: DataFrame, comp: DataFrame, links: DataFrame, were: DataFrame | None, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(a, b): of each dense region the document with the most links that was no hub of it yet, with those in other components; and the hubs so far."""
+    degree = links.select(F.explode(F.array("u", "v")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
+    rows = _named(dense, comp).join(degree, "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+    open_ = rows.groupBy("region").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("region")
+    rows = scratch.write(rows.join(open_, "region"), "open")
+    left = rows.join(were, ["region", "id"], "left_anti") if were is not None else rows
+    hub = scratch.write(left.groupBy("region").agg(F.max_by(F.struct(F.col("id").alias("hub"), F.col("n").alias("size"), F.col("component").alias("its")), F.struct("degree", -F.col("id"))).alias("h")).select("region", "h.*"), "hubs")
+    apart = rows.join(hub, "region").filter(f"component <> its and 100 * least(n, size) >= {percent} * greatest(n, size)")
+    now = hub.select("region", F.col("hub").alias("id"))
+    return apart.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), now if were is None else were.unionByName(now)
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, width: int = 4, hubs: int = 3) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept.
 
     Words are ASCII-lower-cased runs of anything but ASCII white space; a text of fewer than k words is one shingle; a
     null text or one without words has none, and is linked with nothing. Repeated rows and texts are one node, and so are
     different texts of one doc_id; each row of docs gets a row. Columns other than doc_id and text play no part, an
-    empty table gives an empty result.
+    empty table gives an empty result. `width` and `hubs` (rounds of one hub for each dense region) set how much work is
+    left for the exact join, and change no result.
     """
-    sigs = materialize(signatures(docs, k), "signatures")
-    classes = sigs.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"))
-    nodes = sigs.filter("cls is not null").groupBy("cls").agg(F.min(F.struct("doc_id", "n", "sig")).alias("x")).select(F.col("x.doc_id").alias("id"), "x.n", "x.sig")
-    forest = materialize(_forest(nodes), "forest")
-    pairs = materialize(_neighbours(forest, width, percent).groupBy("a", "b").agg(F.count("*").alias("trees")), "pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(forest.filter(f"size > {width + 1}").select(F.col("id").alias("doc_id"))).distinct()
-    ids = materialize(ids, "ids")
-    wanted = docs.select("doc_id", "text").join(small(ids, ids.count()), "doc_id", "left_semi")
-    sets = materialize(shingle_sets(wanted, k), "sets")
+    scratch = Scratch(docs.sparkSession)
+    sigs = scratch.write(signatures(docs, k), "signatures", last=True)
+    some = sigs.filter("cls is not null").groupBy("cls")
+    nodes = scratch.write(some.agg(F.min(F.struct("doc_id", "n", "sig")).alias("x"), F.count("*").alias("copies")).select("cls", F.col("x.doc_id").alias("id"), "x.n", "x.sig", "copies"), "nodes")
+    forest = _forest(nodes)
+    pairs = scratch.write(_pairs(forest, width, percent, scratch), "pairs")
+    # only a region of more than width + 1 documents may hold links that its order doesn't show
+    crowded = forest.groupBy("region").agg(F.count("*").alias("size")).filter(f"size > {width + 1}").select("region")
+    crowded = scratch.write(crowded, "crowded")
+    dense = scratch.write(forest.join(small(crowded, crowded.count()), "region").select("region", "id", "n"), "dense")
+    ids = scratch.write(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(dense.select(F.col("id").alias("doc_id"))).distinct(), "ids")
+    sets = scratch.write(shingle_sets(docs.select("doc_id", "text").join(small(ids, ids.count()), "doc_id", "left_semi"), k), "sets")
 
     # first each document with the partner that it meets in most trees
     met = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("p"), "trees").select("p.*", "trees")
     best = met.groupBy("x").agg(F.max(F.struct("trees", (-F.col("y")).alias("y"))).alias("m")).select(F.least("x", -F.col("m.y")).alias("a"), F.greatest("x", -F.col("m.y")).alias("b")).distinct()
-    best = materialize(best, "best")
-    links = materialize(_confirm(best, sets, percent), "confirmed")
-    comp = materialize(components(links), "components")
+    best = scratch.write(best, "best")
+    links = scratch.write(_confirm(best, sets, percent), "confirmed")
+    comp = scratch.write(components(links, scratch=scratch), "components")
 
     # then the pairs that still join two components
     side = lambda c: comp.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
     rest = pairs.join(best, ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left").filter("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
-    rest = materialize(rest, "rest")
-    links = links.unionByName(materialize(_confirm(rest, sets, percent), "confirmed"))
-    comp = materialize(components(links), "components")
+    rest = scratch.write(rest, "rest")
+    links = links.unionByName(scratch.write(_confirm(rest, sets, percent), "confirmed"))
+    comp = scratch.write(components(links, scratch=scratch), "components")
     tried = best.select("a", "b").unionByName(rest)
 
-    # last the hubs of dense regions, for the documents there that are not in the largest hub's component
-    for _ in range(rounds):
-        degree = links.select(F.explode(F.array("u", "v")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
-        dense = _named(forest.filter(f"size > {width + 1}"), comp).join(degree, "id", "left").select("region", "id", "n", "component", F.coalesce("degree", F.lit(0)).alias("degree"))
-        rank = F.row_number().over(Window.partitionBy("region").orderBy(F.desc("degree"), "id"))
-        top = dense.withColumn("rank", rank).filter(f"rank <= {hubs}").groupBy("region").agg(F.array_sort(F.collect_list(F.struct("rank", F.col("id").alias("hub"), "n", "component"))).alias("tops"))
-        apart = dense.join(top, "region").filter(F.col("component") != F.col("tops")[0]["component"])
-        fits = F.filter("tops", lambda h: (h["component"] != F.col("component")) & (100 * F.least(F.col("n"), h["n"]) >= percent * F.greatest(F.col("n"), h["n"])))
-        known = apart.select("id", F.transform(fits, lambda h: h["hub"]).alias("fits")).groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("fits"))).alias("fits"))  # at most hubs * TREES of each document
-        star = known.select("id", F.explode("fits").alias("hub")).select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-        star = materialize(star.join(tried, ["a", "b"], "left_anti"), "star")
-        if star.isEmpty():
-            break
-        new = materialize(_confirm(star, sets, percent), "confirmed")
+    # then the hubs of dense regions, one at a time, for the documents there that are in other components
+    were = None
+    for _ in range(hubs):
+        star, were = _star(dense, comp, links, were, percent, scratch)
+        star = scratch.write(_untried(star, tried), "star")
+        new = scratch.write(_confirm(star, sets, percent), "confirmed")
         tried = tried.unionByName(star)
         if new.isEmpty():
             break
         links = links.unionByName(new)
-        comp = materialize(components(links), "components")
+        comp = scratch.write(components(links, scratch=scratch), "components")
 
-    # and exactly what the hubs can't show, in dense regions of more than one component
-    dense = _named(forest.filter(f"size > {width + 1}").select("region", "id"), comp)
-    mixed = dense.groupBy("region").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("region")
-    open_ids = materialize(dense.join(mixed, "region").select(F.col("id").alias("doc_id")).distinct(), "open")
+    # and exactly what the hubs didn't show, in dense regions of more than one component
+    rows = _named(dense.select("region", "id"), comp)
+    mixed = rows.groupBy("region").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("region")
+    open_ids = scratch.write(rows.join(mixed, "region").select(F.col("id").alias("doc_id")).distinct(), "open")
     if not open_ids.isEmpty():
-        some = materialize(sets.join(small(open_ids, open_ids.count()), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "open-sets")
-        last = materialize(_across(_prefixes(some, _rarity(some), percent), comp, percent).join(tried, ["a", "b"], "left_anti"), "across")
-        new = materialize(_confirm(last, sets, percent), "confirmed")
+        some = scratch.write(sets.join(small(open_ids, open_ids.count()), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "open-sets")
+        across = scratch.write(_untried(_across(_prefixes(some, _rarity(some), percent), comp, percent, scratch), tried), "across")
+        new = scratch.write(_confirm(across, sets, percent), "confirmed")
         if not new.isEmpty():
-            comp = materialize(components(links.unionByName(new)), "components")
+            comp = scratch.write(components(links.unionByName(new), scratch=scratch), "components")
 
     # large groups of copies find their component through a broadcast (of a checked size), the others in a shuffle
-    member = materialize(classes.join(comp, "id", "left").select("cls", F.coalesce("component", "id").alias("component"), "copies"), "members")
+    member = scratch.write(nodes.join(comp, "id", "left").select("cls", F.coalesce("component", "id").alias("component"), "copies"), "members", last=True)
+    scratch.drop()
     hot = member.filter(f"copies > {HOT_COPIES}").select("cls", "component")
     hot = small(hot, hot.count())
     ids = sigs.select("doc_id", "n", "cls")

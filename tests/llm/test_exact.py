@@ -1,13 +1,14 @@
 """Operators with exact results against brute force, on a corpus with nulls, empties, ties, repeats and long texts."""
 
 import hashlib
+import random
 import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkwatch.llm import decontaminate, fingerprint, minhash, packing, substrings
+from sparkwatch.llm import common, decontaminate, fingerprint, minhash, packing, substrings
 from sparkwatch.llm import text as tx
 from sparkwatch.llm.components import components
 from sparkwatch.llm.queries import tokenizer_path
@@ -100,6 +101,51 @@ def test_near_duplicates_under_shared_boilerplate(spark):
     assert got == {d: d - 400 if d >= 500 else d for d in range(900)}
 
 
+def test_near_duplicates_of_many_centres(spark):
+    """One dense neighbourhood: 400 centres that change a block of a base text, documents that change a word or two of their centre."""
+    rng = random.Random(1)
+    base = [f"w{i}" for i in range(120)]
+    centres = []
+    for c in range(400):
+        w, s, k = list(base), rng.randrange(110), rng.randint(3, 10)
+        w[s : s + k] = [f"c{c}.{p}" for p in range(k)]
+        centres.append(w)
+    rows = []
+    for d in range(2400):
+        w = list(centres[rng.randrange(400)])
+        for p in rng.sample(range(120), rng.randint(1, 2)):
+            w[p] = f"d{d}.{p}"
+        rows.append((d, " ".join(w)))
+    number = {}
+    sets = [np.array([number.setdefault(g, len(number)) for g in shingle_set(t)]) for _, t in rows]
+    held = np.bincount(np.concatenate(sets)) > 1
+    at = np.cumsum(held) - 1
+    there = np.zeros((len(rows), held.sum()), np.float32)
+    for d, s in enumerate(sets):
+        there[d, at[s[held[s]]]] = 1
+    n, both = np.array([len(s) for s in sets]), there @ there.T
+    comp = np.arange(len(rows))
+    for a, b in zip(*np.where(np.triu(100 * both >= 85 * (n[:, None] + n - both), 1)), strict=True):
+        comp[comp == max(comp[a], comp[b])] = min(comp[a], comp[b])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert 1000 < len(set(comp)) < 2200
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(df).collect()} == dict(enumerate(comp.tolist()))
+
+
+def test_neighbours_across_partitions(spark):
+    """A region cut by partitions' edges gives the pairs that it gives as a whole, few rows in a partition or many."""
+    rows = [(r, bytes([i // 3]), i + 100 * r, 10) for r, size in enumerate((1, 2, 5, 6, 40, 3)) for i in range(size)]
+    forest = spark.createDataFrame(rows, "region long, rest binary, id long, n long")
+    want = {(a, b) for r in range(6) for ids in [sorted(x[2] for x in rows if x[0] == r)] for k, b in enumerate(ids) for a in ids[max(0, k - 4) : k]}
+    for parts in (1, 3, 16, 50):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            got = minhash._pairs(forest, 4, 85, common.Scratch(spark)).collect()
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", 4)
+        assert want <= {(r.a, r.b) for r in got} and all(r.a // 100 == r.b // 100 and r.trees == 1 for r in got)
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(1, 60)] + [(100, 101), (102, 101), (7, 7), (101, 100)]
     got = {r.id: r.component for r in components(spark.createDataFrame(chain, "u long, v long")).collect()}
