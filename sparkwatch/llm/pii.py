@@ -3,8 +3,10 @@
 A surrogate is the entity under a keyed permutation of all entities of its format: the entity is read as a number in the
 mixed radix of its characters (digits, letters of one script, octets, listed names), a Feistel network permutes those
 numbers, and the result is written in the same format, separators and case. A permutation gives different entities
-different surrogates and one entity the same one wherever and however it is written, and here it leaves none as it was. A
-join over all entities of the corpus checks that none collide before anything is replaced.
+different surrogates and one entity the same one wherever and however it is written, and here it leaves none as it was.
+Names fall into listed given names, permuted within their gender and script, and all others, whose consonants and vowels are
+permuted apart so that they can be spoken; the walk leaves out listed names, so the two never meet. A join over all
+entities of the corpus checks that none collide before anything is replaced.
 """
 
 from __future__ import annotations
@@ -30,12 +32,30 @@ GIVEN = {
     ("female", "cyrillic"): "Александра Анна Валентина Галина Екатерина Елена Ирина Мария Наталья Ольга Светлана Татьяна".split(),
 }
 TITLES = {"male": "Mr Herr Monsieur Señor Don".split(), "female": "Mrs Ms Miss Frau Madame Señora Doña".split()}
-ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿœß", "абвгдежзийклмнопрстуфхцчшщъыьэюяё", "αβγδεζηθικλμνξοπρστυφχψωάέήίόύώ")
-_CLASS = {c: (k, i) for k, a in enumerate(ALPHABETS) for i, c in enumerate(a)}
-_GIVEN_OF = {n: (k, i) for k, names in GIVEN.items() for i, n in enumerate(names)}
+#: Endings that tell a Russian surname's gender stay.
+ENDINGS = re.compile(r"(?:[оеё]ва?|ина?|ск(?:ий|ая)|[нц]к(?:ий|ая))$")
+
+
+def _lower_letters(first: int, end: int) -> str:
+    """The lower-case letters of a range whose upper case is one letter and leads back."""
+    return "".join(c for c in map(chr, range(first, end)) if c.islower() and len(c.upper()) == 1 and c.upper().lower() == c)
+
+
+ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", _lower_letters(0xDF, 0x100) + "ß", *(_lower_letters(*r) for r in ((0x100, 0x250), (0x370, 0x3AD), (0x3AD, 0x3CA), (0x3CA, 0x400), (0x430, 0x450), (0x450, 0x530), (0x530, 0x590))))
+_VOWELS = frozenset("aeiouàáâãäåæèéêëìíîïòóôõöøùúûüýÿœаеиоуыэюяёαεηιουωάέήίόύώ")
+_SPOKEN = tuple(part for a in ALPHABETS for part in ("".join(c for c in a if c in _VOWELS), "".join(c for c in a if c not in _VOWELS)) if part)
+
+
+def _classes(alphabets: tuple[str, ...]) -> dict[str, tuple[int, int]]:
+    return {c: (k, i) for k, a in enumerate(alphabets) for i, c in enumerate(a)}
+
+
+_CLASS, _SPOKEN_CLASS = _classes(ALPHABETS), _classes(_SPOKEN)
+_GIVEN_OF = {n.lower(): (k, i) for k, names in GIVEN.items() for i, n in enumerate(names)}
+_LISTED = tuple(n for names in GIVEN.values() for n in names)
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
-_NAME = r"[^\W\d_][^\W\d_'’-]+"
+_NAME = r"[^\W\d_](?:[^\W\d_]|['’-](?=[^\W\d_]))+"
 _titles = "|".join(t for v in TITLES.values() for t in v)
 #: Kinds in the order in which they claim text, with what a text must hold for a search to be worth it.
 PATTERNS: list[tuple[str, re.Pattern, Callable[[str], bool]]] = [
@@ -50,7 +70,7 @@ PATTERNS: list[tuple[str, re.Pattern, Callable[[str], bool]]] = [
 ]
 _DIGIT = re.compile(r"\d")
 _GAP = r"(?:[^\S\r\n]+|[^\S\r\n]*\r?\n[^\S\r\n]*)"  # blanks, or one line end
-_PERSON = re.compile(rf"\b(?:(?P<title>{_titles})\.?{_GAP})(?P<a>{_NAME})(?:{_GAP}(?P<b>{_NAME}))?|\b(?P<given>{'|'.join(_GIVEN_OF)}){_GAP}(?P<last>{_NAME})")
+_PERSON = re.compile(rf"\b(?:(?P<title>{_titles})\.?{_GAP})(?P<a>{_NAME})(?:{_GAP}(?P<b>{_NAME}))?|\b(?P<given>{'|'.join(_LISTED)}){_GAP}(?P<last>{_NAME})")
 _MENTION = re.compile(rf"(?<![^\W_]){_NAME}(?![^\W_])")
 _PART = re.compile(r"[^\W\d_]+")
 _TAIL = re.compile(r"(?:['’]s|['’-]+)$")  # a genitive or a mark after a name, not part of it
@@ -61,7 +81,7 @@ _FUNCTION_WORDS = frozenset(
 )
 
 _BLANKS = [c for c in map(chr, range(0x3001)) if c.isspace()]
-_NAMED = tuple(f"{x}{c}" for x in (*(t + dot for v in TITLES.values() for t in v for dot in ("", ".")), *_GIVEN_OF) for c in _BLANKS)
+_NAMED = tuple(f"{x}{c}" for x in (*(t + dot for v in TITLES.values() for t in v for dot in ("", ".")), *_LISTED) for c in _BLANKS)
 
 
 @lru_cache
@@ -108,20 +128,30 @@ class Cipher:
         return self._walk(name, n, (there + 1) % n, range(7, -1, -1))  # a step on the cipher's own circle: nothing stays
 
 
-def _letters(cipher: Cipher, label: str, text: str, fixed: int = 0) -> str:
-    """Permutes the letters and digits of a lower-case text, but the first `fixed` of them, each within its own alphabet."""
-    at = [(i, *_CLASS[c]) for i, c in enumerate(text) if c in _CLASS][fixed:]
-    n, x = 1, 0
-    for _, k, v in at:
-        x, n = x * len(ALPHABETS[k]) + v, n * len(ALPHABETS[k])
-    shape = "".join(str(_CLASS[c][0]) if c in _CLASS else c for c in text)
-    head = "".join(c for c in text if c in _CLASS)[:fixed]
-    x = cipher.permute(f"{label}|{shape}|{head}", n, x)
+def _letters(cipher: Cipher, label: str, text: str, fixed: int = 0, names: bool = False, taken: Callable[[str], bool] = lambda t: False) -> str:
+    """Permutes the letters and digits of a lower-case text, but the first `fixed` of them, each within its own alphabet.
+
+    With `names` consonants stay consonants and vowels vowels. What is `taken` (the text itself must not be) is walked past,
+    so that what remains is permuted within itself.
+    """
+    alphabets, of = (_SPOKEN, _SPOKEN_CLASS) if names else (ALPHABETS, _CLASS)
+    at = [(i, *of[c]) for i, c in enumerate(text) if c in of][fixed:]
+    n = 1
+    for _, k, _v in at:
+        n *= len(alphabets[k])
+    shape = "".join(str(of[c][0]) if c in of else c for c in text)
+    head = "".join(c for c in text if c in of)[:fixed]
     out = list(text)
-    for i, k, _ in reversed(at):
-        x, v = divmod(x, len(ALPHABETS[k]))
-        out[i] = ALPHABETS[k][v]
-    return "".join(out)
+    while True:
+        x = 0
+        for i, k, _v in at:
+            x = x * len(alphabets[k]) + of[out[i]][1]
+        x = cipher.permute(f"{label}|{shape}|{head}", n, x)
+        for i, k, _v in reversed(at):
+            x, v = divmod(x, len(alphabets[k]))
+            out[i] = alphabets[k][v]
+        if not taken(new := "".join(out)):
+            return new
 
 
 def _like(pattern: str, letters: str) -> str:
@@ -143,16 +173,26 @@ def _luhn(digits: str) -> int:
     return -total % 10
 
 
+def _iban_check(body: str, country: str) -> int:
+    """The check digits, less two, that make an IBAN of this body valid."""
+    return 96 - int("".join(str(int(c, 36)) for c in f"{body}{country}00")) % 97
+
+
+def _lower(text: str) -> str:
+    """Lower case, letter by letter (never longer than the text, and blind to where in a word a letter is)."""
+    return "".join(low if len(low := c.lower()) == 1 else c for c in text)
+
+
 def canonical(kind: str, found: str) -> str:
     """What all spellings of an entity share."""
+    if kind == "ip":
+        return ".".join(str(int(x)) for x in found.split("."))
     if kind in ("card", "ssn"):
         return re.sub(r"\D", "", found)
     if kind == "phone":
         digits = re.sub(r"\D", "", found)
         return digits[1:] if len(digits) == 11 and digits[0] == "1" else digits
-    if kind == "iban":
-        return found.replace(" ", "").lower()
-    return found.lower()
+    return _lower(found.replace(" ", "") if kind == "iban" else found)
 
 
 def surrogate(cipher: Cipher, kind: str, found: str) -> str:
@@ -174,21 +214,35 @@ def surrogate(cipher: Cipher, kind: str, found: str) -> str:
         host, _, tld = domain.rpartition(".")
         new = _letters(cipher, f"email.{tld}", f"{local}@{host}")
         return _like(found, "".join(x for x in f"{new}.{tld}" if x in _CLASS))
-    if kind == "secret" and re.fullmatch(r"[0-9a-f]+", c):
+    if kind == "secret" and _is_hex(c):
         new = f"{cipher.permute(f'hex{len(c)}', 16 ** len(c), int(c, 16)):0{len(c)}x}"
         return new.upper() if found != c else new
-    if kind == "iban":
-        return _like(found, _letters(cipher, "iban", c, 2))
-    return _like(found, "".join(x for x in _letters(cipher, kind, c) if x in _CLASS))
+    if kind == "iban":  # the country stays, and the distance from valid check digits too
+        country, digits, body = c[:2], int(c[2:4]), c[4:]
+        if not 2 <= digits <= 98:
+            return _like(found, f"{country}{c[2:4]}{_letters(cipher, f'iban{country}{digits}', body)}")
+        off = (digits - 2 - _iban_check(body, country)) % 97
+        new = _letters(cipher, f"iban{country}off{off}", body)
+        return _like(found, f"{country}{(_iban_check(new, country) + off) % 97 + 2:02d}{new}")
+    taken = _is_hex if kind == "secret" else lambda t: False
+    return _like(found, "".join(x for x in _letters(cipher, kind, c, taken=taken) if x in _CLASS))
 
 
-def _given(cipher: Cipher, name: str) -> str:
-    group, i = _GIVEN_OF[name]
-    return GIVEN[group][cipher.permute("|".join(group), len(GIVEN[group]), i)]
+def _is_hex(text: str) -> bool:
+    return re.fullmatch(r"[0-9a-f]+", text) is not None
 
 
 def _person(cipher: Cipher, name: str) -> str:
-    return _given(cipher, name) if name in _GIVEN_OF else surrogate(cipher, "name", name)
+    """A listed given name's surrogate is listed for the same gender and script; any other name keeps its script, length, ending and case."""
+    c = canonical("name", name)
+    if c in _GIVEN_OF:
+        group, i = _GIVEN_OF[c]
+        new = GIVEN[group][cipher.permute("|".join(group), len(GIVEN[group]), i)]
+        return new.upper() if name.isupper() else new.lower() if name.islower() else new
+    ending = m[0] if (m := ENDINGS.search(c)) and m.start() >= 2 else ""
+    stem = c[: len(c) - len(ending)]
+    new = _letters(cipher, f"name|{ending}", stem, names=True, taken=lambda t: t + ending in _GIVEN_OF or not ending and (m := ENDINGS.search(t)) is not None and m.start() >= 2)
+    return _like(name, "".join(x for x in new + ending if x in _CLASS))
 
 
 def _is_name(text: str, m: re.Match, part: str) -> bool:
@@ -208,7 +262,7 @@ def entities(text: str) -> list[tuple[int, int, str]]:
     """Spans of a text that are personal data, in order and apart, with their kinds. Where two kinds overlap the first of PATTERNS has it.
 
     People are found by a title or listed given name before their name, on one line or over a line end; then all their
-    names are found wherever the text repeats them as whole words in the same case.
+    names are found wherever the text repeats them as whole words in the same case or (from four letters on) in capitals.
     """
     found: list[tuple[int, int, str]] = []
     digits = _DIGIT.search(text) is not None
@@ -231,9 +285,9 @@ def entities(text: str) -> list[tuple[int, int, str]]:
             e -= len(tail[0]) if (tail := _TAIL.search(m[part])) else 0
             if not _overlaps(apart, s, e):
                 people.append((s, e, "name"))
-                names.add(text[s:e])
+                names |= {text[s:e], text[s:e].upper()} if e - s > 3 else {text[s:e]}
     names -= _FUNCTION_WORDS
-    if names:  # again for all who were named, wherever they stand without title or given name
+    if names:  # again for all who were named, wherever they stand without title or given name, in the same case or in capitals
         apart = sorted(found + people)
         for m in _MENTION.finditer(text):
             for s, e in [m.span()] if m[0] in names else [(m.start() + p.start(), m.start() + p.end()) for p in _PART.finditer(m[0])]:
@@ -255,15 +309,15 @@ def replace(cipher: Cipher, text: str) -> tuple[str, list[tuple[str, str, str]]]
     return "".join([*out, text[last:]]), seen
 
 
-def _cipher(key: str) -> Cipher:
-    return Cipher(hashlib.sha256(key.encode()).digest())
+def _cipher(key: str, turn: int = 0) -> Cipher:
+    return Cipher(hashlib.sha256(f"{key}|{turn}".encode() if turn else key.encode()).digest())
 
 
-def entity_table(docs: DataFrame, key: str) -> DataFrame:
+def entity_table(docs: DataFrame, key: str, turn: int = 0) -> DataFrame:
     """doc_id, kind, entity and surrogate (keyed hashes, so the table holds no personal data) of each entity found."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cipher = _cipher(key)
+        cipher = _cipher(key, turn)
         hashed = lambda x: hmac.digest(cipher._key, x.encode(), "sha256")[:16]
         for b in batches:
             rows = [(i, k, hashed(f"{k}|{e}"), hashed(f"{k}|{s}")) for i, t in enumerate(b.column(1)) for k, e, s in replace(cipher, t.as_py() or "")[1]]
@@ -285,16 +339,20 @@ def pseudonymize(docs: DataFrame, key: str, check: bool = True) -> DataFrame:
 
     A null text stays null and an empty one empty, with no entities; texts without personal data stay as they are. Other
     columns are kept, except that ones named n_entities or kinds are replaced. With `check` the corpus is searched once
-    before, and a collision among surrogates raises.
+    before; should surrogates collide, the next key that follows from `key` is taken (the permutations let none collide,
+    so a fourth collision in a row is an error in them and raises).
     """
-    if check and (bad := collisions(entity_table(docs, key)).first()):
-        raise ValueError(f"surrogates collide: {bad}")
+    turn = 0
+    while check and (bad := collisions(entity_table(docs, key, turn)).first()):
+        turn += 1
+        if turn > 3:
+            raise ValueError(f"surrogates collide: {bad}")
 
     @F.pandas_udf("text string, n_entities int, kinds array<string>")
     def redact(texts):  # type: ignore[no-untyped-def]
         import pandas as pd
 
-        cipher = _cipher(key)
+        cipher = _cipher(key, turn)
         rows = [(None, []) if t is None else replace(cipher, t) for t in texts]
         return pd.DataFrame({"text": [t for t, _ in rows], "n_entities": [len(s) for _, s in rows], "kinds": [sorted({k for k, _, _ in s}) for _, s in rows]})
 

@@ -1,6 +1,8 @@
 """Learned operators by held-out accuracy on the driver's table and by edge cases; surrogates and licences by what they must keep."""
 
 import hashlib
+import itertools
+import random
 import re
 
 import numpy as np
@@ -108,7 +110,7 @@ def test_surrogates_of_one_entity_agree():
     a, b, rest = new.split(" ", 2)
     digits = re.findall(r"\d", rest)
     assert a.lower() == b.lower() and digits[1:11] == digits[11:21] and digits[21:37] == digits[37:]
-    assert {pii._given(c, n) for n in pii.GIVEN[("female", "latin")]} == set(pii.GIVEN[("female", "latin")])
+    assert {pii._person(c, n) for n in pii.GIVEN[("female", "latin")]} == set(pii.GIVEN[("female", "latin")])
     assert pii.entities("plain prose of 12 words, version 1.2.3 on 2024-01-05 12:30") == []
 
 
@@ -137,6 +139,62 @@ def test_bare_mentions_of_a_person(text, again):
     assert all(pii._person(c, n) in new for n in again) and len({o for _, o, _ in seen}) == len({s for _, _, s in seen}) == len(set(again))
 
 
+def test_names_are_one_space_without_collisions():
+    """All names of two and three letters, listed ones too: different names differ, in any case form, and none stays."""
+    c = pii._cipher("k")
+    for length in (2, 3):
+        names = ["".join(x) for x in itertools.product("abcdefghijklmnopqrstuvwxyz", repeat=length)]
+        new = [pii._person(c, n.capitalize()) for n in names]
+        assert len(set(new)) == len(names) and all(n.capitalize() != x and x.istitle() for n, x in zip(names, new, strict=True))
+    listed = {n for names in pii.GIVEN.values() for n in names}
+    assert {pii._person(c, n) for n in listed} == listed and all(pii._person(c, n.upper()) == pii._person(c, n).upper() for n in listed)
+    russian = ["".join(x) + e for x in itertools.product("абвои", repeat=3) for e in ("", "ов", "ова", "ский")]
+    new = [pii._person(c, n.capitalize()) for n in russian]
+    assert len(set(new)) == len(set(russian)) and all(x.endswith(e) for x, e in zip(new, ["", "ов", "ова", "ский"] * 125, strict=True))
+
+
+@pytest.mark.parametrize("text", ["Mr John said so.\nMr JOHN left.", "Mr SCHMIDT and Mr Schmidt, Mr schmidt", "Frau Müller-Huber met O’Neil, Mrs O’Neil", "Mr İlker İ@x.com K@y.com", "ip 10.0.01.2 and 10.0.1.2, Señor Łódź", "pass: abcdefgh secret: qwertyui token: deadbeef"])
+def test_spellings_of_an_entity_agree(text):
+    """One entity has one surrogate however it is spelled, and none stays as it was."""
+    _, seen = pii.replace(pii._cipher("k"), text)
+    assert seen and all(e != x for _, e, x in seen) and len({(k, e) for k, e, _ in seen}) == len({(k, x) for k, _, x in seen}) == len(set(seen))
+
+
+def test_surrogates_keep_check_digits():
+    c = pii._cipher("k")
+    valid = lambda iban: int("".join(str(int(x, 36)) for x in iban[4:] + iban[:4])) % 97 == 1
+    for iban in ("DE89370400440532013000", "GB29NWBK60161331926819"):
+        new = pii.surrogate(c, "iban", iban)
+        assert valid(iban) and valid(new) and new[:2] == iban[:2] and new != iban
+    assert not valid(pii.surrogate(c, "iban", "DE88370400440532013000"))
+    secrets = ["".join(x) for x in itertools.product("afgz", repeat=4)]
+    assert len({pii.surrogate(c, "secret", x) for x in secrets}) == len(secrets)
+
+
+def test_planted_entities(spark):
+    """Texts with planted entities against brute force: exactly those are replaced, all else stays, and one entity has one surrogate over all texts."""
+    rng = random.Random(4)
+    names = ["".join(rng.choice("bcdfghklmnprst") + rng.choice("aeiou") for _ in range(3)).capitalize() for _ in range(40)]
+    planted = [("name", f"Mrs {n}", n) for n in names] + [("name", f"Herr {n.upper()}", n.upper()) for n in names]
+    planted += [("email", e, e) for e in (f"{n.lower()}@host{i % 7}.example.org" for i, n in enumerate(names))]
+    planted += [("ip", x, x) for x in (f"10.{i}.{i * 5 % 256}.7" for i in range(40))] + [("ssn", x, x) for x in (f"{100 + i}-{10 + i}-{2000 + i}" for i in range(40))]
+    texts, parts = [], []
+    for i in range(300):
+        mine = [rng.choice(planted) for _ in range(rng.randint(0, 4))]
+        texts.append("start " + " and then ".join(said for _, said, _ in mine) + " end")
+        parts.append(mine)
+    out = {r.doc_id: r for r in pii.pseudonymize(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "key").collect()}
+    surrogates = {}
+    for i, mine in enumerate(parts):
+        pattern = "start " + " and then ".join(re.escape(said[: len(said) - len(found)]) + r"(\S+)" for _, said, found in mine) + " end"
+        new = re.fullmatch(pattern, out[i].text)
+        assert new and out[i].n_entities == len(mine) and out[i].kinds == sorted({k for k, _, _ in mine})
+        for (kind, _, found), x in zip(mine, new.groups(), strict=True):
+            assert x != found and len(x) == len(found) or kind == "ip"
+            assert surrogates.setdefault((kind, found.lower()), x.lower()) == x.lower()
+    assert len(set(surrogates.values())) == len(surrogates) > 150
+
+
 def test_pseudonymize(spark, docs, empty):
     extra = docs.withColumn("kinds", F.lit("old")).withColumn("text", F.when(F.col("doc_id") % 2 == 0, F.concat("text", F.lit(" a@b.example.com"))).otherwise(F.col("text")))
     out = pii.pseudonymize(extra, "key")
