@@ -73,22 +73,25 @@ def best_fit_decreasing(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def completions(left: list[int], room: int, most: int = 4, width: int = 8) -> list[tuple[int, ...]]:
-    """Undominated sets of up to `most` of the ascending lengths `left` that fit in `room`: the least waste first, then the fewest and longest pieces."""
+def completions(left: list[int], room: int, width: int = 8, budget: int = 200) -> list[tuple[int, ...]]:
+    """Undominated sets of the ascending lengths `left` that fit in `room`, however many pieces they hold: the least waste first, then the fewest and longest pieces.
+
+    Sets are extended by the longest pieces that fit until none does. `budget` bounds the extensions tried, beyond the
+    first set (which takes the longest piece that fits each time); up to `width` sets are given.
+    """
     found: dict[tuple[int, ...], int] = {}
-    budget = 200
 
     def extend(chosen: tuple[int, ...], room: int, hi: int) -> None:
         nonlocal budget
         i = bisect_right(left, room, 0, hi)
-        if not i or len(chosen) == most:
+        if not i:
             if chosen:
                 found[chosen] = room
             return
         before = 0
         tried = 0
         j = i
-        while j and tried < width and budget:
+        while j and tried < width and (budget > 0 or not tried):
             x = left[j - 1]
             j -= 1
             if x == before:
@@ -133,35 +136,41 @@ def complete(lengths: list[int], capacity: int, nodes: int = 4000) -> list[list[
     bins: list[list[int]] = []
     waste, seen = 0, 0
     total = sum(left)
-    stack: list[tuple[int, list[tuple[int, ...]]]] = []  # the largest piece of each open bin and its completions not tried
+    # the largest piece of each open bin, its completions not tried (None: not enumerated yet), and the one tried without
+    stack: list[list] = []
     while True:
         slack = (spare - len(full)) * capacity - total  # room that a better solution may waste
         if left and waste <= slack and seen < nodes:
             seen += 1
             x = left.pop()
-            exact = _exact(left, capacity - x)
-            options = [exact] if exact else completions(left, capacity - x) or [()]
-            stack.append((x, options[1:]))
-            chosen = options[0]
+            chosen = _exact(left, capacity - x)
+            if chosen:  # one piece that fills the room dominates all else; to a pair there may be alternatives
+                stack.append([x, [] if len(chosen) == 1 else None, chosen])
+            else:
+                options = completions(left, capacity - x) or [()]
+                stack.append([x, options[1:], None])
+                chosen = options[0]
         else:
             if not left and waste <= slack and len(full) + len(bins) < len(best):
                 best = full + [list(b) for b in bins]
                 spare = len(best) - 1
                 if len(best) <= bound:
                     return best
-            while stack and not stack[-1][1]:
-                x, _ = stack.pop()
+            while True:  # back to the last bin that has another completion
+                if not stack or seen >= nodes:
+                    return best
+                x, options, tried = stack[-1]
                 b = bins.pop()
                 waste -= capacity - sum(b)
-                for y in b:
+                for y in b[1:]:
                     insort(left, y)
-            if not stack or seen >= nodes:
-                return best
-            x, options = stack[-1]
-            b = bins.pop()
-            waste -= capacity - sum(b)
-            for y in b[1:]:
-                insort(left, y)
+                if options is None:
+                    options = stack[-1][1] = [c for c in completions(left, capacity - x) if c != tried]
+                if options:
+                    break
+                insort(left, x)
+                stack.pop()
+            seen += 1
             chosen = options.pop(0)
         for y in chosen:
             left.pop(bisect_left(left, y))
@@ -201,6 +210,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048) -> Dat
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: of each piece of each row of docs.
 
     A null or empty text is a piece of length 1 (its end id); rows that repeat each have pieces. Other columns play no
-    part, and an empty table gives an empty result. There are at least as many pieces as rows, which sets the groups.
+    part, and an empty table gives an empty result. Very long texts are encoded and cut whole, by one task each. About how
+    many pieces there are, which sets the groups, is told from the rows and their bytes, four to a token.
     """
-    return pack(pieces(docs, tokenizer, capacity), capacity, count=docs.count())
+    rows, size = docs.agg(F.count("*"), F.sum(F.octet_length(F.coalesce("text", F.lit(""))))).first()
+    return pack(pieces(docs, tokenizer, capacity), capacity, count=rows + (size or 0) // (4 * capacity))

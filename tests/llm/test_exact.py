@@ -216,7 +216,7 @@ def test_token_ids_are_the_tokenizers(tokenizer, rows):
     from tokenizers import Tokenizer
 
     theirs, ours = Tokenizer.from_file(tokenizer), Encoder(tokenizer)
-    more = ["<|endoftext|>", "a <|endoftext|> b", "\n <|endoftext|>", "it's   x\t\ty ", "  x", "é", "\x1c \x85 ²Ⅷ"]
+    more = ["<|endoftext|>", "a <|endoftext|> b", "\n <|endoftext|>", "it's   x\t\ty ", "  x", "é", "\x1c \x85 ²Ⅷ", "x" + " " * 5000 + "y", "\n" * 5000, "\u3000" * 3000]
     for t in [t for _, t in rows if t is not None] + more:
         assert ours.encode(t).tolist() == theirs.encode(t, add_special_tokens=False).ids
 
@@ -241,9 +241,39 @@ def test_packing(docs, rows, empty, tokenizer):
     assert packing.pack_documents(empty, tokenizer).count() == 0
 
 
+def test_packing_of_very_long_texts(spark, tokenizer):
+    """Two million blanks or line ends, or one letter two million times, are as good as any other text."""
+    texts = [" " * 2_000_000, "\n" * 2_000_000, "a" * 2_000_000, "ok"]
+    got = packing.pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), tokenizer).toPandas()
+    ours = Encoder(tokenizer)
+    assert got.groupby("doc_id").length.sum().to_dict() == {d: len(ours.encode(t)) + 1 for d, t in enumerate(texts)}
+    assert got.groupby("sequence_id").length.sum().max() <= 2048
+
+
+@pytest.mark.parametrize(("low", "high"), [(3, 60), (20, 400), (100, 1900), (600, 760), (1, 2048), (683, 1024)])
+def test_bin_completion_is_no_worse_than_best_fit(low, high):
+    """Short, mixed and third-sized pieces: never more sequences than best fit decreasing, and close to the bound where pieces are small."""
+    rng = random.Random(low)
+    fewer = 0
+    for _ in range(5):
+        sizes = [rng.randint(low, high) for _ in range(1500)]
+        bins, fit = packing.complete(sizes, 2048), packing.best_fit_decreasing(sizes, 2048)
+        assert sorted(x for b in bins for x in b) == sorted(sizes) and max(map(sum, bins)) <= 2048
+        assert len(bins) <= len(fit)
+        fewer += len(fit) - len(bins)
+        if high <= 400:
+            assert len(bins) <= -(-sum(sizes) // 2048) + 1
+    print(low, high, fewer)
+
+
+def test_completions_hold_as_many_pieces_as_fit():
+    left = sorted(random.Random(2).randint(3, 40) for _ in range(400))
+    found = packing.completions(left, 1500)
+    assert found and all(sum(f) <= 1500 for f in found) and min(map(len, found)) > 30 and sum(found[0]) == 1500
+
+
 def test_bin_completion_is_optimal_on_small_inputs():
     import itertools
-    import random
 
     def least(sizes, capacity):
         """Fewest bins by trying every assignment."""
