@@ -8,6 +8,7 @@ how many shingles there are.
 from __future__ import annotations
 
 from collections.abc import Callable
+from math import isqrt
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -77,14 +78,30 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", sketch(F.col("text")).alias("sketch"))
 
 
-def with_next(docs: DataFrame, buckets: int) -> DataFrame:
+def _ranges(docs: DataFrame, buckets: int | None, bytes_each: int = 32 << 20) -> tuple[Column, int]:
+    """The number of the range that a row's doc_id falls in, and how many there are: ranges of about as many rows each.
+
+    Their bounds are approximate percentiles of the ids, so uneven ids or one far off make no range large; there are
+    enough that each has some `bytes_each` of text. Bounds are searched in two steps, as there may be many.
+    """
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = buckets or max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // bytes_each))
+    shares = F.array(*[F.lit(i / n) for i in range(1, n)]) if n > 1 else F.array(F.lit(0.5))
+    bounds = sorted(set(docs.agg(F.percentile_approx("doc_id", shares, F.lit(20 * n))).first()[0] or []))
+    step = isqrt(len(bounds)) + 1
+    fine = [bounds[i : i + step] for i in range(0, len(bounds), step)] or [[]]
+    number = lambda of: F.array(*[F.lit(x) for x in of]).cast("array<bigint>")
+    below = lambda of: F.size(F.filter(of, lambda x: x < F.col("doc_id")))
+    coarse = below(number([part[-1] for part in fine[:-1]]))
+    return (coarse * step + below(F.element_at(F.array(*map(number, fine)), coarse + 1))).alias("bucket"), len(bounds) + 1
+
+
+def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     """doc_id, own and next: (text, sketch) of each row and of the one that follows in descending doc_id (then text); the first follows the last.
 
-    Rows are dealt to equal ranges of doc_id and sorted in each; where a range ends, the first row of the next one follows.
+    Rows are dealt to ranges of doc_id and sorted in each; where a range ends, the first row of the next one follows.
     """
-    lo, hi = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
-    width = 1 if lo is None else -(-(hi - lo + 1) // buckets)
-    bucket = F.floor((F.col("doc_id") - F.lit(lo or 0)) / F.lit(width)).cast("int").alias("bucket")
+    bucket, parts = _ranges(docs, buckets)
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), bucket)
     both = lambda text: F.struct(text.alias("text"), sketch(text).alias("sketch"))
     tops = base.groupBy("bucket").agg(F.max("doc_id").alias("doc_id"))
@@ -93,7 +110,7 @@ def with_next(docs: DataFrame, buckets: int) -> DataFrame:
     before = F.coalesce(F.lag("bucket").over(down), F.min("bucket").over(down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     heads = tops.select("bucket", before.alias("of")).join(first, "bucket").select(F.col("of").alias("bucket"), both(F.col("text")).alias("head"))
     rows = base.select("doc_id", both(F.col("text")).alias("own"), "bucket")
-    led = rows.withColumn("follows", F.lead("own").over(Window.partitionBy("bucket").orderBy(F.desc("doc_id"), F.desc("own"))))
+    led = rows.repartition(parts, "bucket").withColumn("follows", F.lead("own").over(Window.partitionBy("bucket").orderBy(F.desc("doc_id"), F.desc("own"))))
     return led.join(heads, "bucket", "left").select("doc_id", "own", F.coalesce("follows", "head").alias("next"))
 
 
@@ -101,10 +118,10 @@ def edited(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_shingles_est, kept_share_est of each row of docs.
 
     A row's edited text has its last half replaced by as much of the following row's. Likeness is the estimated
-    resemblance. Null texts count as empty; rows that repeat follow each other; other columns play no part.
+    resemblance. Null texts count as empty; rows that repeat follow each other; other columns play no part; an empty table
+    gives an empty result. Any doc_id goes, however far apart; a very long text is one row of one task.
     """
-    parts = buckets or max(64, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = with_next(docs, parts)
+    rows = with_next(docs, buckets)
     half = "cast(floor(length(own.text) / 2) as int)"
     text = F.concat(F.expr(f"substring(own.text, 1, length(own.text) - {half})"), F.expr(f"substring(next.text, 1, {half})"))
     rows = rows.select("doc_id", F.length("own.text").cast("bigint").alias("n_chars"), text.alias("edited"), F.col("own.sketch").alias("sketch"), F.col("next.sketch").alias("next_sketch"))

@@ -319,6 +319,34 @@ def test_fingerprints(spark, docs, rows, empty):
     assert fingerprint.edited(one).first().near_next == 1.0
 
 
+@pytest.mark.parametrize("ids", [[-(2**63) + 5, 2**63 - 5], [5, 5, 5], [-(2**63), *range(40), 10**15, 2**63 - 1], [7], list(range(0, 900, 3)) + [10**18]])
+def test_fingerprints_of_uneven_ids(spark, ids):
+    texts = [(d, f"text {i} of {d}") for i, d in enumerate(ids)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    order = sorted(texts, reverse=True)
+    want = []
+    for k, (d, t) in enumerate(order):
+        want.append((d, hashlib.sha256((t[: len(t) - len(t) // 2] + order[(k + 1) % len(order)][1][: len(t) // 2]).encode()).hexdigest()))
+    for buckets in (None, 1, 7):
+        assert sorted((r.doc_id, r.edited_sha256) for r in fingerprint.edited(docs, buckets).collect()) == sorted(want)
+
+
+def test_sketches_against_sets(spark, docs, rows):
+    """Sketches, likeness and estimates against sets of shingles: exact up to 128 shingles, and by the definition of bottom-k beyond."""
+    texts = sorted({t or "" for _, t in rows})
+    pairs = spark.createDataFrame([(a, b) for a in texts[::3] for b in texts[::5]], "a string, b string")
+    both = pairs.select("a", "b", fingerprint.sketch(F.col("a")).alias("x"), fingerprint.sketch(F.col("b")).alias("y"))
+    got = both.select("a", "b", "x", "y", fingerprint.resemblance(F.col("x"), F.col("y")).alias("j"), fingerprint.distinct_shingles(F.col("x")).alias("n")).collect()
+    exact = lambda t: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := WORD.findall(t)) else set()
+    for r in got:
+        s, t = exact(r.a), exact(r.b)
+        if len(s | t) <= 128:
+            assert r.j == pytest.approx(len(s & t) / len(s | t) if s | t else 1.0) and r.n == len(s)
+        k = sorted({*r.x, *r.y})[:128]
+        assert r.j == pytest.approx(len([h for h in k if h in set(r.x) & set(r.y)]) / len(k) if k else 1.0)
+        assert len(r.x) == min(128, len(s)) and r.x == sorted(r.x)
+
+
 def test_sketch_estimates(spark):
     a, b = [f"a{i}" for i in range(3000)], [f"b{i}" for i in range(3000)]
     df = spark.createDataFrame([(" ".join(a), " ".join(a[:2000] + b[:1000]))], "x string, y string").select(fingerprint.sketch(F.col("x")).alias("x"), fingerprint.sketch(F.col("y")).alias("y"))
