@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import text as tx
 from .common import Scratch, small
-from .components import components
+from .components import components, joined
 
 HASHES, TREES, DEPTH = 128, 16, 3
 #: From so many copies a group is hot: there are few such groups for each million documents.
@@ -153,14 +153,13 @@ def _neighbours(ordered: DataFrame, width: int, percent: int, edges: bool) -> Da
 
 
 def _pairs(forest: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
-    """a, b (a < b), trees: pairs of neighbours, and in how many trees they are."""
+    """a, b (a < b): pairs of neighbours."""
     keys = ("region", "rest", "n", "id")
     ordered = forest.repartitionByRange(max(TREES, int(forest.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys).sortWithinPartitions(*keys)
     inside = scratch.write(_neighbours(ordered, width, percent, True), "neighbours")
     edge = inside.filter(f"what = {EDGE}").select("region", "rest", F.col("x").alias("id"), "n").distinct()  # a few rows of each partition
     across = _neighbours(edge.repartition("region").sortWithinPartitions(*keys), width, percent, False)
-    pairs = inside.filter(f"what = {PAIR}").unionByName(across).select("region", F.col("x").alias("a"), F.col("y").alias("b"))
-    return pairs.groupBy("a", "b").agg(F.count_distinct("region").alias("trees"))
+    return inside.filter(f"what = {PAIR}").unionByName(across).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -264,20 +263,17 @@ def _untried(pairs: DataFrame, tried: DataFrame) -> DataFrame:
     return pairs.select("a", "b", least, greatest).join(tried.select(least, greatest), ["x", "y"], "left_anti").dropDuplicates(["x", "y"]).select("a", "b")
 
 
-def _star(dense: DataFrame, comp: DataFrame, links: DataFrame, were: DataFrame | None, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(a, b): of each dense region the document with the most links that was no hub of it yet, with those in other components; and the hubs so far."""
+def _star(dense: DataFrame, comp: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+    """(a, b): of each dense region of several components the document with the most links, with those in other components than its own."""
     degree = links.select(F.explode(F.array("u", "v")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
-    rows = _named(dense, comp).join(degree, "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
-    open_ = rows.groupBy("region").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("region")
-    rows = scratch.write(rows.join(open_, "region"), "open")
-    left = rows.join(were, ["region", "id"], "left_anti") if were is not None else rows
-    hub = scratch.write(left.groupBy("region").agg(F.max_by(F.struct(F.col("id").alias("hub"), F.col("n").alias("size"), F.col("component").alias("its")), F.struct("degree", -F.col("id"))).alias("h")).select("region", "h.*"), "hubs")
-    apart = rows.join(hub, "region").filter(f"component <> its and 100 * least(n, size) >= {percent} * greatest(n, size)")
-    now = hub.select("region", F.col("hub").alias("id"))
-    return apart.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), now if were is None else were.unionByName(now)
+    rows = _named(dense, comp)
+    first = F.max_by(F.struct(F.col("id").alias("hub"), F.col("n").alias("size"), F.col("component").alias("its")), F.struct(F.coalesce("degree", F.lit(0)), -F.col("id"), F.col("n")))
+    hubs = rows.join(degree, "id", "left").groupBy("region").agg(first.alias("h"), F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("region", "h.*")
+    apart = rows.join(hubs, "region").filter(f"component <> its and 100 * least(n, size) >= {percent} * greatest(n, size)")
+    return apart.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, width: int = 4, hubs: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, width: int = 4, hubs: int = 1) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept.
 
     Words are ASCII-lower-cased runs of anything but ASCII white space; a text of fewer than k words is one shingle; a
@@ -299,32 +295,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, width: int =
     ids = scratch.write(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(dense.select(F.col("id").alias("doc_id"))).distinct(), "ids")
     sets = scratch.write(shingle_sets(docs.select("doc_id", "text").join(small(ids, ids.count()), "doc_id", "left_semi"), k), "sets")
 
-    # first each document with the partner that it meets in most trees
-    met = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("p"), "trees").select("p.*", "trees")
-    best = met.groupBy("x").agg(F.max(F.struct("trees", (-F.col("y")).alias("y"))).alias("m")).select(F.least("x", -F.col("m.y")).alias("a"), F.greatest("x", -F.col("m.y")).alias("b")).distinct()
-    best = scratch.write(best, "best")
-    links = scratch.write(_confirm(best, sets, percent), "confirmed")
+    links = scratch.write(_confirm(pairs, sets, percent), "confirmed")
     comp = scratch.write(components(links, scratch=scratch), "components")
-
-    # then the pairs that still join two components
-    side = lambda c: comp.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
-    rest = pairs.join(best, ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left").filter("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
-    rest = scratch.write(rest, "rest")
-    links = links.unionByName(scratch.write(_confirm(rest, sets, percent), "confirmed"))
-    comp = scratch.write(components(links, scratch=scratch), "components")
-    tried = best.select("a", "b").unionByName(rest)
+    tried = pairs
 
     # then the hubs of dense regions, one at a time, for the documents there that are in other components
-    were = None
     for _ in range(hubs):
-        star, were = _star(dense, comp, links, were, percent, scratch)
-        star = scratch.write(_untried(star, tried), "star")
+        star = scratch.write(_untried(_star(dense, comp, links, percent), tried), "star")
         new = scratch.write(_confirm(star, sets, percent), "confirmed")
         tried = tried.unionByName(star)
         if new.isEmpty():
             break
         links = links.unionByName(new)
-        comp = scratch.write(components(links, scratch=scratch), "components")
+        comp = joined(comp, new, scratch)
 
     # and exactly what the hubs didn't show, in dense regions of more than one component
     rows = _named(dense.select("region", "id"), comp)
@@ -335,7 +318,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, width: int =
         across = scratch.write(_untried(_across(_prefixes(some, _rarity(some), percent), comp, percent, scratch), tried), "across")
         new = scratch.write(_confirm(across, sets, percent), "confirmed")
         if not new.isEmpty():
-            comp = scratch.write(components(links.unionByName(new), scratch=scratch), "components")
+            comp = joined(comp, new, scratch)
 
     # large groups of copies find their component through a broadcast (of a checked size), the others in a shuffle
     member = scratch.write(nodes.join(comp, "id", "left").select("cls", F.coalesce("component", "id").alias("component"), "copies"), "members", last=True)
