@@ -99,6 +99,27 @@ class Fields:
             return Operand(f"coalesce({one}, {get % self.dialect.text(path)})" if "." in name else one, self.types.get(name, "text"))
         return Operand("cast(null as string)" if self.dialect.spark else "cast(null as varchar)", "null")
 
+    def values(self, separator: str) -> str:
+        """All values of the document as one text, nested ones too; its keys are not among them.
+
+        Of a JSON text the tokens are found, those that a colon follows left out, and the rest read again as an array,
+        which takes escapes out of them. Nulls are no values.
+        """
+        d, doc, t = self.dialect, self.dialect.name_of(self.document), self.schema[self.document].dataType
+        token = r'"(?:[^"\\]|\\.)*"\s*:?|-?[0-9][0-9.eE+-]*|true|false'
+        if not d.spark:
+            tokens = f"list_filter(regexp_extract_all({doc}, {d.text(token)}), lambda t: NOT ends_with(t, ':'))"
+            return f"array_to_string(json_extract_string('[' || array_to_string({tokens}, ',') || ']', '$[*]'), {separator})"
+
+        def leaves(json: str) -> str:
+            tokens = f"filter(regexp_extract_all({json}, {d.text(token)}, 0), t -> NOT endswith(t, ':'))"
+            return f"array_join(from_json(concat('[', array_join({tokens}, ','), ']'), 'array<string>'), {separator})"
+
+        if isinstance(t, T.MapType):
+            nested = "startswith(v, '{') OR startswith(v, '[')"
+            return f"array_join(transform(map_values({doc}), v -> CASE WHEN {nested} THEN coalesce({leaves('v')}, v) ELSE v END), {separator})"
+        return leaves(f"to_json({doc})" if isinstance(t, T.VariantType) else doc)
+
     def leaves(self) -> list[Operand]:
         """Every value of an event, for keywords; columns whose names start with two underscores are helpers."""
         out: list[Operand] = []

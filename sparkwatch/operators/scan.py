@@ -1,8 +1,9 @@
 """A library of rules over events: all hits in one pass, and what is counted of them.
 
-Rules are grouped by the route pairs that they share, so an event is only tested against the rules of its own channel and
-id. Each group is a branch: a filter that reaches the scan, then one projection of its rules' predicates. Wide groups are
-cut into chunks, which keeps generated methods small.
+The events are read once, whatever the library. Rules are grouped by the route pairs that they share, and an event's
+channel and id say which groups are for it: at most one of each kind (any channel, the channel as a whole, channel and id).
+One projection tests those groups' rules, and events without a hit end there. Texts that several rules read in lower case
+are lower-cased once. Groups are cut into chunks, which keeps generated methods small.
 """
 
 from __future__ import annotations
@@ -31,11 +32,13 @@ class Library:
     routes: dict[str, rt.Route]
     unsupported: dict[str, str] = field(default_factory=dict)
     unroutable: list[str] = field(default_factory=list)
+    shared: dict[str, str] = field(default_factory=dict)  # columns that predicates read, as expressions
 
     @classmethod
     def build(cls, rules: list[Rule], fields: Fields, include_deprecated: bool = False, drop: set[str] = frozenset()) -> Library:  # type: ignore[assignment]
         """A rule's key is its id, or its path without one; of rules that share a key the first counts."""
-        compiler, out = Compiler(fields), cls({}, {}, {})
+        out = cls({}, {}, {})
+        compiler = Compiler(fields, out.shared)
         for r in rules:
             if r.key in out.rules or r.key in drop or (r.status == "deprecated" and not include_deprecated):
                 continue
@@ -56,52 +59,105 @@ class Library:
 
     def without(self, keys: set[str]) -> Library:
         keep = lambda d: {k: v for k, v in d.items() if k not in keys}
-        return Library(keep(self.predicates), keep(self.rules), keep(self.routes), self.unsupported, self.unroutable)
+        return Library(keep(self.predicates), keep(self.rules), keep(self.routes), self.unsupported, self.unroutable, self.shared)
 
 
 def keyed(events: DataFrame, channel: str = "Channel", event_id: str = "EventID") -> DataFrame:
     return events.withColumns({"__channel": rt.channel_key(channel), "__eid": rt.event_id_key(event_id)})
 
 
-def _groups(library: Library) -> dict[tuple[str, int | None], list[str]]:
-    out: dict[tuple[str, int | None], list[str]] = {}
+def _kind(pair: tuple[str, int | None]) -> int:
+    """0: any channel, 1: a channel as a whole, 2: a channel and an id. An event meets at most one pair of each kind."""
+    return 0 if pair[0] == rt.ANY else 1 if pair[1] is None else 2
+
+
+def _groups(library: Library) -> list[dict[tuple[str, ...], list[tuple[str, int | None]]]]:
+    """For each kind of pair the rules that are for the same pairs, and those pairs."""
+    of: dict[tuple[str, int | None], list[str]] = {}
     for k, r in library.routes.items():
         for pair in dict.fromkeys(r.pairs):
-            out.setdefault(pair, []).append(k)
+            of.setdefault(pair, []).append(k)
+    out: list[dict[tuple[str, ...], list[tuple[str, int | None]]]] = [{}, {}, {}]
+    for pair, ids in of.items():
+        out[_kind(pair)].setdefault(tuple(ids), []).append(pair)
+    return out
+
+
+def _number(groups: dict[tuple[str, ...], list[tuple[str, int | None]]]) -> Column:
+    """The number of the group that an event belongs to: a choice by channel first, then by id."""
+    by: dict[str, dict[int | None, list[int]]] = {}
+    for g, pairs in enumerate(groups.values()):
+        for channel, eid in pairs:
+            by.setdefault(channel, {}).setdefault(eid, []).append(g)
+    out = None
+    for channel, ids in by.items():
+        if channel == rt.ANY:
+            return F.when(~F.col("__channel").isin(*rt.NOT_WINDOWS), F.lit(ids[None][0]))
+        if None in ids:
+            inner = F.lit(ids[None][0])
+        else:
+            same: dict[int, list[int]] = {}
+            for eid, (g,) in ids.items():
+                same.setdefault(g, []).append(eid)  # type: ignore[arg-type]
+            inner = None
+            for g, eids in same.items():
+                here = F.col("__eid").isin(*eids)
+                inner = F.when(here, F.lit(g)) if inner is None else inner.when(here, F.lit(g))
+        at = F.col("__channel") == channel
+        out = F.when(at, inner) if out is None else out.when(at, inner)
     return out
 
 
-def _within(pair: tuple[str, int | None]) -> Column:
-    channel, eid = pair
-    here = ~F.col("__channel").isin(*rt.NOT_WINDOWS) if channel == rt.ANY else F.col("__channel") == channel
-    return here if eid is None else here & (F.col("__eid") == eid)
+def _overlap(library: Library) -> bool:
+    """Whether an event may meet a rule by two kinds of pairs."""
+    return any(len({_kind(p) for p in r.pairs}) > 1 for r in library.routes.values())
+
+
+def _pruned(events: DataFrame, library: Library) -> DataFrame:
+    """Events that some route is for, as far as the files' partitions and statistics can tell: `channel_key` is what ingest writes."""
+    pairs = {p for r in library.routes.values() for p in r.pairs}
+    if "channel_key" in events.columns and all(c != rt.ANY for c, _ in pairs):
+        events = events.filter(F.col("channel_key").isin(*sorted({c for c, _ in pairs})))
+    if pairs and all(i is not None for _, i in pairs) and dict(events.dtypes).get("EventID") in ("tinyint", "smallint", "int", "bigint"):
+        ids = sorted({i for _, i in pairs})
+        events = events.filter(F.col("EventID").isin(*ids) if 0 not in ids else F.col("EventID").isin(*ids) | F.col("EventID").isNull())
+    return events
 
 
 def hits(events: DataFrame, library: Library, keep: list[str] | None = None, fields: Callable[[str], str] | None = None, chunk: int = 250) -> DataFrame:
     """rule_id and the columns `keep` of events, a row for each rule that an event matches (each rule once)."""
     register(events.sparkSession)
     keep = events.columns if keep is None else keep
-    resolve = fields or (lambda n: Fields(events.schema)(n).sql)
-    keys = keyed(events)
-    by_rules: dict[tuple[str, ...], list[tuple[str, int | None]]] = {}
-    for pair, ids in _groups(library).items():  # pairs that lead to the same rules share a branch
-        by_rules.setdefault(tuple(ids), []).append(pair)
-    parts = []
-    for ids, pairs in by_rules.items():
-        here = keys.filter(reduce(Column.__or__, map(_within, pairs)))
-        for i in range(0, len(ids), chunk):
-            tests = []
-            for k in ids[i : i + chunk]:
-                p = F.expr(library.predicates[k])
-                if guard := library.routes[k].guard:
-                    p = p & F.lower(F.coalesce(F.expr(f"cast({resolve(guard[0])} as string)"), F.lit(""))).isin(*guard[1])
-                tests.append(F.when(p, F.lit(k)))
-            parts.append(here.select(*keep, F.explode(F.array_compact(F.array(*tests))).alias("rule_id")))
-    if not parts:
+    if not any(r.pairs for r in library.routes.values()):
         return events.select(*keep, F.lit("").alias("rule_id")).limit(0)
-    out = reduce(DataFrame.unionByName, parts)
-    several = any(len({p for p in r.pairs}) > 1 and any(c == rt.ANY for c, _ in r.pairs) for r in library.routes.values())
-    return out.dropDuplicates() if several else out
+    resolve = fields or (lambda n: Fields(events.schema)(n).sql)
+    kinds = [(k, g) for k, g in enumerate(_groups(library)) if g]
+    used = " ".join(library.predicates.values())
+    shared = {alias: F.expr(sql) for alias, sql in library.shared.items() if used.count(alias) > 1}
+    texts = {k: p for k, p in library.predicates.items()}
+    for alias, sql in library.shared.items():
+        if alias not in shared and alias in used:
+            texts = {k: p.replace(alias, sql) for k, p in texts.items()}
+
+    def test(key: str) -> Column:
+        p = F.expr(texts[key])
+        if guard := library.routes[key].guard:
+            p = p & F.lower(F.coalesce(F.expr(f"cast({resolve(guard[0])} as string)"), F.lit(""))).isin(*guard[1])
+        return F.when(p, F.lit(key))
+
+    def found(kind: int, groups: dict[tuple[str, ...], list[tuple[str, int | None]]]) -> Column:
+        out = None
+        for g, ids in enumerate(groups):
+            parts = [F.array_compact(F.array(*map(test, ids[i : i + chunk]))) for i in range(0, len(ids), chunk)]
+            here, one = F.col(f"__group{kind}") == g, parts[0] if len(parts) == 1 else F.concat(*parts)
+            out = F.when(here, one) if out is None else out.when(here, one)
+        return out.otherwise(F.array().cast("array<string>"))
+
+    keys = keyed(_pruned(events, library)).withColumns({f"__group{k}": _number(g) for k, g in kinds} | shared)
+    keys = keys.filter(reduce(Column.__or__, [F.col(f"__group{k}").isNotNull() for k, _ in kinds]))
+    parts = [found(k, g) for k, g in kinds]
+    every = parts[0] if len(parts) == 1 else F.concat(*parts)
+    return keys.select(*keep, F.explode(F.array_distinct(every) if _overlap(library) else every).alias("rule_id"))
 
 
 def hits_per_rule(found: DataFrame, index: str = "event_idx") -> DataFrame:

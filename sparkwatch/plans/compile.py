@@ -11,12 +11,12 @@ import re
 from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import literals as lit
 from ..functions.dialect import DUCKDB, SPARK, Fields, Operand
-from ..functions.regex import to_java
+from ..functions.regex import to_java, valid_in_java
 from ..model import Rule, UnsupportedRule
 from . import conditions
 
@@ -36,8 +36,10 @@ def _not(sql: str) -> str:
 
 
 class Compiler:
-    def __init__(self, fields: Fields) -> None:
-        self.fields, self.d = fields, fields.dialect
+    """Compiles selections over `fields`. With `shared`, texts in lower case become names there, for the caller to compute once."""
+
+    def __init__(self, fields: Fields, shared: dict[str, str] | None = None) -> None:
+        self.fields, self.d, self.shared = fields, fields.dialect, shared
 
     # leaves
 
@@ -51,9 +53,19 @@ class Compiler:
         hexed = f"cast(conv(substring({s}, 3), 16, 10) as double)" if self.d.spark else f"try_cast(try_cast({s} as bigint) as double)"
         return f"(CASE WHEN {self.d.matches(s, _NUMBER)} THEN try_cast({s} as double) WHEN {self.d.matches(s, '^0[xX][0-9a-fA-F]{1,15}$')} THEN {hexed} END)"
 
+    def _lower(self, a: str) -> str:
+        sql = f"lower({a})"
+        if self.shared is None or a == "x":  # x: an element of an array
+            return sql
+        for alias, known in self.shared.items():
+            if known == sql:
+                return alias
+        self.shared[f"__lower_{len(self.shared)}_"] = sql
+        return f"__lower_{len(self.shared) - 1}_"
+
     def _words(self, a: str, values: list[str], how: str, cased: bool) -> str:
         """Any of the values, as equality, prefix, suffix or substring of text `a`."""
-        s = a if cased else f"lower({a})"
+        s = a if cased else self._lower(a)
         fold = (lambda v: v) if cased else str.lower
         wild = [v for v in values if lit.has_wildcard(v)]
         flat = list(dict.fromkeys(fold(lit.plain(v)) for v in values if not lit.has_wildcard(v)))
@@ -90,6 +102,9 @@ class Compiler:
             java = to_java(pattern, flags)
         except re.error as e:
             raise UnsupportedRule(f"not a pattern: {pattern!r}") from e
+        session = SparkSession.getActiveSession() if self.d.spark else None
+        if session is not None and not valid_in_java(session, java):
+            raise UnsupportedRule(f"not a pattern for Java: {pattern!r}")
         return self.d.matches(a, java if self.d.spark else (f"(?{flags}){pattern}" if flags else pattern))
 
     def _value(self, value: Any, mods: list[str]) -> Callable[[Operand], str]:
@@ -157,13 +172,16 @@ class Compiler:
         return _not(sql) if "neq" in mods else sql
 
     def _blob(self) -> str:
+        """All values of an event as one text, a line each; of a document only its values, without the columns around it."""
+        sep = "'\\n'" if self.d.spark else "chr(10)"
+        if self.fields.document:
+            return self.fields.values(sep)
         parts = []
         for a in self.fields.leaves():
             if a.array:
                 parts.append(f"array_join({a.sql}, '\\n')" if self.d.spark else f"array_to_string({a.sql}, chr(10))")
             else:
                 parts.append(self._text(a))
-        sep = "'\\n'" if self.d.spark else "chr(10)"
         return f"concat_ws({sep}, {', '.join(parts)})" if parts else self.d.text("")
 
     def keyword(self, value: Any, mods: list[str] | None = None) -> str:
