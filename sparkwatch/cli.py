@@ -3,34 +3,53 @@
 from __future__ import annotations
 
 import argparse
+import json
 import sys
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .functions.dialect import Fields
 from .model import GatePolicy
-from .operators import coverage, decay, features, gate, lint, scan
+from .operators import coverage, decay, draft, features, gate, lint, scan
 from .plans.compile import rule_sql
-from .sources import logs, synth
+from .sources import captures, logs, synth
 from .sources import rules as rule_files
 
 
+#: Commands and what they take: rules are files or folders, one or more.
+COMMANDS = {
+    "lint": "rules", "test": "rules events", "scan": "rules events", "regress": "rules captures", "ingest": "events out", "coverage": "rules", "score": "rules",
+    "decay": "rules events", "features": "rules", "convert": "rules events", "draft": "report", "synth": "out",
+}
+
+
 def _arguments(argv: list[str] | None) -> argparse.Namespace:
     top = argparse.ArgumentParser(prog="sparkwatch", description=__doc__)
     sub = top.add_subparsers(dest="command", required=True)
-    for name, wants in {"lint": "rules", "test": "rules events", "scan": "rules events", "ingest": "events out", "coverage": "rules", "score": "rules", "decay": "rules events", "features": "rules", "convert": "rules events", "synth": "out"}.items():
+    for name, wants in COMMANDS.items():
         p = sub.add_parser(name)
         for w in wants.split():
-            p.add_argument(w)
+            p.add_argument(w, nargs="+" if w == "rules" else None)
         p.add_argument("--strict", action="store_true")
         p.add_argument("--days", type=float, default=1.0)
         p.add_argument("--top", type=int, default=20)
         p.add_argument("--fail-on-gate", action="store_true")
         p.add_argument("--allow-empty", action="store_true")
+        p.add_argument("--save-baseline", metavar="FILE")
+        p.add_argument("--baseline", metavar="FILE")
+        p.add_argument("--technique", action="append", default=[])
+        p.add_argument("--keywords", action="store_true")
     return top.parse_args(argv)
 
 
+def _missing(a: argparse.Namespace) -> list[str]:
+    """Inputs that aren't there, among those that name local files."""
+    given = [*getattr(a, "rules", []), *(getattr(a, k) for k in ("events", "captures", "report") if hasattr(a, k)), *([a.baseline] if a.baseline else [])]
+    return [p for p in given if "://" not in p and "*" not in p and not Path(p).exists()]
+
+
 def _gate(spark: SparkSession, rules: list, events, policy: GatePolicy):  # type: ignore[no-untyped-def]
     """Fixtures and corpus of each rule in one table, a hit or not."""
     from .plans.compile import hit_column
@@ -51,8 +70,13 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         a = _arguments(argv)
     except SystemExit as e:
         return 2 if e.code else 0
+    if missing := _missing(a):
+        print(f"no such file or folder: {', '.join(missing)}", file=sys.stderr)
+        return 2
     spark = spark or SparkSession.builder.getOrCreate()
-    rules, errors = rule_files.load_rule_dir(a.rules) if hasattr(a, "rules") else ([], {})
+    rules, errors = rule_files.load_rule_dir(*a.rules) if hasattr(a, "rules") else ([], {})
+    for path, why in errors.items():
+        print(f"{path}: {why}", file=sys.stderr)
     if hasattr(a, "rules") and not rules and not a.allow_empty:
         print("no rules", file=sys.stderr)
         return 2
@@ -71,7 +95,34 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     if a.command == "test":
         result = _gate(spark, rules, events, policy)
         result.show(a.top, truncate=60)
+        if a.save_baseline:
+            rows = result.select("rule_id", "recall", "fp_hits").collect()  # a row for each rule
+            Path(a.save_baseline).write_text(json.dumps({r["rule_id"]: {"recall": r["recall"], "fp_hits": r["fp_hits"]} for r in rows}, indent=1), encoding="utf-8")
+        if a.baseline:
+            old = json.loads(Path(a.baseline).read_text(encoding="utf-8"))
+            before = spark.createDataFrame([(k, float(v["recall"]), int(v["fp_hits"])) for k, v in old.items()], "rule_id string, recall double, fp_hits long")
+            worse = gate.regressions(before, result)
+            worse.show(a.top, truncate=60)
+            return int(not worse.isEmpty())
         return int(not result.filter("not passed").isEmpty())
+    if a.command == "regress":
+        cases = captures.regression_cases(spark, a.captures)
+        files = [r["file"] for r in cases.select("file").distinct().collect() if Path(r["file"]).exists()]  # a catalogue's files
+        if not files:
+            print("no captures", file=sys.stderr)
+            return 0 if a.allow_empty else 2
+        found = logs.read_json_files(spark, files, skip_broken=True).withColumn("file", F.regexp_replace("file", "^file:/*", "/"))
+        replayed = gate.replay_captures(cases, rules, found)
+        replayed.groupBy("status").count().orderBy("status").show()
+        failed = replayed.filter("status <> 'pass'")
+        failed.select("rule_id", "file", "status", "expected", "matched").show(a.top, truncate=80)
+        return int(not failed.isEmpty())
+    if a.command == "draft":
+        text = Path(a.report).read_text(encoding="utf-8")
+        lines = [r["command"] for r in draft.command_lines(spark.createDataFrame([(text,)], "text string")).collect()]  # of one report
+        made = (draft.draft_keywords if a.keywords else draft.draft)(lines, a.technique, Path(a.report).stem)
+        print(json.dumps(made, indent=1) if made else "the report says too little", file=sys.stdout if made else sys.stderr)
+        return int(made is None)
     if a.command == "scan":
         fields = Fields(events.schema, document="event")
         library = scan.Library.build(rules, fields)

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from math import comb
+from math import ceil, comb, gamma, pi, sqrt
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,3 +42,56 @@ def expected_top_k(df: DataFrame, score: str, label: str, k: int) -> DataFrame:
     order = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     taken = F.greatest(F.lit(0), F.least(F.col("size"), F.lit(k) - (F.sum("size").over(order) - F.col("size"))))
     return groups.withColumn("taken", taken).agg(F.sum(F.col("hits") * F.col("taken") / F.col("size")).alias("expected_hits"))
+
+
+def _running(df: DataFrame, score: str, label: str) -> DataFrame:
+    """Groups of equal scores, highest first, with how many rows stand before them. Scores that models give are many; each is one row here, and a table of them is ordered as a whole."""
+    groups = df.groupBy(score).agg(F.count("*").alias("size"), F.count_if(F.col(label) == 1).alias("hits"))
+    order = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, -1)
+    return groups.withColumn("before", F.coalesce(F.sum("size").over(order), F.lit(0)))
+
+
+def rank_metrics(df: DataFrame, score: str, label: str, k: int, share: float = 0.1) -> DataFrame:
+    """precision_at_k and recall_at_share: expected positives among the top k, and among the top share of all rows, ties broken at random."""
+    groups = _running(df, score, label)
+    n = groups.agg(F.sum("size")).first()[0] or 0
+    part = lambda top: F.sum(F.col("hits") * F.greatest(F.lit(0), F.least(F.col("size"), F.lit(top) - F.col("before"))) / F.col("size"))
+    return groups.agg((part(k) / k).alias("precision_at_k"), F.try_divide(part(ceil(share * n)), F.sum("hits")).alias("recall_at_share"))
+
+
+def t_quantile(p: float, df: int) -> float:
+    """The quantile of Student's t, by halving an interval on its distribution function (Simpson's rule)."""
+    scale = gamma((df + 1) / 2) / (sqrt(df * pi) * gamma(df / 2))
+    density = lambda x: scale * (1 + x * x / df) ** (-(df + 1) / 2)
+
+    def below(x: float, steps: int = 400) -> float:
+        h = x / steps
+        return 0.5 + h / 3 * sum((1 if i in (0, steps) else 4 if i % 2 else 2) * density(i * h) for i in range(steps + 1))
+
+    lo, hi = 0.0, 1000.0
+    for _ in range(60):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if below(mid) < p else (lo, mid)
+    return lo
+
+
+def mean_interval(df: DataFrame, column: str, level: float = 0.95) -> DataFrame:
+    """mean, sd, n of a column's values and the bounds lo and hi of the mean's t interval (null for fewer than two values)."""
+    out = df.agg(F.avg(column).alias("mean"), F.stddev_samp(column).alias("sd"), F.count(column).alias("n"))
+    n = out.first()["n"]
+    half = F.lit(t_quantile(0.5 + level / 2, n - 1) if n > 1 else None).cast("double") * F.col("sd") / F.sqrt("n")
+    return out.withColumns({"lo": F.col("mean") - half, "hi": F.col("mean") + half})
+
+
+def bootstrap_kappa(df: DataFrame, a: str, b: str, rounds: int = 2000, seed: int = 7) -> tuple[float, float]:
+    """The 95 % interval of kappa: the four counts are drawn again from their own shares."""
+    row = df.agg(*[F.count_if(x).alias(n) for n, x in (("tt", F.col(a) & F.col(b)), ("tf", F.col(a) & ~F.col(b)), ("ft", ~F.col(a) & F.col(b)), ("ff", ~F.col(a) & ~F.col(b)))]).first()
+    counts = np.array(row, float)
+    n = counts.sum()
+    if not n:
+        return 0.0, 0.0
+    tt, tf, ft, ff = np.random.default_rng(seed).multinomial(int(n), counts / n, rounds).T
+    chance = ((tt + tf) * (tt + ft) + (ft + ff) * (tf + ff)) / n**2
+    found = np.where(chance == 1, 1.0, ((tt + ff) / n - chance) / np.where(chance == 1, 1.0, 1 - chance))
+    lo, hi = np.percentile(found, [2.5, 97.5])
+    return float(lo), float(hi)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import Rule, UnsupportedRule
@@ -25,11 +25,6 @@ ECS = {
     "IntegrityLevel": "winlog.event_data.IntegrityLevel", "TargetImage": "winlog.event_data.TargetImage", "SourceImage": "winlog.event_data.SourceImage",
     "GrantedAccess": "winlog.event_data.GrantedAccess", "CallTrace": "winlog.event_data.CallTrace",
 }
-FIELDS_4688 = (
-    "NewProcessName", "Image", "CommandLine", "ParentProcessName", "ParentImage", "SubjectUserName", "SubjectDomainName", "SubjectUserSid",
-    "SubjectLogonId", "NewProcessId", "ProcessId", "TokenElevationType", "MandatoryLabel", "TargetUserName", "TargetDomainName",
-)
-
 
 def observed(events: DataFrame, channel: str = "Channel", event_id: str = "EventID") -> DataFrame:
     """channel, eid, fields: names of the top-level fields that hold a value, by source."""
@@ -58,10 +53,35 @@ def observed_paths(documents: DataFrame, column: str) -> DataFrame:
     return documents.sparkSession.createDataFrame([(p,) for p in sorted(paths)], "path string")
 
 
-def drift(rules: DataFrame, seen: DataFrame) -> DataFrame:
-    """rule_id, missing: fields of rules (rule_id, fields) that no event has; rules without any are left out."""
-    known = seen.agg(F.coalesce(F.array_distinct(F.flatten(F.collect_set("fields"))), F.array().cast("array<string>")).alias("known"))
-    return rules.join(F.broadcast(known)).select("rule_id", F.array_sort(F.array_except("fields", "known")).alias("missing")).filter(F.size("missing") > 0)
+def drift(rules: DataFrame, events: DataFrame) -> DataFrame:
+    """rule_id, missing: fields of rules (rule_id, fields) that no event has; rules without any are left out.
+
+    A field is a column that holds a value somewhere, a dotted path into structs that does, or a dotted path of keys in a map.
+    """
+    seen = present_paths(events).select(F.col("path").alias("field"))
+    said = rules.select("rule_id", F.explode("fields").alias("field"))
+    return said.join(F.broadcast(seen), "field", "left_anti").groupBy("rule_id").agg(F.array_sort(F.collect_set("field")).alias("missing"))  # broadcast: names of columns and keys
+
+
+def present_paths(events: DataFrame) -> DataFrame:
+    """path: of columns, nested fields and map keys that hold a value in some event. Each task tells a path once."""
+    from pyspark.sql import types as T
+
+    found: list[Column] = []
+
+    def walk(column: Column, kind: T.DataType, path: str) -> None:
+        found.append(F.when(column.isNotNull(), F.array(F.lit(path))))
+        if isinstance(kind, T.StructType):
+            for f in kind.fields:
+                walk(column.getField(f.name), f.dataType, f"{path}.{f.name}")
+        elif isinstance(kind, T.MapType):
+            found.append(F.map_keys(column))
+
+    for f in events.schema.fields:
+        if not f.name.startswith("__"):
+            walk(F.col(f"`{f.name}`"), f.dataType, f.name)
+    shapes = events.select(F.flatten(F.array_compact(F.array(*found))).alias("paths")).distinct()  # few: one for each set of fields that occurs
+    return shapes.select(F.explode("paths").alias("path")).distinct()
 
 
 def _needs(key: str, value: Any) -> bool:
@@ -145,16 +165,28 @@ def rename(df: DataFrame, names: dict[str, str] = ECS) -> DataFrame:
     return df.withColumnsRenamed({k: v for k, v in names.items() if k in df.columns})
 
 
+# What Security 4688 calls the fields of a Sysmon process creation that it carries.
+AS_4688 = {"NewProcessName": "Image", "Image": "Image", "ParentProcessName": "ParentImage", "ParentImage": "ParentImage", "SubjectUserName": "User", "NewProcessId": "ProcessId", "Computer": "Computer"}
+PROVIDER_4688 = "Microsoft-Windows-Security-Auditing"
+
+
 def to_4688(df: DataFrame, command_line: bool = True, everywhere: bool = True) -> DataFrame:
-    """Without Sysmon: its process creations as Security 4688 with what that carries, its other events gone. Own 4688 events lose the command line only `everywhere`."""
+    """Without Sysmon: its process creations as Security 4688 with what that carries under its names, its other events gone.
+
+    Columns that only the converted events have are added. Own 4688 events lose the command line only `everywhere`.
+    """
     channel, eid = rt.channel_key(), rt.event_id_key()
-    kept = [c for c in (*META_FIELDS, *FIELDS_4688) if c in df.columns and (command_line or c != "CommandLine")]
-    made = df.filter((channel == rt.SYSMON) & (eid == 1)).select(*[F.lit("Security").alias(c) if c == "Channel" else F.lit(4688).cast(df.schema[c].dataType).alias(c) if c == "EventID" else F.col(c) for c in kept])
+    number = df.schema["EventID"].dataType
+    made = {"Channel": F.lit("Security"), "EventID": F.lit(4688).cast(number), "Provider_Name": F.lit(PROVIDER_4688)}
+    made |= {new: F.col(old) for new, old in AS_4688.items() if old in df.columns}
+    if command_line and "CommandLine" in df.columns:
+        made["CommandLine"] = F.col("CommandLine")
+    converted = df.filter((channel == rt.SYSMON) & (eid == 1)).select(*[v.alias(k) for k, v in made.items()])
     rest = df.filter(channel != rt.SYSMON)
     if not command_line and everywhere and "CommandLine" in df.columns:
         own = (channel == rt.SECURITY) & (eid == 4688)
         rest = rest.withColumn("CommandLine", F.when(~own, F.col("CommandLine")))
-    return made.unionByName(rest, allowMissingColumns=True).select(*df.columns)
+    return rest.unionByName(converted, allowMissingColumns=True)
 
 
 SCHEMA_CHANGES: dict[str, Callable[[DataFrame], DataFrame]] = {

@@ -70,9 +70,22 @@ def draft(commands: list[str], techniques: list[str], title: str) -> dict[str, A
             selections[f"selection_{len(selections) + 1}"] = {"CommandLine|contains|all": tokens}
     if not selections:
         return None
-    name = uuid.UUID(bytes=hashlib.sha256("\n".join([title, *commands]).encode()).digest()[:16], version=4)
+    return _rule(selections, f"Drafted from {len(selections)} commands of a report.", commands, techniques, title)
+
+
+def draft_keywords(commands: list[str], techniques: list[str], title: str) -> dict[str, Any] | None:
+    """The plain alternative that drafts are held against: any program of the commands, anywhere in a command line."""
+    programs = dict.fromkeys(p.lower() for c in commands for p in re.findall(PROGRAM, c))
+    names = list(programs) or list(dict.fromkeys(c.split()[0] for c in commands if c.split()))
+    if not names:
+        return None
+    return _rule({"selection_1": {"CommandLine|contains": names}}, f"Looks for {len(names)} programs that a report names.", commands, techniques, title)
+
+
+def _rule(selections: dict[str, Any], description: str, commands: list[str], techniques: list[str], title: str) -> dict[str, Any]:
+    name = uuid.UUID(bytes=hashlib.sha256("\n".join([title, description, *commands]).encode()).digest()[:16], version=4)
     return {
-        "title": title[:120], "id": str(name), "status": "experimental", "level": "medium", "description": f"Drafted from {len(selections)} commands of a report.",
+        "title": title[:120], "id": str(name), "status": "experimental", "level": "medium", "description": description,
         "logsource": {"product": "windows", "category": "process_creation"}, "detection": {**selections, "condition": "1 of selection_*"},
         "tags": [f"attack.{t.lower()}" for t in techniques], "drafting": {"draft": True, "reviewed": False}, "tests": {"true_positives": [{"CommandLine": c} for c in commands]},
     }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..model import GatePolicy
+from ..model import GatePolicy, Rule
 
 
 def _share(a: Column, b: Column) -> Column:
@@ -85,3 +85,21 @@ def score(rules: DataFrame) -> DataFrame:
     total = sum((F.col(k) for k in parts), F.lit(0))
     grade = F.when(F.col("score") >= 90, "A").when(F.col("score") >= 75, "B").when(F.col("score") >= 60, "C").when(F.col("score") >= 40, "D").otherwise("F")
     return out.withColumn("score", total).withColumn("grade", grade)
+
+
+def replay_captures(cases: DataFrame, rules: list[Rule], events: DataFrame) -> DataFrame:
+    """Replays captures: cases (case_id, rule_id, title, file, expected) against a library, over events (file, event_idx, Channel, EventID, event) of all their files.
+
+    A file without an event can't be read, or isn't there. Routed are the events that a rule's log source covers.
+    """
+    from ..functions.dialect import Fields
+    from .scan import Library, hits
+
+    spark, fields = events.sparkSession, Fields(events.schema, document="event")
+    library = Library.build(rules, fields, include_deprecated=True)
+    routable = Library(dict.fromkeys(library.predicates, "TRUE"), library.rules, library.routes)
+    known = spark.createDataFrame([(k, k not in library.unsupported, k in library.rules) for k in dict.fromkeys(r.key for r in rules)], "rule_id string, supported boolean, routable boolean")
+    files = events.groupBy("file").agg(F.count("*").alias("events"))
+    count = lambda lib, name: hits(events, lib, ["file"], lambda n: fields(n).sql).groupBy("rule_id", "file").agg(F.count("*").alias(name))
+    matches = cases.select("case_id", "rule_id", "file").join(count(routable, "routed"), ["rule_id", "file"], "left").join(count(library, "matched"), ["rule_id", "file"], "left").select("case_id", "routed", "matched")
+    return replay(cases, known, files, matches)

@@ -12,6 +12,7 @@ import json
 import tarfile
 import zipfile
 from collections.abc import Callable, Iterator
+from html.entities import name2codepoint
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -90,18 +91,24 @@ def cloudtrail(m: Column) -> Column:
     return _put(_without(m, CLOUDTRAIL_ENVELOPE), Channel=F.lit(CLOUDTRAIL), EventID=F.lit(0))
 
 
-def _html(text: Column) -> Column:
-    out = text
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&#xD;", "\r"), ("&#xA;", "\n"), ("&amp;", "&")):
-        out = F.replace(out, F.lit(name), F.lit(char))
-    return out
+def unescape(text: Column) -> Column:
+    """A text with its character references decoded: by name (HTML's), decimal and hexadecimal. Unknown names stay."""
+    names = F.create_map(*[x for name, code in name2codepoint.items() for x in (F.lit(name), F.lit(chr(code)))], F.lit("apos"), F.lit("'"))
+    piece = r"&#[0-9]+;?|&#[xX][0-9a-fA-F]+;?|&[A-Za-z][A-Za-z0-9]*;|[^&]+|&"
+
+    def decoded(t: Column) -> Column:
+        decimal, hexed = F.regexp_extract(t, r"^&#([0-9]+);?$", 1), F.regexp_extract(t, r"^&#[xX]([0-9a-fA-F]+);?$", 1)
+        digits = F.ltrim(F.when(decimal != "", F.conv(decimal, 10, 16)).otherwise(hexed), F.lit("0"))
+        code = F.lpad(F.when((F.length(digits) == 0) | (F.length(digits) > 6) | ((F.length(digits) == 6) & (F.substring(digits, 1, 2) != "10")), "FFFD").otherwise(digits), 8, "0")
+        char = F.decode(F.unhex(code), "UTF-32")
+        return F.when((decimal != "") | (hexed != ""), char).otherwise(F.coalesce(F.try_element_at(names, F.regexp_extract(t, r"^&(\w+);$", 1)), t))
+
+    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(F.regexp_extract_all(text, F.lit(piece), F.lit(0)), decoded), "")).otherwise(text)
 
 
 def _first(keys: Column, values: Column) -> Column:
     """A map in which the first of repeated keys counts."""
-    pairs = F.arrays_zip(keys.alias("k"), values.alias("v"))
-    empty = F.create_map().cast(_MAP)
-    return F.aggregate(pairs, empty, lambda m, p: F.when(F.map_contains_key(m, p["k"]), m).otherwise(F.map_concat(m, F.create_map(p["k"], p["v"]))))
+    return _let(keys, lambda k: F.map_from_arrays(F.array_distinct(k), F.transform(F.array_distinct(k), lambda x: F.element_at(values, F.array_position(k, x).cast("int")))))
 
 
 def sysmon_xml(line: Column) -> Column:
@@ -109,7 +116,7 @@ def sysmon_xml(line: Column) -> Column:
     part = lambda p: F.nullif(F.regexp_extract(line, p, 1), F.lit(""))
     found = r'(?s)<Data Name="([^"]+)"(?:\s*/>|>(.*?)</Data>)'
     names, values = (F.regexp_extract_all(line, F.lit(found), F.lit(i)) for i in (1, 2))
-    fields = _first(names, F.transform(values, _html))
+    fields = _first(names, F.transform(values, unescape))
     eid = part(r"<EventID>(\d+)</EventID>")
     return F.when(eid.isNotNull(), _put(fields, Channel=F.lit(LINUX_SYSMON), EventID=eid, Computer=part(r"<Computer>(.*?)</Computer>"), TimeCreated=part(r'<TimeCreated SystemTime="([^"]+)"')))
 
@@ -226,20 +233,30 @@ def _members(path: str, data: bytes) -> Iterator[tuple[str, bytes]]:
         yield path, gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
 
 
-def read_json_files(spark: SparkSession, paths: str | list[str], glob: str = "*") -> DataFrame:
-    """JSON files, archives of them, and logs in archives; each file is one row, so its size must fit a task."""
+def _records(name: str, raw: bytes) -> Iterator[tuple[str, str]]:
+    """What a file holds: lines of a log, or JSON records."""
+    text = raw.decode("utf-8", "replace")
+    if name.endswith((".log", ".txt")):
+        yield from (("line", x) for x in text.splitlines())
+        return
+    for x in objects(text):
+        yield from (("json", json.dumps(y)) for y in (x["Records"] if isinstance(x.get("Records"), list) else [x]))
+
+
+def read_json_files(spark: SparkSession, paths: str | list[str], glob: str = "*", skip_broken: bool = False) -> DataFrame:
+    """JSON files, archives of them, and logs in archives; each file is one row, so its size must fit a task. A broken file raises, or is passed over."""
 
     def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for path, data in zip(part.path, part.content, strict=True):
                 rows = []
-                for name, raw in _members(path, bytes(data)):
-                    text = raw.decode("utf-8", "replace")
-                    if name.endswith((".log", ".txt")):
-                        rows += [(path, "line", x) for x in text.splitlines()]
-                        continue
-                    for x in objects(text):
-                        rows += [(path, "json", json.dumps(y)) for y in (x["Records"] if isinstance(x.get("Records"), list) else [x])]
+                try:
+                    for name, raw in _members(path, bytes(data)):
+                        rows += [(path, kind, x) for kind, x in _records(name, raw)]
+                except (ValueError, OSError, EOFError, zipfile.BadZipFile, tarfile.TarError):
+                    if not skip_broken:
+                        raise
+                    continue
                 yield pd.DataFrame(rows, columns=["file", "kind", "value"]).assign(n=range(len(rows)))
 
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(paths)

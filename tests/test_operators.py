@@ -11,7 +11,7 @@ from sparkwatch.functions.dialect import Fields
 from sparkwatch.model import GatePolicy, LogSource, Rule
 from sparkwatch.operators import coverage, decay, draft, features, gate, lint, routes, scan
 from sparkwatch.sources import synth
-from sparkwatch.sources.rules import CATALOG_SCHEMA, fallback_catalog, load_rules, load_stix, rules_table
+from sparkwatch.sources.rules import CATALOG_SCHEMA, detects, fallback_catalog, load_rules, load_stix, rules_table
 from sparkwatch.streaming import rules as streaming
 
 ID = "6f1c2a0e-3b4d-4c1a-9e7f-0a1b2c3d4e0"
@@ -130,10 +130,14 @@ def test_coverage(spark):
 
 def test_stix(spark, tmp_path):
     ref = lambda x: [{"source_name": "mitre-attack", "external_id": x}]
-    items = [{"type": "attack-pattern", "id": "p1", "name": "new", "external_references": ref("T1059.001"), "x_mitre_platforms": ["Windows"], "kill_chain_phases": [{"phase_name": "execution"}]}, {"type": "attack-pattern", "id": "p2", "name": "old", "revoked": True, "external_references": ref("T1086")}, {"type": "relationship", "id": "x", "relationship_type": "revoked-by", "source_ref": "p2", "target_ref": "p1"}]
+    items = [{"type": "attack-pattern", "id": "p1", "name": "new", "external_references": ref("T1059.001"), "x_mitre_platforms": ["Windows"], "kill_chain_phases": [{"kill_chain_name": "mitre-attack", "phase_name": "execution"}, {"kill_chain_name": "other", "phase_name": "x"}]}, {"type": "attack-pattern", "id": "p2", "name": "old", "revoked": True, "external_references": ref("T1086")}, {"type": "relationship", "id": "x", "relationship_type": "revoked-by", "source_ref": "p2", "target_ref": "p1"}]
+    items += [{"type": "x-mitre-data-component", "id": f"c{i}", "name": f"component {i}"} for i in range(3)]
+    items += [{"type": "relationship", "id": f"d{i}", "relationship_type": "detects", "source_ref": f"c{i}", "target_ref": "p1", "revoked": i == 1, "x_mitre_deprecated": i == 2} for i in (0, 1, 2, 0)]
     (tmp_path / "b.json").write_text(json.dumps({"objects": items}))
     got = {r.id: (r.revoked, r.revoked_by) for r in load_stix(spark, str(tmp_path / "b.json")).collect()}
     assert got == {"T1059.001": (False, None), "T1086": (True, "T1059.001")}
+    assert load_stix(spark, str(tmp_path / "b.json")).filter("id = 'T1059.001'").first().tactics == ["execution"]
+    assert [tuple(r) for r in detects(spark, str(tmp_path / "b.json")).collect()] == [("component 0", "T1059.001")]
 
 
 def test_decay(spark, events):
@@ -152,10 +156,74 @@ def test_decay(spark, events):
     assert decay.to_4688(events, False).filter("CommandLine is not null and Channel = 'Security'").count() == 0
     assert decay.to_4688(events, False, False).filter("CommandLine is not null and Channel = 'Security'").count() == 1
     assert "process.executable" in decay.rename(events).columns
+    made = decay.to_4688(events).filter("NewProcessName is not null").first()
+    assert (made.Channel, made.EventID, made.NewProcessName, made.Image, made.Provider_Name) == ("Security", 4688, "C:\\a\\whoami.exe", "C:\\a\\whoami.exe", "Microsoft-Windows-Security-Auditing")
+    wanted = spark.createDataFrame([("a", ["Image", "nowhere"]), ("b", ["event.x", "event.y", "Channel"])], "rule_id string, fields array<string>")
+    nested = events.withColumn("event", F.create_map(F.lit("x"), F.lit("1"))).withColumn("none", F.lit(None).cast("string"))
+    assert {r.rule_id: r.missing for r in decay.drift(wanted, nested).collect()} == {"a": ["nowhere"], "b": ["event.x", "event.y"]}
+
+
+@pytest.mark.parametrize("keyed", [False, True])
+def test_a_scan_reads_its_events_once(spark, tmp_path, keyed):
+    """One scan of the files for a library over all routes, and only the partitions and columns that its routes and rules need."""
+    from sparkwatch.queries import full_library
+
+    events = spark.createDataFrame(ROWS, EVENTS).withColumn("unused", F.lit("x"))
+    events.withColumn("channel_key", F.lower("Channel")).write.partitionBy(*["channel_key"] * keyed).parquet(str(tmp_path / "e"))
+    stored = spark.read.parquet(str(tmp_path / "e"))
+    rules = [*RULES, *full_library()]
+    spark.conf.set("spark.sql.maxMetadataStringLength", 5000)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    text = plan(scan.hits(stored, scan.Library.build(rules, Fields(stored.schema)), ["event_idx"]))
+    assert text.count("FileScan") == 1 and "Exchange" not in text and len(rules) > 250
+    some = scan.hits(stored, scan.Library.build([RULES[1]], Fields(stored.schema)), ["event_idx"])
+    text = plan(some)
+    assert text.count("FileScan") == 1 and "In(EventID" in text.replace("EqualTo(EventID", "In(EventID") and "unused" not in text
+    assert [(r.event_idx, r.rule_id[-1]) for r in some.collect()] == [(3, "2")]
+    if keyed:
+        assert "PartitionFilters: [isnotnull(channel_key" in text or "channel_key#" in text.split("PartitionFilters")[1][:200]
+
+
+def test_events_that_are_equal_are_each_a_hit(spark):
+    df = spark.createDataFrame([ROWS[0][1:]] * 3, EVENTS.split(", ", 1)[1])
+    assert scan.hits(df, scan.Library.build(RULES, Fields(df.schema)), ["Channel"]).count() == 6
+
+
+def test_a_rule_met_by_several_routes_counts_once(spark, events):
+    library = scan.Library.build(RULES[:1], Fields(events.schema))
+    library.routes = {k: routes.Route(((routes.ANY, None), ("security", None), ("security", 4688))) for k in library.routes}
+    assert sorted(r.event_idx for r in scan.hits(events, library, ["event_idx"]).collect()) == [0, 1, 2]
+
+
+def test_patterns_that_java_rejects_are_unsupported(events):
+    built = scan.Library.build([*RULES, rule(9, {"s": {"CommandLine|re": "(?P<a>x)(?(a)y|z)"}, "condition": "s"}, LogSource("windows"))], Fields(events.schema))
+    assert f"{ID}9" in built.unsupported and f"{ID}1" in built.rules
+
+
+def test_keywords_over_parsed_logs(spark, tmp_path):
+    from sparkwatch.sources import logs
+
+    rows = [{"Channel": "Security", "mimikatz": "no"}, {"Channel": "Security", "CommandLine": "C:\\x\\MimiKatz.exe"}, {"Channel": "Security", "data": {"deep": ["a", "run mimikatz"]}}, {"Channel": "Security", "file": "x"}]
+    (tmp_path / "mimikatz.jsonl").write_text("\n".join(map(json.dumps, rows)))
+    parsed = logs.read_logs(spark, str(tmp_path))
+    fields = Fields(parsed.schema, document="event")
+    rules = [rule(1, {"k": ["mimikatz"], "condition": "k"}, LogSource("windows")), rule(2, {"k": {"|all": ["x", "mimi*.exe"]}, "condition": "k"}, LogSource("windows")), rule(3, {"k": "mimikatz", "condition": "k"}, LogSource("windows"))]
+    got = sorted((r.rule_id[-1], r.event_idx) for r in scan.hits(parsed, scan.Library.build(rules, fields), ["event_idx"], lambda n: fields(n).sql).collect())
+    assert got == [("1", 1), ("1", 2), ("2", 1), ("3", 1), ("3", 2)]
+
+
+def test_statistics_of_samples(spark):
+    assert math.isclose(stats.t_quantile(0.975, 4), 2.776445, abs_tol=1e-4) and math.isclose(stats.t_quantile(0.975, 30), 2.042272, abs_tol=1e-4)
+    got = stats.mean_interval(spark.createDataFrame([(float(x),) for x in (1, 2, 3, 4, 5)], "x double"), "x").first()
+    assert got["mean"] == 3 and math.isclose(got.lo, 3 - 2.776445 * math.sqrt(2.5 / 5), abs_tol=1e-4)
+    assert stats.mean_interval(spark.createDataFrame([(1.0,)], "x double"), "x").first().lo is None
+    pairs = spark.createDataFrame([(i % 2 == 0, i % 2 == 0 or i % 10 == 1) for i in range(200)], "a boolean, b boolean")
+    lo, hi = stats.bootstrap_kappa(pairs, "a", "b")
+    assert lo < stats.kappa(pairs, "a", "b").first().kappa < hi and stats.bootstrap_kappa(pairs.limit(0), "a", "b") == (0.0, 0.0)
 
 
 def test_lint(spark):
-    good = Rule(id=f"{ID}1", title="t", description="d", detection={"s": {"a": "x"}, "condition": "s"}, logsource=LogSource("windows"), tags=["attack.t1059"], falsepositives=["x"], true_positives=[{}], true_negatives=[{}])
+    good = Rule(id=f"{ID}1", title="t", description="d", level="low", status="experimental", detection={"s": {"a": "x"}, "condition": "s"}, logsource=LogSource("windows"), tags=["attack.t1059"], falsepositives=["x"], true_positives=[{}], true_negatives=[{}])
     assert lint.lint(good) == []
     bad = Rule(id="x", level="odd", status="odd", detection={"s": {"a|nope": "x", "b|re": "(", "c|contains": "y"}, "e": {}, "condition": "s and q"}, tags=["attack.t12", "zoo.x"], raw={"drafting": {"draft": True}})
     codes = {f.code for f in lint.lint(bad)}

