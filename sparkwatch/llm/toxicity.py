@@ -3,8 +3,8 @@
 Confirmed toxic texts are the positives; a sample of all texts, whatever their labels, is the unlabelled side. With the
 prior p of the toxic class the risk is p E_P[l(+)] + max(0, E_U[l(-)] - p E_P[l(-)]): what the unlabelled side costs as
 clean, less what its toxic share costs, never below zero. Words are the features: those that stand out among positives,
-held by their 64-bit hashes. A logistic model is trained by gradient descent in numpy; two numbers fitted on the labelled
-rows turn its margin into a probability.
+held by their 64-bit hashes. A logistic model is trained by gradient descent in numpy; two numbers fitted on positives and
+unlabelled rows kept out of the training, under the same prior, turn its margin into a probability.
 """
 
 from __future__ import annotations
@@ -126,17 +126,38 @@ def learn(positive: list[np.ndarray], unlabelled: list[np.ndarray], size_p: np.n
     return words, theta[:-2], float(theta[-2]), float(theta[-1])
 
 
-def _calibrate(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of a logistic curve by Newton's method with a small ridge."""
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray, delta: float = 0.1) -> float:
+    """The share of positives among unlabelled rows, from margins of rows that weren't trained on.
+
+    Above a margin where only positives are, the share of unlabelled rows over that of positives is the prior; elsewhere it is
+    larger. So the least ratio is taken, of margins at which enough positives are left for its upper bound to be close.
+    """
+    if not len(positive) or not len(unlabelled):
+        return 0.1
+    at = np.sort(positive)
+    above = 1 - np.arange(len(at)) / len(at)
+    of_all = 1 - np.searchsorted(np.sort(unlabelled), at) / len(unlabelled)
+    bound = np.sqrt(np.log(4 / delta) / (2 * len(unlabelled))) + np.sqrt(np.log(4 / delta) / (2 * len(positive)))
+    best = int(np.argmin(of_all / above + bound / above))
+    return float(of_all[best] / above[best])
+
+
+def _calibrate(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[float, float]:
+    """Slope and offset that turn margins into probabilities, from positives and unlabelled rows that weren't trained on.
+
+    With f = a * margin + b the unbiased risk of the logistic loss is E_U[log(1 + e^f)] - p E_P[f], which is convex; Newton's
+    method finds its least with a small ridge towards a = 1, b = 0. At the least the mean probability of unlabelled rows is the prior.
+    """
     a, b = 1.0, 0.0
-    if not len(label) or label.min() == label.max():
+    if not len(positive) or not len(unlabelled):
         return a, b
-    x = np.stack([margin, np.ones_like(margin)], axis=1)
-    for _ in range(50):
+    x = np.stack([unlabelled, np.ones_like(unlabelled)], axis=1)
+    goal = prior * np.array([positive.mean(), 1.0])
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ [a, b], -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
-        da, db = np.linalg.solve(h, x.T @ (label - p) - 1e-3 * np.array([a - 1.0, b]))
-        a, b = a + np.clip(da, -2, 2), b + np.clip(db, -2, 2)
+        h = (x * (p * (1 - p))[:, None]).T @ x / len(x) + 1e-4 * np.eye(2)
+        da, db = np.linalg.solve(h, goal - x.T @ p / len(x) - 1e-4 * np.array([a - 1.0, b]))
+        a, b = a + np.clip(da, -1, 1), b + np.clip(db, -1, 1)
         if abs(da) + abs(db) < 1e-6:
             break
     return (float(a), float(b)) if a > 0 else (1.0, 0.0)
@@ -148,30 +169,47 @@ def _sample(rows: DataFrame, most: int, salt: int) -> DataFrame:
     return rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(2**30)) <= int(share * 2**30))
 
 
-def train(docs: DataFrame, labels: DataFrame, positives: int = 1500, unlabelled: int = 6000, labelled: int = 3000) -> Model:
-    """Fits on bounded samples (about so many rows of each kind) of the rows whose fold is not 1; prior and calibration come from their labels."""
+def train(docs: DataFrame, labels: DataFrame, positives: int = 1500, unlabelled: int = 6000, prior: float | None = None) -> Model:
+    """Fits on bounded samples (about so many rows of each kind) of the rows whose fold is not 1: confirmed positives, and any texts.
+
+    A quarter of each sample is kept out of the training and turns margins into probabilities. No text is used as a
+    confirmed negative: the class prior, where it isn't given, is estimated from the rows kept out, after a first fit at
+    0.1. Labels of unknown documents, nulls and repeated labels (the highest counts) are fine; without positives every text
+    scores low.
+    """
     own = docs.select("doc_id", "text").filter(fold(F.col("doc_id")) != 1)
     marks = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(fold(F.col("doc_id")) != 1)
-    rate = marks.agg(F.avg("toxic")).first()[0]
-    if not rate:
-        return Model(np.zeros(0, np.uint64), np.zeros(0), 0.0, -4.0, (1.0, 0.0))
-    prior = min(max(rate, 1e-3), 0.9)
-    chosen = _sample(marks.filter("toxic = 1"), positives, 1).withColumn("kind", F.lit(1)).unionByName(_sample(marks, labelled, 2).withColumn("kind", F.lit(3) + F.col("toxic")))
-    seen = own.join(chosen.select("doc_id", "kind"), "doc_id")
-    rows = _word_sets(seen.select("text", "kind").unionByName(_sample(own, unlabelled, 3).select("text", F.lit(2).alias("kind"))), "kind").toPandas()
+    nothing = Model(np.zeros(0, np.uint64), np.zeros(0), 0.0, -4.0, (1.0, 0.0))
+    held = lambda salt: F.when(F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(4)) == 0, F.lit(2)).otherwise(F.lit(0))  # noqa: E731  by a hash, so that no order of rows matters
+    seen = own.join(_sample(marks.filter("toxic = 1"), positives, 1).select("doc_id"), "doc_id").select("text", (F.lit(1) + held(4)).alias("kind"))
+    free = _sample(own, unlabelled, 3).select("text", (F.lit(2) + held(5)).alias("kind"))
+    rows = _word_sets(seen.unionByName(free), "kind").toPandas()
     of = {k: [np.frombuffer(x, np.uint64) for x in rows.words[rows.mark == k]] for k in (1, 2, 3, 4)}
     if not of[1] or not of[2]:
-        return Model(np.zeros(0, np.uint64), np.zeros(0), 0.0, -4.0, (1.0, 0.0))
+        return nothing
     size = {k: rows["size"][rows.mark == k].to_numpy() for k in (1, 2, 3, 4)}
-    words, weights, per_size, bias = learn(of[1], of[2], size[1], size[2], prior)
-    sets = of[3] + of[4]
-    r, k = _rows(sets, words)
-    margin = np.bincount(r, weights[k], len(sets)) + per_size * np.concatenate([size[3], size[4]]) + bias
-    return Model(words, weights, per_size, bias, _calibrate(margin, np.repeat([0.0, 1.0], [len(of[3]), len(of[4])])))
+
+    def fitted(prior: float) -> tuple[tuple, dict[int, np.ndarray]]:
+        words, weights, per_size, bias = found = learn(of[1], of[2], size[1], size[2], prior)
+        margin = {}
+        for k in (3, 4):
+            r, w = _rows(of[k], words)
+            margin[k] = np.bincount(r, weights[w], len(of[k])) + per_size * size[k] + bias
+        return found, margin
+
+    if prior is None:
+        _, margin = fitted(0.1)
+        prior = class_prior(margin[3], margin[4])
+    prior = min(max(prior, 1e-3), 0.9)
+    (words, weights, per_size, bias), margin = fitted(prior)
+    return Model(words, weights, per_size, bias, _calibrate(margin[3], margin[4], prior))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score (0 to 1, higher: likelier toxic) of each row; a null or empty text has the score of no known word."""
+    """doc_id, score (0 to 1, higher: likelier toxic) of each row, rows that repeat too; a null or empty text has the score of no known word.
+
+    A very long text is scored whole, in parts of some megabytes. Columns other than doc_id and text play no part; an empty table gives an empty result.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most `most` words
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
