@@ -76,6 +76,49 @@ def test_toxicity(spark, real, docs, empty):
     assert toxicity.score(docs, toxicity.train(empty, labels)).count() == docs.count() and toxicity.score(empty, toxicity.train(docs, labels.limit(0))).count() == 0
 
 
+def test_class_prior_and_calibration_need_no_negatives():
+    """Margins of two known classes: the prior and the probabilities come out right from positives and unlabelled rows alone."""
+    rng = np.random.default_rng(3)
+    for prior in (0.05, 0.2):
+        positive = rng.normal(3, 1, 4000)
+        n = int(prior * 20000)
+        unlabelled = np.concatenate([rng.normal(3, 1, n), rng.normal(-2, 1, 20000 - n)])
+        assert abs(toxicity.class_prior(positive, unlabelled) - prior) < 0.03
+        a, b = toxicity._calibrate(positive, unlabelled, prior)
+        p = 1 / (1 + np.exp(-(a * unlabelled + b)))
+        assert abs(p.mean() - prior) < 0.01 and p[:n].mean() > 0.9 and p[n:].mean() < 0.02
+    assert toxicity._calibrate(np.zeros(0), np.zeros(3), 0.1) == (1.0, 0.0)
+
+
+def test_quality_depends_on_no_order(spark):
+    """The same rows in other partitions and orders give the same scores, and the logistic fit is the minimum of its loss."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    one = quality.train(docs, labels)
+    two = quality.train(docs.repartition(7, "source"), labels.orderBy(F.desc("doc_id")))
+    assert np.array_equal(one.content.theta, two.content.theta) and np.array_equal(one.metadata.theta, two.metadata.theta) and one.share == two.share
+    rng = np.random.default_rng(1)
+    z, w = rng.normal(size=(300, 4)), np.ones(300)
+    y = (z[:, 0] - z[:, 1] + rng.normal(size=300) > 0).astype(float)
+    theta = quality._newton(z, y, w, 3.0)
+    loss = lambda t: np.logaddexp(0, -(2 * y - 1) * (z @ t[:-1] + t[-1])).sum() + 1.5 * (t[:-1] ** 2).sum()
+    assert all(loss(theta) <= loss(theta + 1e-3 * d) for d in np.eye(5)) and all(loss(theta) <= loss(theta - 1e-3 * d) for d in np.eye(5))
+
+
+def test_content_measures_against_their_definition():
+    import pyarrow as pa
+
+    texts = ["One two two ONE!", None, "", "é" * 50 + " 1 2\n"]
+    x = quality.content(pa.array(texts))
+    assert x.shape == (4, quality._MEASURES + 256)
+    for row, t in zip(x, texts, strict=True):
+        words = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        size = max(1, len((t or "").encode()))
+        assert np.isclose(row[0], np.log1p(len(words))) and np.isclose(row[2], sum(c.isupper() and c.isascii() for c in t or "") / size)
+        assert np.isclose((row[quality._MEASURES :] ** 2).sum(), 1 if words else 0)
+    assert np.isclose(x[0][quality._MEASURES - 3], 4 / 4)
+
+
 def test_quality(spark, docs, empty):
     sf = "/root/testdata/sf0.1"
     got = q.op2_quality_classifier(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("held_out").toPandas()
