@@ -1,9 +1,11 @@
 """Language identification by prediction by partial matching.
 
-Each language has a tree of byte contexts of up to three bytes, counted on labelled text and then frozen. A byte that was
+Each language has a tree of byte contexts of up to four bytes, counted on labelled text and then frozen. A byte that was
 seen after a context costs what its count says; one that was not costs the escape (as many as there are distinct bytes
-after the context) and is coded in the next shorter context, down to equal odds. A text's code length is the exact sum
-over all its bytes; the language that codes it shortest is the prediction.
+after the context) and is coded in the next shorter context, down to equal odds of all 256 bytes. A context of three bytes
+or more counts once it was seen twice. A text's code length is the exact sum over all its bytes; the language that codes
+it shortest is the prediction. The trees are held as hashed tables of the runs of bytes that occur, with a cost for each
+language, so they grow with the sample and neither drop nor merge anything.
 """
 
 from __future__ import annotations
@@ -22,112 +24,161 @@ from .common import fold
 
 UNDETERMINED = "und"
 _START = 0x0A  # what stands before a text's first byte
+ORDER = 4
 
 
 def _bytes(column: pa.Array) -> pa.Array:
     return pc.utf8_lower(column.cast(pa.large_string()))
 
 
-def _grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each byte the three before it (in its own text) and itself, as four columns; and its text."""
+def _grams(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each byte a number made of the `order` bytes before it (in its own text) and itself; and how many bytes each text has."""
     n = np.diff(offsets)
     at = np.arange(len(data)) - np.repeat(offsets[:-1], n)
-    out = np.full((4, len(data)), _START, np.uint8)
-    out[3] = data
-    for back in (1, 2, 3):
-        out[3 - back, back:] = np.where(at[back:] >= back, data[:-back], _START) if len(data) > back else out[3 - back, back:]
+    out = data.astype(np.int64)
+    for back in range(1, order + 1):
+        before = np.full(len(data), _START, np.int64)
+        before[back:] = np.where(at[back:] >= back, data[:-back], _START)
+        out |= before << (8 * back)
     return out, n
 
 
-def count_grams(docs: DataFrame) -> DataFrame:
-    """lang, gram (four bytes as a number), n over texts and their languages."""
+def count_grams(docs: DataFrame, order: int = ORDER) -> DataFrame:
+    """lang, gram (order + 1 bytes as a number), n over texts and their languages."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             langs = b.column(1).to_numpy(zero_copy_only=False)
             for i, j, data, offsets in tx.blocks(_bytes(b.column(0)), 1 << 18):
-                g, n = _grams(data, offsets)
-                code = (g[0].astype(np.uint32) << 24) | (g[1].astype(np.uint32) << 16) | (g[2].astype(np.uint32) << 8) | g[3]
+                code, n = _grams(data, offsets, order)
                 of = np.repeat(langs[i:j], n)
                 for lang in dict.fromkeys(langs[i:j]):
                     codes, count = np.unique(code[of == lang], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes.astype(np.int64)), pa.array(count.astype(np.int64))], ["lang", "gram", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes), pa.array(count.astype(np.int64))], ["lang", "gram", "n"])
 
     return docs.select("text", "lang").mapInArrow(work, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
+class Table:
+    """Rows of costs by key. Keys are dealt to buckets by a hash; a bucket's keys stand together, so a search reads one or two."""
+
+    _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, keys: np.ndarray, rows: np.ndarray) -> None:
+        self._shift = np.uint64(64 - max(4, int(len(keys) * 2 - 1).bit_length()))
+        h = self._hash(keys)
+        order = np.argsort(h, kind="stable")
+        self.keys, self.rows = keys[order], rows[order]
+        self._starts = np.searchsorted(h[order], np.arange((1 << int(64 - self._shift)) + 1)).astype(np.int32)
+
+    def _hash(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * self._MULTIPLY) >> self._shift
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The row of each key, or -1."""
+        out = np.full(len(keys), -1, np.int64)
+        if not len(self.keys):
+            return out
+        h = self._hash(keys).astype(np.int64)
+        at, end = self._starts[h], self._starts[h + 1]
+        left = np.flatnonzero(at < end)
+        while len(left):
+            hit = self.keys[at[left]] == keys[left]
+            out[left[hit]] = at[left[hit]]
+            at[left] += 1
+            left = left[~hit & (at[left] < end[left])]
+        return out
+
+
 @dataclass
 class Model:
     langs: list[str]
-    symbol: np.ndarray  # of a byte; 0 for rare ones
-    row: np.ndarray  # of the table, by the symbols of three bytes
-    bits: np.ndarray  # row x symbol x language
+    order: int
+    bits: np.ndarray  # of each byte without a context, by language
+    runs: list[Table]  # of each order: what a byte costs after a context of so many bytes
+    escapes: list[Table]  # of each order: what it costs to leave a context
+
+    def costs(self, code: np.ndarray) -> np.ndarray:
+        """What each byte costs in each language, from the numbers that _grams makes."""
+        out = np.zeros((len(code), len(self.langs)), np.float32)
+        left = np.arange(len(code))
+        for k in range(self.order, 0, -1):
+            key = code[left] & ((1 << 8 * (k + 1)) - 1)
+            at = self.runs[k - 1].find(key)
+            hit = at >= 0
+            out[left[hit]] += self.runs[k - 1].rows[at[hit]]
+            left, key = left[~hit], key[~hit] >> 8
+            if not len(left):
+                return out
+            at = self.escapes[k - 1].find(key)
+            known = at >= 0
+            out[left[known]] += self.escapes[k - 1].rows[at[known]]
+        out[left] += self.bits[code[left] & 255]
+        return out
 
     def lengths(self, column: pa.Array) -> Iterator[np.ndarray]:
         """Code lengths in bits, a row for each text, block by block."""
-        size = np.int64(self.bits.shape[1])
         for i, j, data, offsets in tx.blocks(_bytes(column), 1 << 18):
             out = np.zeros((j - i, len(self.langs)))
-            for a in range(0, len(data), 1 << 20):  # a long text in parts, each with the three bytes before it
-                lo = max(0, a - 3)
-                part, cut = data[lo : a + (1 << 20)], np.clip(offsets - lo, 0, None)
-                cut = np.minimum(cut, len(part))
-                g, n = _grams(part, cut)
-                s = self.symbol[g]
-                cost = self.bits[self.row[(s[0] * size + s[1]) * size + s[2]], s[3]]
-                of = np.repeat(np.arange(j - i), n)
-                skip = a - lo
+            for a in range(0, len(data), 1 << 18):  # a long text in parts, each with the bytes before it
+                lo = max(0, a - self.order)
+                cut = np.minimum(np.clip(offsets - lo, 0, None), min(len(data), a + (1 << 18)) - lo)
+                code, n = _grams(data[lo : a + (1 << 18)], cut, self.order)
+                of = np.repeat(np.arange(j - i), n)[a - lo :]
+                cost = self.costs(code[a - lo :])
                 for k in range(len(self.langs)):
-                    out[:, k] += np.bincount(of[skip:], cost[skip:, k], j - i)
+                    out[:, k] += np.bincount(of, cost[:, k], j - i)
             yield out
 
 
-def fit(grams: dict[str, tuple[np.ndarray, np.ndarray]], symbols: int = 96, cells: int = 10_000_000) -> Model:
-    """Freezes the trees. `symbols` bounds the bytes told apart, `cells` the table: contexts of three bytes seen most often have rows."""
-    langs = sorted(grams)
-    symbols = min(symbols, int((cells / max(1, len(langs))) ** (1 / 3)))  # many languages tell fewer bytes apart
-    seen = np.zeros(256)
-    for code, n in grams.values():
-        seen += np.bincount(code & 255, n, 256)
-    common = [int(b) for b in np.argsort(-seen, kind="stable")[: symbols - 1] if seen[b]]
-    symbol = np.zeros(256, np.int64)
-    symbol[common] = np.arange(1, len(common) + 1)
-    size = len(common) + 1
-    totals = np.zeros(size**3)
-    split = {}
+def _after(grams: dict[str, tuple[np.ndarray, np.ndarray]], k: int, least: int) -> dict[str, tuple[np.ndarray, ...]]:
+    """Of each language the runs of k + 1 bytes, their counts, and of their contexts the count and the number of distinct bytes; contexts seen less than `least` times are left out."""
+    out = {}
     for lang, (code, n) in grams.items():
-        s = [symbol[(code >> k) & 255] for k in (24, 16, 8, 0)]
-        split[lang] = (s, n)
-        totals += np.bincount((s[0] * size + s[1]) * size + s[2], n, size**3)
-    deep = np.flatnonzero(totals >= 2)
-    deep = deep[np.argsort(-totals[deep], kind="stable")][: max(0, cells // (size * max(1, len(langs))) - size * size)]
-    row = np.arange(size**3) % (size * size)
-    row[deep] = size * size + np.arange(len(deep))
-    bits = np.empty((size * size + len(deep), size, len(langs)), np.float32)
-    at = np.full(size**3, -1)
-    at[deep] = np.arange(len(deep))
-
-    def shorter(count: np.ndarray, below: np.ndarray) -> np.ndarray:
-        """Odds in each context (a row): seen bytes by their counts, the others by the escape and the odds below."""
-        total, kinds = count.sum(axis=1, keepdims=True), (count > 0).sum(axis=1, keepdims=True)
-        whole = np.maximum(total + kinds, 1)
-        return np.where(count > 0, count / whole, np.where(total > 0, kinds / whole, 1.0) * below)
-
-    for k, lang in enumerate(langs):
-        s, n = split[lang]
-        p0 = shorter(np.bincount(s[3], n, size)[None, :], np.full((1, size), 1 / size))
-        p1 = shorter(np.bincount(s[2] * size + s[3], n, size**2).reshape(size, size), p0)
-        p2 = shorter(np.bincount((s[1] * size + s[2]) * size + s[3], n, size**3).reshape(size * size, size), np.tile(p1, (size, 1)))
-        bits[: size * size, :, k] = -np.log2(p2)
-        where = at[(s[0] * size + s[1]) * size + s[2]]
-        use = where >= 0
-        count = np.bincount(where[use] * size + s[3][use], n[use], len(deep) * size).reshape(len(deep), size)
-        bits[size * size :, :, k] = -np.log2(shorter(count, p2[deep % (size * size)]))
-    return Model(langs, symbol, row, bits)
+        keys, of = np.unique(code & ((1 << 8 * (k + 1)) - 1), return_inverse=True)
+        count = np.bincount(of, n, len(keys))
+        contexts, c = np.unique(keys >> 8, return_inverse=True)
+        total, kinds = np.bincount(c, count, len(contexts)), np.bincount(c, minlength=len(contexts))
+        use = total >= least
+        out[lang] = (keys[use[c]], count[use[c]], total[c][use[c]], kinds[c][use[c]], contexts[use], total[use], kinds[use])
+    return out
+
+
+def fit(grams: dict[str, tuple[np.ndarray, np.ndarray]], order: int = ORDER, least: int = 2) -> Model:
+    """Freezes the trees of each language from its counted runs of order + 1 bytes."""
+    langs = sorted(grams)
+    bits = np.full((256, len(langs)), 8.0)
+    for x, lang in enumerate(langs):
+        code, n = grams[lang]
+        count = np.bincount(code & 255, n, 256)
+        total, kinds = count.sum(), (count > 0).sum()
+        if total:
+            bits[:, x] = np.where(count > 0, -np.log2(np.maximum(count, 1e-9) / (total + kinds)), 8 - np.log2(kinds / (total + kinds)))
+    runs, escapes = [], []
+    for k in range(1, order + 1):
+        of = _after(grams, k, least if k >= 3 else 1)
+        keys = np.unique(np.concatenate([of[x][0] for x in langs])) if langs else np.zeros(0, np.int64)
+        contexts = np.unique(keys >> 8)
+        leave = np.zeros((len(contexts), len(langs)), np.float32)
+        for x, lang in enumerate(langs):
+            *_, own, total, kinds = of[lang]
+            leave[np.searchsorted(contexts, own), x] = -np.log2(kinds / (total + kinds))
+        shorter = keys & ((1 << 8 * k) - 1)
+        below = bits[shorter] if k == 1 else runs[-1].rows[runs[-1].find(shorter)]
+        cost = (leave[np.searchsorted(contexts, keys >> 8)] + below).astype(np.float32)
+        for x, lang in enumerate(langs):
+            own, count, total, kinds, *_ = of[lang]
+            cost[np.searchsorted(keys, own), x] = -np.log2(count / (total + kinds))
+        runs.append(Table(keys, cost))
+        escapes.append(Table(contexts, leave))
+    return Model(langs, order, bits.astype(np.float32), runs, escapes)
 
 
 def train(docs: DataFrame, per_language: int = 1500) -> Model:
-    """Fits on about `per_language` texts of each language (the bound of the sample), dealt by a hash of doc_id; rows of fold 1 are left out."""
+    """Fits on about `per_language` texts of each language (the bound of the sample), dealt by a hash of doc_id; rows of fold 1 are left out.
+
+    Null texts and languages are left out, empty texts and repeated rows are fine. Very long texts are counted whole.
+    """
     known = docs.filter("text is not null and lang is not null").filter(fold(F.col("doc_id")) != 1).select("doc_id", "text", "lang")
     share = {r["lang"]: min(1.0, per_language / r["count"]) for r in known.groupBy("lang").count().collect()}
     if not share:
@@ -157,7 +208,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     The score is the predicted language's share of the odds that the code lengths give. Other columns play no part.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by `cells`
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # a cost for each language of each run of bytes in the bounded sample
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

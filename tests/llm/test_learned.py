@@ -35,37 +35,58 @@ def test_language(spark, real, docs, rows, empty):
 
 
 def test_code_lengths_are_those_of_the_trees():
-    """The table's code lengths against the definition, byte by byte."""
+    """Code lengths against the definition, byte by byte, for two languages; bytes that neither has seen, and a text longer than a part."""
     import pyarrow as pa
 
-    text = "abracadabra banana"
-    data = np.frombuffer(text.encode(), np.uint8)
-    g, _ = langid._grams(data, np.array([0, len(data)]))
-    code = (g[0].astype(np.int64) << 24) | (g[1].astype(np.int64) << 16) | (g[2].astype(np.int64) << 8) | g[3]
-    codes, n = np.unique(code, return_counts=True)
-    model = langid.fit({"x": (codes, n.astype(float))})
-    counts = {}
-    for row, c in zip(codes, n):
-        b = [(int(row) >> k) & 255 for k in (24, 16, 8, 0)]
-        for order in range(4):
-            key = tuple(b[3 - order : 3])
-            counts.setdefault(key, {})
-            counts[key][b[3]] = counts[key].get(b[3], 0) + c
-    letters = len(set(data.tolist())) + 1
-    deep = {k for k, v in counts.items() if len(k) == 3 and sum(v.values()) >= 2}
-
-    def odds(context, b):
-        below = odds(context[1:], b) if context else 1 / letters
-        seen = counts.get(context, {})
-        if not seen or len(context) == 3 and context not in deep:
+    order, said = 4, {"x": ["abracadabra banana", "barbara"], "y": ["тест banana", "", "zz"]}
+    grams, counts = {}, {}
+    for lang, texts in said.items():
+        runs = Counter()
+        counts[lang] = c = {}
+        for t in texts:
+            past = [10] * order + list(t.encode())
+            for i in range(order, len(past)):
+                runs[sum(b << 8 * k for k, b in enumerate(reversed(past[i - order : i + 1])))] += 1
+                for k in range(order + 1):
+                    c.setdefault(tuple(past[i - k : i]), Counter())[past[i]] += 1
+        keys = np.array(sorted(runs))
+        grams[lang] = keys, np.array([runs[int(k)] for k in keys], float)
+    model = langid.fit(grams, order)
+    assert model.langs == ["x", "y"]
+
+    def odds(lang, context, b):
+        below = odds(lang, context[1:], b) if context else 1 / 256
+        seen = counts[lang].get(context, {})
+        if not seen or len(context) >= 3 and sum(seen.values()) < 2:
             return below
         whole = sum(seen.values()) + len(seen)
         return seen[b] / whole if b in seen else len(seen) / whole * below
 
-    probe = "banabra"
-    past = [10, 10, 10, *probe.encode()]
-    want = -sum(np.log2(odds(tuple(past[i : i + 3]), past[i + 3])) for i in range(len(probe)))
-    assert np.isclose(next(model.lengths(pa.array([probe])))[0, 0], want, atol=1e-3)
+    def length(lang, text):
+        past = [10] * order + list(text.encode())
+        return -sum(np.log2(odds(lang, tuple(past[i - order : i]), past[i])) for i in range(order, len(past)))
+
+    probes = ["banabra", "тест zz \x00\x7f", "", "abra" * 3]
+    for t, row in zip(probes, np.concatenate(list(model.lengths(pa.array(probes)))), strict=True):
+        assert np.allclose(row, [length(k, t) for k in model.langs], atol=1e-3)
+    (row,), = model.lengths(pa.array(["banana abra " * 50_000]))  # over several parts
+    assert np.allclose(row, [length(k, "banana abra " * 2) + 49_998 * (length(k, "banana abra " * 3) - length(k, "banana abra " * 2)) for k in model.langs], rtol=1e-5)
+
+
+def test_as_many_languages_as_there_are():
+    """Forty languages of an alphabet each are told apart, none of their bytes merged."""
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    say = lambda k: "".join(chr(0x4E00 + 30 * k + rng.randrange(30)) for _ in range(300))
+    grams = {}
+    for k in range(40):
+        data = np.frombuffer(say(k).encode(), np.uint8)
+        codes, n = np.unique(langid._grams(data, np.array([0, len(data)]), langid.ORDER)[0], return_counts=True)
+        grams[f"{k:02d}"] = codes, n.astype(float)
+    model = langid.fit(grams)
+    found = np.concatenate(list(model.lengths(pa.array([say(k) for k in range(40)])))).argmin(axis=1)
+    assert list(found) == list(range(40))
 
 
 def test_toxicity(spark, real, docs, empty):
