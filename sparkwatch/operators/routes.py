@@ -128,21 +128,17 @@ def routes_table(spark: SparkSession, routes: dict[str, Route]) -> DataFrame:
 
 
 def candidates(events: DataFrame, routes: DataFrame) -> DataFrame:
-    """Events with the rules that may match them: equi-joins on (channel, id) and on channel, and the rules for any Windows channel.
+    """Events with the rules that may match them: by (channel, id), by channel, and the rules for any Windows channel.
 
-    events has __channel and __eid. Routes are a library's, a few thousand rows, so they are broadcast; each branch is a hash join.
+    events has __channel and __eid. An event is read once and asks with up to three keys; routes are a library's, a few
+    thousand rows, so they are broadcast into one hash join.
     """
-    slim = routes.select("rule_id", F.col("channel").alias("__c"), F.col("eid").alias("__e")).distinct()
-    exact, wide, anywhere = (F.broadcast(slim.filter(x)) for x in (F.col("__e").isNotNull(), F.col("__e").isNull() & (F.col("__c") != ANY), F.col("__c") == ANY))
-    parts = [
-        events.join(exact, (F.col("__channel") == F.col("__c")) & (F.col("__eid") == F.col("__e"))),
-        events.join(wide, F.col("__channel") == F.col("__c")),
-        events.withColumn("__any", F.when(~F.col("__channel").isin(*NOT_WINDOWS), ANY)).join(anywhere, F.col("__any") == F.col("__c")).drop("__any"),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.drop("__c", "__e")
+    key = lambda kind, channel, eid: F.struct(F.lit(kind).alias("kind"), channel.alias("channel"), eid.cast("int").alias("eid"))
+    none, channel = F.lit(0), F.col("__channel")
+    asked = F.array_compact(F.array(key(2, channel, F.col("__eid")), key(1, channel, none), F.when(~channel.isin(*NOT_WINDOWS), key(0, F.lit(ANY), none))))
+    kind = F.when(F.col("channel") == ANY, 0).when(F.col("eid").isNull(), 1).otherwise(2)
+    slim = routes.select("rule_id", F.struct(kind.alias("kind"), "channel", F.coalesce("eid", none).alias("eid")).alias("__key")).distinct()
+    return events.withColumn("__key", F.explode(asked)).join(F.broadcast(slim), "__key").drop("__key")
 
 
 def applies(found: Route, channel: Column, eid: Column, field) -> Column:  # type: ignore[no-untyped-def]
