@@ -5,9 +5,11 @@ from __future__ import annotations
 from math import ceil, comb, gamma, pi, sqrt
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .stored import numbered
+
 
 def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     """Bounds of a share's Wilson interval; 0 and 0 for none of none."""
@@ -36,27 +38,28 @@ def kappa(df: DataFrame, a: str, b: str) -> DataFrame:
     return out.withColumn("kappa", F.when(chance == 1, 1.0).otherwise((agree - chance) / (1 - chance)))
 
 
-def expected_top_k(df: DataFrame, score: str, label: str, k: int) -> DataFrame:
-    """Expected positives among the top k where ties are broken at random: groups of equal scores first, then their running sizes."""
+def _running(df: DataFrame, score: str, label: str) -> DataFrame:
+    """Groups of equal scores with their rows, positives and how many rows have higher scores: running sums over ranges of scores, null scores last."""
     groups = df.groupBy(score).agg(F.count("*").alias("size"), F.count_if(F.col(label) == 1).alias("hits"))
-    order = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    taken = F.greatest(F.lit(0), F.least(F.col("size"), F.lit(k) - (F.sum("size").over(order) - F.col("size"))))
-    return groups.withColumn("taken", taken).agg(F.sum(F.col("hits") * F.col("taken") / F.col("size")).alias("expected_hits"))
+    return numbered(groups, F.desc_nulls_last(score), sums={"size": "before"})
 
 
-def _running(df: DataFrame, score: str, label: str) -> DataFrame:
-    """Groups of equal scores, highest first, with how many rows stand before them. Scores that models give are many; each is one row here, and a table of them is ordered as a whole."""
-    groups = df.groupBy(score).agg(F.count("*").alias("size"), F.count_if(F.col(label) == 1).alias("hits"))
-    order = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, -1)
-    return groups.withColumn("before", F.coalesce(F.sum("size").over(order), F.lit(0)))
+def _expected(top: int | Column) -> Column:
+    """Expected positives among the top rows: of a group that only part of fits, each row is as likely as any other."""
+    taken = F.greatest(F.lit(0), F.least(F.col("size"), F.lit(top) - F.col("before")))
+    return F.sum(F.col("hits") * taken / F.col("size"))
+
+
+def expected_top_k(df: DataFrame, score: str, label: str, k: int) -> DataFrame:
+    """Expected positives among the top k where ties are broken at random."""
+    return _running(df, score, label).agg(_expected(k).alias("expected_hits"))
 
 
 def rank_metrics(df: DataFrame, score: str, label: str, k: int, share: float = 0.1) -> DataFrame:
     """precision_at_k and recall_at_share: expected positives among the top k, and among the top share of all rows, ties broken at random."""
     groups = _running(df, score, label)
     n = groups.agg(F.sum("size")).first()[0] or 0
-    part = lambda top: F.sum(F.col("hits") * F.greatest(F.lit(0), F.least(F.col("size"), F.lit(top) - F.col("before"))) / F.col("size"))
-    return groups.agg((part(k) / k).alias("precision_at_k"), F.try_divide(part(ceil(share * n)), F.sum("hits")).alias("recall_at_share"))
+    return groups.agg((_expected(k) / k).alias("precision_at_k"), F.try_divide(_expected(ceil(share * n)), F.sum("hits")).alias("recall_at_share"))
 
 
 def t_quantile(p: float, df: int) -> float:
