@@ -2,63 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of ids or pairs (under 64 MB once hashed) up to which one side of a join is broadcast.
-BROADCAST_ROWS = 1_000_000
+from ..functions.stored import BROADCAST_ROWS, Scratch, materialize, numbered, shared_dir, small
+
+__all__ = ["BROADCAST_ROWS", "Scratch", "fold", "materialize", "numbered", "sha256_of", "shared_dir", "small", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only in local mode (tests) a new one is made where that is unset."""
-    sc = spark.sparkContext
-    if found := spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir():
-        return found
-    if not sc.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return sc.getCheckpointDir()
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table into the shared folder and reads it back: what follows doesn't depend on executors that computed it."""
-    return Scratch(df.sparkSession).write(df, name)
-
-
-class Scratch:
-    """Tables in the shared folder that can be dropped once nothing reads them any more."""
-
-    def __init__(self, spark: SparkSession) -> None:
-        self._spark, self._dir, self._paths = spark, f"{shared_dir(spark)}/{uuid.uuid4().hex}", []
-
-    def write(self, df: DataFrame, name: str, last: bool = False) -> DataFrame:
-        """The table as read back; one that is `last` stays, as the result reads it."""
-        path = f"{self._dir}/{'last' if last else 'step'}-{len(self._paths)}-{name}"
-        df.write.parquet(path)
-        self._paths.append((path, last))
-        return self._spark.read.schema(df.schema).parquet(path)
-
-    def drop(self) -> None:
-        conf = self._spark.sparkContext._jsc.hadoopConfiguration()
-        for path, last in self._paths:
-            if not last:
-                where = self._spark._jvm.org.apache.hadoop.fs.Path(path)
-                where.getFileSystem(conf).delete(where, True)
-        self._paths = [x for x in self._paths if x[1]]
-
-
-def small(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
-    """Marks a counted side for broadcast if it is small; beyond that Spark shuffles both sides."""
-    return F.broadcast(df) if rows <= most else df
-
-
 def fold(doc_id: Column, k: int = 3) -> Column:
     """crc32 of the id's digits, modulo k."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(k))
