@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint, langid, licenses, minhash, oracles, packing, pii, quality, substrings, toxicity
-from .common import fold, table
+from . import decontaminate, fingerprint, importance, langid, licenses, middle, minhash, oracles, packing, pii, quality, substrings, tokenfile, toxicity
+from .common import fold, sha256_of, shared_dir, table
 
 #: The key of the surrogates in queries; a deployment passes a secret of its own.
 PII_KEY = "sparkwatch"
@@ -71,6 +72,22 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = middle.restore(middle.transform(table(spark, sf_dir, "documents")))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", sha256_of(F.col("output")).alias("output_sha256"), sha256_of(F.col("restored")).alias("restored_sha256"))
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    tokenfile.write(table(spark, sf_dir, "documents"), folder, tokenizer_path())
+    return tokenfile.documents(spark, folder)
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_minhash_near_dedup": op1_minhash_near_dedup,
@@ -83,8 +100,17 @@ def queries() -> dict[str, Query]:
         "op8_substring_dedup": op8_substring_dedup,
         "op9_toxicity": op9_toxicity,
         "op10_best_fit_packing": op10_best_fit_packing,
+        "op11_fill_in_middle": op11_fill_in_middle,
+        "op12_token_files": op12_token_files,
+        "op13_importance_resampling": op13_importance_resampling,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash_near_dedup": oracles.OP1, "op4_benchmark_decontamination": oracles.OP4, "op8_substring_dedup": oracles.OP8}
+    return {
+        "op1_minhash_near_dedup": oracles.OP1,
+        "op4_benchmark_decontamination": oracles.OP4,
+        "op8_substring_dedup": oracles.OP8,
+        "op11_fill_in_middle": oracles.OP11,
+        "op13_importance_resampling": oracles.OP13,
+    }
