@@ -55,11 +55,14 @@ _GIVEN_OF = {n.lower(): (k, i) for k, names in GIVEN.items() for i, n in enumera
 _LISTED = tuple(n for names in GIVEN.values() for n in names)
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
+_LOCAL, _DOMAIN = r"[\w.%+-]", r"@[\w-]+(?:\.[\w-]+)*\.[A-Za-z]{2,}"
+#: Where an address ends another may begin at once; elsewhere one begins where a run of its characters does, so no run is read twice.
+_NEXT_EMAIL = re.compile(rf"{_LOCAL}++{_DOMAIN}")
 _NAME = r"[^\W\d_](?:[^\W\d_]|['’-](?=[^\W\d_]))+"
 _titles = "|".join(t for v in TITLES.values() for t in v)
 #: Kinds in the order in which they claim text, with what a text must hold for a search to be worth it.
 PATTERNS: list[tuple[str, re.Pattern, Callable[[str], bool]]] = [
-    ("email", re.compile(r"[\w.%+-]+@[\w-]+(?:\.[\w-]+)*\.[A-Za-z]{2,}"), lambda t: "@" in t),
+    ("email", re.compile(rf"(?<!{_LOCAL}){_LOCAL}++{_DOMAIN}"), lambda t: "@" in t),
     ("secret", re.compile(r"(?i)(?:token|api[_-]?key|secret|passw(?:or)?d)\s*[=:]\s*[\"']?([A-Za-z0-9_\-/+]{8,})"), lambda t: "=" in t or ":" in t),
     ("secret", re.compile(r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![A-Za-z0-9])"), lambda t: True),
     ("iban", re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"), lambda t: True),
@@ -128,6 +131,30 @@ class Cipher:
         return self._walk(name, n, (there + 1) % n, range(7, -1, -1))  # a step on the cipher's own circle: nothing stays
 
 
+#: Letters permuted at once; a longer entity is permuted in blocks, each under the blocks before it.
+BLOCK = 64
+
+
+def _chained(label: str, done: str) -> str:
+    """A block's label: that of a first block is the label itself."""
+    return f"{label}|{done}" if done else label
+
+
+def _after(done: str, block: str) -> str:
+    """What tells all the blocks so far from others."""
+    return hashlib.sha256((done + block).encode()).hexdigest()
+
+
+def _hex(cipher: Cipher, c: str) -> str:
+    """Permutes hexadecimal digits in blocks."""
+    out, done = [], ""
+    for i in range(0, len(c), BLOCK):
+        part = c[i : i + BLOCK]
+        out.append(f"{cipher.permute(_chained(f'hex{len(c)}', done), 16 ** len(part), int(part, 16)):0{len(part)}x}")
+        done = _after(done, out[-1])
+    return "".join(out)
+
+
 def _letters(cipher: Cipher, label: str, text: str, fixed: int = 0, names: bool = False, taken: Callable[[str], bool] = lambda t: False) -> str:
     """Permutes the letters and digits of a lower-case text, but the first `fixed` of them, each within its own alphabet.
 
@@ -136,20 +163,25 @@ def _letters(cipher: Cipher, label: str, text: str, fixed: int = 0, names: bool
     """
     alphabets, of = (_SPOKEN, _SPOKEN_CLASS) if names else (ALPHABETS, _CLASS)
     at = [(i, *of[c]) for i, c in enumerate(text) if c in of][fixed:]
-    n = 1
-    for _, k, _v in at:
-        n *= len(alphabets[k])
     shape = "".join(str(of[c][0]) if c in of else c for c in text)
     head = "".join(c for c in text if c in of)[:fixed]
+    name = f"{label}|{shape}|{head}"
+    if len(at) > BLOCK:
+        name = hashlib.sha256(name.encode()).hexdigest()
     out = list(text)
     while True:
-        x = 0
-        for i, k, _v in at:
-            x = x * len(alphabets[k]) + of[out[i]][1]
-        x = cipher.permute(f"{label}|{shape}|{head}", n, x)
-        for i, k, _v in reversed(at):
-            x, v = divmod(x, len(alphabets[k]))
-            out[i] = alphabets[k][v]
+        done = ""
+        for b in range(0, len(at), BLOCK):
+            block = at[b : b + BLOCK]
+            n, x = 1, 0
+            for i, k, _v in block:
+                n *= len(alphabets[k])
+                x = x * len(alphabets[k]) + of[out[i]][1]
+            x = cipher.permute(_chained(name, done), n, x)
+            for i, k, _v in reversed(block):
+                x, v = divmod(x, len(alphabets[k]))
+                out[i] = alphabets[k][v]
+            done = _after(done, "".join(out[i] for i, *_ in block))
         if not taken(new := "".join(out)):
             return new
 
@@ -215,7 +247,7 @@ def surrogate(cipher: Cipher, kind: str, found: str) -> str:
         new = _letters(cipher, f"email.{tld}", f"{local}@{host}")
         return _like(found, "".join(x for x in f"{new}.{tld}" if x in _CLASS))
     if kind == "secret" and _is_hex(c):
-        new = f"{cipher.permute(f'hex{len(c)}', 16 ** len(c), int(c, 16)):0{len(c)}x}"
+        new = _hex(cipher, c)
         return new.upper() if found != c else new
     if kind == "iban":  # the country stays, and the distance from valid check digits too
         country, digits, body = c[:2], int(c[2:4]), c[4:]
@@ -258,6 +290,27 @@ def _overlaps(spans: list[tuple[int, int, str]], s: int, e: int) -> bool:
     return i > 0 and spans[i - 1][1] > s
 
 
+def _matches(kind: str, pattern: re.Pattern, text: str) -> Iterator[re.Match]:
+    if kind != "email":
+        yield from pattern.finditer(text)
+        return
+    end = 0
+    while m := (_NEXT_EMAIL.match(text, end) if end else None) or pattern.search(text, end):
+        yield m
+        end = m.end()
+
+
+def _blanked(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text with these spans, which are in order and apart, as NULs."""
+    if not spans:
+        return text
+    out, last = [], 0
+    for s, e in spans:
+        out += [text[last:s], "\0" * (e - s)]
+        last = e
+    return "".join([*out, text[last:]])
+
+
 def entities(text: str) -> list[tuple[int, int, str]]:
     """Spans of a text that are personal data, in order and apart, with their kinds. Where two kinds overlap the first of PATTERNS has it.
 
@@ -269,11 +322,13 @@ def entities(text: str) -> list[tuple[int, int, str]]:
     free = text  # claimed spans are blanked for the kinds that follow
     for kind, pattern, worth in PATTERNS:
         if (digits or kind in ("email", "secret")) and worth(text):  # all other kinds hold a digit
-            for m in pattern.finditer(free):
+            spans = []
+            for m in _matches(kind, pattern, free):
                 s, e = m.span(1) if kind == "secret" and m.lastindex else m.span()
                 if kind != "phone" or sum(c.isdigit() for c in m[0]) >= 7:
-                    found.append((s, e, kind))
-                    free = free[:s] + "\0" * (e - s) + free[e:]
+                    spans.append((s, e))
+            found += [(s, e, kind) for s, e in spans]
+            free = _blanked(free, spans)
     names: set[str] = set()
     people: list[tuple[int, int, str]] = []
     apart = sorted(found)
@@ -337,7 +392,8 @@ def collisions(found: DataFrame) -> DataFrame:
 def pseudonymize(docs: DataFrame, key: str, check: bool = True) -> DataFrame:
     """docs with surrogates in `text`, and n_entities and kinds (sorted, distinct) beside it.
 
-    A null text stays null and an empty one empty, with no entities; texts without personal data stay as they are. Other
+    A null text stays null and an empty one empty, with no entities; texts without personal data stay as they are. A very
+    long text is one task's, in time that grows with its length; entities of more than 64 letters are permuted in blocks. Other
     columns are kept, except that ones named n_entities or kinds are replaced. With `check` the corpus is searched once
     before; should surrogates collide, the next key that follows from `key` is taken (the permutations let none collide,
     so a fourth collision in a row is an error in them and raises).

@@ -343,3 +343,41 @@ def test_folds(spark):
     df = spark.createDataFrame([(i,) for i in (0, 1, 12, 999, -5)], "doc_id long").select("doc_id", fold(F.col("doc_id")).alias("f"))
     assert all(r.f == zlib.crc32(str(r.doc_id).encode()) % 3 for r in df.collect())
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def test_addresses_are_found_as_by_one_pattern():
+    """The search that starts where runs of an address's characters do finds what the plain pattern finds."""
+    plain = re.compile(r"[\w.%+-]+@[\w-]+(?:\.[\w-]+)*\.[A-Za-z]{2,}")
+    kind, pattern, _ = pii.PATTERNS[0]
+    rng = random.Random(2)
+    for _ in range(20_000):
+        text = "".join(rng.choice("ab.@-_ %+c1\n") for _ in range(rng.randint(0, 40)))
+        assert [m.span() for m in plain.finditer(text)] == [m.span() for m in pii._matches(kind, pattern, text)]
+
+
+@pytest.mark.parametrize(
+    "text,most",
+    [("a" * 1_000_000 + " @ x", 1), ("a" * 1_000_000 + "@x.com", 1), ("@" * 1_000_000, 0), ("a@" + "b." * 500_000, 0), ("Mr" + " " * 1_000_000 + "x", 0), ("token = " + "Ab9" * 300_000, 1), (" ".join(f"u{i}@h{i % 97}.example.com" for i in range(100_000)), 100_000), ("John Smith " * 50_000, 100_000)],
+)
+def test_very_long_texts_take_time_in_proportion(text, most):
+    import time
+
+    began = time.process_time()
+    found = pii.entities(text)
+    assert len(found) == most and time.process_time() - began < 10
+
+
+def test_long_entities_are_permuted_in_blocks():
+    cipher = pii._cipher("k")
+    seen = set()
+    for n in (63, 64, 65, 200, 20_000):
+        for kind, entity in (("secret", "0f" * n), ("secret", "Zb9" * n), ("email", "ab" * n + "@" + "c" * n + ".org"), ("name", "Q" + "abe" * n)):
+            new = pii._person(cipher, entity) if kind == "name" else pii.surrogate(cipher, kind, entity)
+            assert len(new) == len(entity) and new != entity and new not in seen
+            assert [c.isalpha() for c in new] == [c.isalpha() for c in entity] or kind == "secret"
+            seen.add(new)
+    # a change in the last block alone changes no block before it, and one in the first changes all
+    a, b = pii.surrogate(cipher, "secret", "0f" * 100), pii.surrogate(cipher, "secret", "0f" * 99 + "aa")
+    assert a[:128] == b[:128] and a != b
+    c = pii.surrogate(cipher, "secret", "aa" + "0f" * 99)
+    assert all(c[i : i + 64] != a[i : i + 64] for i in range(0, 200, 64))
