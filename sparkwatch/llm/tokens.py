@@ -40,6 +40,10 @@ class Encoder:
         self._path, self._slow = path, None
         self._encoding = tiktoken.Encoding("file", pat_str=PIECES, mergeable_ranks=ranks, special_tokens=special)
 
+    @property
+    def largest(self) -> int:
+        return self._encoding.max_token_value
+
     def encode(self, text: str) -> np.ndarray:
         if _LONG_BLANK.search(text) is None:
             return self._encoding.encode_to_numpy(text, allowed_special="all")

@@ -103,7 +103,7 @@ def test_token_files_round_trip(spark, docs, rows):
         for i in random.Random(1).sample(range(len(file)), len(file)):
             ids, mask = file[i]
             real = min(128, shard.n_ids - 128 * i)
-            assert len(ids) == len(mask) == 128 and not ids.flags.owndata and mask.tolist() == [1] * real + [0] * (128 - real)
+            assert len(ids) == len(mask) == 128 and not ids.flags.owndata and mask.to_pylist() == [True] * real + [False] * (128 - real) and ids.dtype == np.uint16
             assert ids[:real].tolist() == stream[at + 128 * i : at + 128 * i + real] and not ids[real:].any()
         with pytest.raises(IndexError):
             file[len(file)]
