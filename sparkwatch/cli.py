@@ -7,11 +7,12 @@ import json
 import sys
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.dialect import Fields
-from .model import GatePolicy
+from .functions.stored import materialize
+from .model import GatePolicy, Rule
 from .operators import coverage, decay, draft, features, gate, lint, scan
 from .plans.compile import rule_sql
 from .sources import captures, logs, synth
@@ -39,6 +40,13 @@ def _arguments(argv: list[str] | None) -> argparse.Namespace:
         p.add_argument("--allow-empty", action="store_true")
         p.add_argument("--save-baseline", metavar="FILE")
         p.add_argument("--baseline", metavar="FILE")
+        p.add_argument("--corpus", metavar="LOGS")
+        p.add_argument("--attack", metavar="BUNDLE")
+        p.add_argument("--platform", default="Windows")
+        p.add_argument("--navigator", metavar="FILE")
+        p.add_argument("--routed", action="store_true")
+        p.add_argument("--capacity", type=float, default=200.0)
+        p.add_argument("--share", type=float, default=0.10)
         p.add_argument("--technique", action="append", default=[])
         p.add_argument("--keywords", action="store_true")
     return top.parse_args(argv)
@@ -46,23 +54,24 @@ def _arguments(argv: list[str] | None) -> argparse.Namespace:
 
 def _missing(a: argparse.Namespace) -> list[str]:
     """Inputs that aren't there, among those that name local files."""
-    given = [*getattr(a, "rules", []), *(getattr(a, k) for k in ("events", "captures", "report") if hasattr(a, k)), *([a.baseline] if a.baseline else [])]
+    given = [*getattr(a, "rules", []), *(getattr(a, k) for k in ("events", "captures", "report") if hasattr(a, k)), *(x for x in (a.baseline, a.corpus, a.attack) if x)]
     return [p for p in given if "://" not in p and "*" not in p and not Path(p).exists()]
 
 
-def _gate(spark: SparkSession, rules: list, events, policy: GatePolicy):  # type: ignore[no-untyped-def]
-    """Fixtures and corpus of each rule in one table, a hit or not."""
-    from .plans.compile import hit_column
+def _gate(spark: SparkSession, rules: list[Rule], events: DataFrame, policy: GatePolicy) -> DataFrame:
+    """Gate results of a library on its fixtures and a corpus."""
+    return gate.gate_library(rules, gate.fixtures(spark, rules), events, Fields(events.schema, document="event"), policy)
+
+
+def _catalog(spark: SparkSession, path: str | None) -> DataFrame:
+    return rule_files.load_stix(spark, path) if path else rule_files.fallback_catalog(spark)
 
-    parts = None
-    for r in rules:
-        cases = [(r.key, kind, i, {k: None if v is None else str(v) for k, v in e.items()}) for kind, es in (("tp", r.true_positives), ("tn", r.true_negatives)) for i, e in enumerate(es)]
-        own = spark.createDataFrame(cases, "rule_id string, kind string, idx long, event map<string,string>")
-        corpus = events.select(F.lit(r.key).alias("rule_id"), F.lit("corpus").alias("kind"), F.col("event_idx").alias("idx"), "event")
-        both = own.unionByName(corpus)
-        part = both.select("rule_id", "kind", "idx", hit_column(both, r, document="event").alias("hit"))
-        parts = part if parts is None else parts.unionByName(part)
-    return gate.evaluate(parts, policy)
+
+def _against(spark: SparkSession, path: str, result: DataFrame) -> DataFrame:
+    """Rules that are worse than in a saved baseline, which has a row for each rule."""
+    old = json.loads(Path(path).read_text(encoding="utf-8"))
+    before = spark.createDataFrame([(k, float(v["recall"]), int(v["fp_hits"])) for k, v in old.items()], "rule_id string, recall double, fp_hits long")
+    return gate.regressions(before, result)
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
@@ -80,7 +89,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     if hasattr(a, "rules") and not rules and not a.allow_empty:
         print("no rules", file=sys.stderr)
         return 2
-    policy = GatePolicy(corpus_days=a.days)
+    policy = GatePolicy(corpus_days=a.days, daily_capacity=a.capacity, capacity_share=a.share)
     if a.command == "synth":
         return 0 if logs.write_jsonl(synth.generate(spark), a.out, gzipped=False) else 1
     if a.command == "ingest":
@@ -99,9 +108,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             rows = result.select("rule_id", "recall", "fp_hits").collect()  # a row for each rule
             Path(a.save_baseline).write_text(json.dumps({r["rule_id"]: {"recall": r["recall"], "fp_hits": r["fp_hits"]} for r in rows}, indent=1), encoding="utf-8")
         if a.baseline:
-            old = json.loads(Path(a.baseline).read_text(encoding="utf-8"))
-            before = spark.createDataFrame([(k, float(v["recall"]), int(v["fp_hits"])) for k, v in old.items()], "rule_id string, recall double, fp_hits long")
-            worse = gate.regressions(before, result)
+            worse = _against(spark, a.baseline, result)
             worse.show(a.top, truncate=60)
             return int(not worse.isEmpty())
         return int(not result.filter("not passed").isEmpty())
@@ -131,20 +138,40 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         return int(a.fail_on_gate and not out.filter("not passed").isEmpty())
     table = rule_files.rules_table(spark, rules)
     if a.command == "coverage":
-        per = coverage.by_technique(rule_files.fallback_catalog(spark), table, table.filter("n_tests > 0"))
+        passed = _gate(spark, rules, logs.read_logs(spark, a.corpus), policy).filter("passed") if a.corpus else table.limit(0)
+        catalog = _catalog(spark, a.attack)
+        per = materialize(coverage.by_technique(coverage.active(catalog, a.platform), table, passed), "coverage")
         coverage.summary(per).show()
+        coverage.by_tactic(per).orderBy("tactic").show(50, truncate=False)
+        print("gaps: " + ", ".join(r["id"] for r in per.filter("claimed = 0").orderBy("id").limit(40).collect()))
+        coverage.stale_tags(catalog, table).show(a.top, truncate=60)
+        if a.navigator:
+            Path(a.navigator).write_text(coverage.navigator_layer(per), encoding="utf-8")
         return 0
     if a.command == "score":
         counts = lint.lint_rules(spark, rules).groupBy("rule_id").agg(F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"))
-        nothing = {"recall": "double", "precision": "double", "fp_hits": "long", "passed": "boolean"}
-        ready = table.join(counts, "rule_id", "left").fillna(0, ["errors", "warnings"]).withColumn("n_techniques", F.size("techniques")).withColumns({k: F.lit(None).cast(t) for k, t in nothing.items()})
-        gate.score(ready).select("rule_id", "title", "score", "grade").show(a.top, truncate=80)
+        ready = table.join(counts, "rule_id", "left").fillna(0, ["errors", "warnings"]).withColumn("n_techniques", F.size("techniques"))
+        if a.corpus:
+            tested = _gate(spark, rules, logs.read_logs(spark, a.corpus), policy).select("rule_id", "recall", "precision", "fp_hits", "passed")
+        else:
+            tested = spark.createDataFrame([], "rule_id string, recall double, precision double, fp_hits long, passed boolean")
+        gate.score(ready.join(tested, "rule_id", "left")).select("rule_id", "title", "score", "grade").orderBy("rule_id").show(a.top, truncate=80)
         return 0
     if a.command == "decay":
-        shape = events.select("Channel", "EventID", F.map_keys("event").alias("f")).groupBy(F.lower("Channel").alias("channel"), F.coalesce("EventID", F.lit(0)).alias("eid")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("f")))).alias("fields"))
-        out = decay.verdicts(rules, shape)
-        out.show(a.top, truncate=80)
-        return int(not out.filter("status in ('broken', 'source-missing')").isEmpty())
+        shape = decay.observed_maps(events)
+        gone = decay.drift_of(rules, shape)
+        gone.show(a.top, truncate=80)
+        issues = gone.count()
+        if a.routed:
+            out = decay.verdicts(rules, shape).filter("status <> 'ok'")
+            out.show(a.top, truncate=80)
+            issues += out.filter("status in ('broken', 'source-missing')").count()
+        if a.baseline:
+            worse = _against(spark, a.baseline, _gate(spark, rules, events, policy))
+            worse.show(a.top, truncate=60)
+            issues += worse.count()
+        print(f"{issues} issues")
+        return int(issues > 0)
     if a.command == "features":
         features.feature_table(spark, rules).show(a.top)
         return 0

@@ -35,6 +35,21 @@ def observed(events: DataFrame, channel: str = "Channel", event_id: str = "Event
     return shapes.select("channel", "eid", F.explode("f").alias("f")).groupBy("channel", "eid").agg(F.array_sort(F.collect_set("f")).alias("fields"))
 
 
+def observed_maps(events: DataFrame) -> DataFrame:
+    """channel, eid, fields of events that are maps (Channel, EventID, event): their keys, by source. Each task tells a set of keys once."""
+    shapes = events.select(F.lower(F.coalesce("Channel", F.lit(""))).alias("channel"), F.coalesce("EventID", F.lit(0)).alias("eid"), F.array_sort(F.map_keys(F.map_filter("event", lambda k, v: v.isNotNull()))).alias("f")).distinct()
+    return shapes.select("channel", "eid", F.explode("f").alias("f")).groupBy("channel", "eid").agg(F.array_sort(F.collect_set("f")).alias("fields"))
+
+
+def drift_of(rules: list[Rule], seen: DataFrame) -> DataFrame:
+    """rule_id, missing: fields of rules that no source of an inventory has, under their own name or as the head of a dotted path."""
+    said = seen.sparkSession.createDataFrame([(r.key, f) for r in rules for f in sorted(rule_fields(r))], "rule_id string, field string")
+    there = seen.select(F.explode("fields").alias("there")).distinct()
+    named = said.withColumn("names", F.explode(F.array_distinct(F.array("field", F.substring_index("field", ".", 1)))))
+    held = named.join(there, F.col("names") == F.col("there"), "left_semi").select("rule_id", "field").distinct()
+    return said.join(held, ["rule_id", "field"], "left_anti").groupBy("rule_id").agg(F.array_sort(F.collect_set("field")).alias("missing"))
+
+
 def observed_paths(documents: DataFrame, column: str) -> DataFrame:
     """Dotted paths of all keys in a column of JSON texts; their structure is merged task by task."""
     schema = documents.select(F.schema_of_variant_agg(F.try_parse_json(column)).alias("s")).first()["s"]

@@ -2,29 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..model import GatePolicy, Rule
+from ..functions.dialect import SPARK, Fields
+from ..functions.network import register
+from ..functions.stored import Scratch
+from ..model import GatePolicy, Rule, UnsupportedRule
 
 
 def _share(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a, b), F.lit(0.0))
 
 
-def evaluate(labelled: DataFrame, policy: GatePolicy = GatePolicy()) -> DataFrame:
-    """One row a rule from (rule_id, kind: tp, tn or corpus, idx, hit): counts, rates, passed, reasons in fixed order, missed_tps.
+#: How many missed fixtures of a rule are named.
+MISSED = 20
 
-    Not routed: fixtures and corpus are tested as they are. Ratios are not rounded; without a denominator they are 0.
-    """
+
+def _counts(labelled: DataFrame) -> DataFrame:
+    """Fixtures and corpus of each rule, and how many of them it fired on."""
     n = lambda kind, hit=False: F.count_if((F.col("kind") == kind) & F.col("hit") if hit else F.col("kind") == kind)
-    by = labelled.groupBy("rule_id").agg(
-        n("tp").alias("tp_total"), n("tp", True).alias("tp_fired"), n("tn").alias("tn_total"), n("tn", True).alias("tn_fired"),
-        n("corpus").alias("corpus_size"), n("corpus", True).alias("fp_hits"),
-        F.sort_array(F.collect_list(F.when((F.col("kind") == "tp") & ~F.col("hit"), F.col("idx")))).alias("missed_tps"),
-    )
+    return labelled.groupBy("rule_id").agg(n("tp").alias("tp_total"), n("tp", True).alias("tp_fired"), n("tn").alias("tn_total"), n("tn", True).alias("tn_fired"), n("corpus").alias("corpus_size"), n("corpus", True).alias("fp_hits"))
+
+
+def _missed(labelled: DataFrame, most: int) -> DataFrame:
+    """rule_id, missed_tps: the first `most` fixtures that a rule should have fired on and didn't. Each task keeps so many a rule."""
+    of = labelled.filter((F.col("kind") == "tp") & ~F.col("hit")).select("rule_id", "idx")
+    first = of.withColumn("n", F.row_number().over(Window.partitionBy("rule_id").orderBy("idx"))).filter(F.col("n") <= most)
+    return first.groupBy("rule_id").agg(F.sort_array(F.collect_list("idx")).alias("missed_tps"))
+
+
+def judged(counts: DataFrame, missed: DataFrame, policy: GatePolicy = GatePolicy()) -> DataFrame:
+    """Rates of counted rules, whether they pass, and why not (reasons in fixed order). Ratios are not rounded; without a denominator they are 0."""
     tp, tn, fp = F.col("tp_fired"), F.col("tn_fired"), F.col("fp_hits")
-    out = by.withColumns({
+    out = counts.withColumns({
         "precision": _share(tp, tp + tn + fp), "recall": _share(tp, F.col("tp_total")), "fp_rate": _share(fp, F.col("corpus_size")),
         "alerts_per_day": F.coalesce(F.try_divide(fp, F.lit(float(policy.corpus_days))), fp.cast("double")),
     })
@@ -35,7 +46,72 @@ def evaluate(labelled: DataFrame, policy: GatePolicy = GatePolicy()) -> DataFram
         F.when(F.col("fp_rate") > policy.max_fp_rate, "false-positive rate over the limit"),
         F.when(F.col("alerts_per_day") > policy.budget, "alerts a day over the budget"),
     ))
-    return out.withColumn("reasons", reasons).withColumn("passed", F.size("reasons") == 0)
+    out = out.withColumn("reasons", reasons).withColumn("passed", F.size("reasons") == 0).join(missed, "rule_id", "left")
+    return out.withColumn("missed_tps", F.coalesce("missed_tps", F.array().cast(missed.schema["missed_tps"].dataType)))
+
+
+def evaluate(labelled: DataFrame, policy: GatePolicy = GatePolicy(), most: int = MISSED) -> DataFrame:
+    """One row a rule from (rule_id, kind: tp, tn or corpus, idx, hit): counts, rates, passed, reasons, missed_tps (the first `most`; tp_total - tp_fired says how many there are).
+
+    Not routed: fixtures and corpus are tested as they are.
+    """
+    return judged(_counts(labelled), _missed(labelled, most), policy)
+
+
+def fixtures(spark: SparkSession, rules: list[Rule]) -> DataFrame:
+    """rule_id, kind, idx, event (a map of texts): the test events that rules carry. A library's, so they come from the driver."""
+    text = lambda e: {k: None if v is None else str(v) for k, v in e.items()}
+    rows = [(r.key, kind, i, text(e)) for r in rules for kind, es in (("tp", r.true_positives), ("tn", r.true_negatives)) for i, e in enumerate(es)]
+    return spark.createDataFrame(rows, "rule_id string, kind string, idx long, event map<string,string>")
+
+
+def gate_library(rules: list[Rule], fixtures: DataFrame, corpus: DataFrame, fields: Fields, policy: GatePolicy = GatePolicy(), index: str = "event_idx", most: int = MISSED, chunk: int = 250) -> DataFrame:
+    """As `evaluate`, for a library of any size in one read of the corpus: a row for each rule that isn't deprecated.
+
+    fixtures has rule_id, kind (tp or tn), idx and the corpus's columns that `fields` reads. Fixtures and events are tested
+    together, by one projection: a fixture by its own rule, an event by all, whatever their log sources are. Only hits and
+    counts leave it. A rule that can't be compiled doesn't pass, and its reason says so.
+    """
+    from ..plans.compile import Compiler
+    from .scan import ready
+
+    spark, shared = corpus.sparkSession, {}
+    register(spark)
+    compiler = Compiler(fields, shared)
+    predicates: dict[str, str] = {}
+    broken: dict[str, str] = {}
+    for r in rules:
+        if r.status != "deprecated" and r.key not in predicates and r.key not in broken:
+            try:
+                predicates[r.key] = compiler.rule(r)
+            except UnsupportedRule as e:
+                broken[r.key] = str(e)
+    texts, columns = ready(predicates, shared)
+    same = [c for c in corpus.columns if c in fixtures.columns and c not in ("rule_id", "kind", "idx")]
+    events = corpus.select(F.lit(None).cast("string").alias("__rule"), F.lit("corpus").alias("__kind"), F.col(index).cast("long").alias("__idx"), *same)
+    cases = fixtures.select(F.col("rule_id").alias("__rule"), F.col("kind").alias("__kind"), F.col("idx").cast("long").alias("__idx"), *same)
+
+    def tested(rows: DataFrame) -> DataFrame:
+        """rule_id, kind, idx, hit: a row for each fixture, each event (rule_id empty) and each hit on an event."""
+        own = F.col("__rule")
+        ids = list(texts)
+        test = lambda k: f"CASE WHEN (__rule IS NULL OR __rule = {SPARK.text(k)}) AND ({texts[k]}) THEN {SPARK.text(k)} END"
+        parts = [F.expr(f"array_compact(array({', '.join(map(test, ids[i : i + chunk]))}))") for i in range(0, len(ids), chunk)]
+        fired = F.concat(*parts) if parts else F.array().cast("array<string>")
+        row = lambda rule, hit: F.struct(rule.alias("rule_id"), F.col("__kind").alias("kind"), F.col("__idx").alias("idx"), hit.alias("hit"))
+        found = rows.withColumns(columns).withColumn("__fired", fired)
+        each = F.when(own.isNotNull(), F.array(row(own, F.array_contains("__fired", own)))).otherwise(F.array_append(F.transform("__fired", lambda k: row(k, F.lit(True))), row(F.lit(""), F.lit(False))))
+        return found.select(F.explode(each).alias("x")).select("x.*")
+
+    scratch = Scratch(spark)
+    counts = scratch.write(_counts(tested(events.unionByName(cases))), "gate", last=True)
+    size = counts.filter("rule_id = ''").agg(F.sum("corpus_size")).first()[0] or 0
+    known = spark.createDataFrame([(k, broken.get(k)) for k in (*predicates, *broken)], "rule_id string, __broken string")
+    numbers = [c for c in counts.columns if c != "rule_id"]
+    every = known.join(counts, "rule_id", "left").fillna(0, numbers).withColumn("corpus_size", F.lit(size).cast("long"))
+    out = judged(every, _missed(tested(cases), most), policy)
+    why = F.when(F.col("__broken").isNotNull(), F.array(F.concat(F.lit("not supported: "), F.col("__broken")))).otherwise(F.col("reasons"))
+    return out.withColumn("reasons", why).withColumn("passed", F.size("reasons") == 0).drop("__broken")
 
 
 def fleet_failures(rates: DataFrame, sizes: list[int], policy: GatePolicy) -> DataFrame:
@@ -92,7 +168,6 @@ def replay_captures(cases: DataFrame, rules: list[Rule], events: DataFrame) -> D
 
     A file without an event can't be read, or isn't there. Routed are the events that a rule's log source covers.
     """
-    from ..functions.dialect import Fields
     from .scan import Library, hits
 
     spark, fields = events.sparkSession, Fields(events.schema, document="event")

@@ -16,7 +16,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.dialect import Fields
+from ..functions.dialect import SPARK, Fields
 from ..functions.network import register
 from ..model import GatePolicy, Rule, UnsupportedRule
 from ..plans.compile import Compiler, required_event_ids
@@ -124,40 +124,60 @@ def _pruned(events: DataFrame, library: Library) -> DataFrame:
     return events
 
 
+def ready(predicates: dict[str, str], shared: dict[str, str]) -> tuple[dict[str, str], dict[str, Column]]:
+    """Predicates, and the columns that several of them read; what only one reads stands in it."""
+    used = " ".join(predicates.values())
+    columns = {alias: F.expr(sql) for alias, sql in shared.items() if used.count(alias) > 1}
+    for alias, sql in shared.items():
+        if alias not in columns and alias in used:
+            predicates = {k: p.replace(alias, sql) for k, p in predicates.items()}
+    return predicates, columns
+
+
+def guarded(predicate: str, route: rt.Route, resolve: Callable[[str], str]) -> str:
+    """A predicate, under its route's guard if that has one."""
+    if not route.guard:
+        return predicate
+    name, values = route.guard
+    return f"({predicate}) AND lower(coalesce(cast({resolve(name)} as string), '')) IN ({', '.join(map(SPARK.text, values))})"
+
+
+@dataclass
+class Routed:
+    """What a library asks of an event: columns to add, which events are for any of its rules, and the ids of the rules that match."""
+
+    columns: dict[str, Column]
+    covered: Column
+    matching: Column
+
+
+def routed(library: Library, resolve: Callable[[str], str], chunk: int = 250) -> Routed:
+    """The tests of a library's rules on events with __channel and __eid, by groups of rules with the same pairs."""
+    kinds = [(k, g) for k, g in enumerate(_groups(library)) if g]
+    texts, shared = ready(library.predicates, library.shared)
+    test = lambda key: f"CASE WHEN {guarded(texts[key], library.routes[key], resolve)} THEN {SPARK.text(key)} END"
+
+    def found(kind: int, groups: dict[tuple[str, ...], list[tuple[str, int | None]]]) -> str:
+        out = []
+        for g, ids in enumerate(groups):
+            parts = [f"array_compact(array({', '.join(map(test, ids[i : i + chunk]))}))" for i in range(0, len(ids), chunk)]
+            out.append(f"WHEN __group{kind} = {g} THEN {parts[0] if len(parts) == 1 else 'concat(' + ', '.join(parts) + ')'}")
+        return f"CASE {' '.join(out)} ELSE cast(array() as array<string>) END"
+
+    every = F.concat(*[F.expr(found(k, g)) for k, g in kinds])  # as text, which is parsed at once
+    covered = reduce(Column.__or__, [F.col(f"__group{k}").isNotNull() for k, _ in kinds])
+    return Routed({f"__group{k}": _number(g) for k, g in kinds} | shared, covered, F.array_distinct(every) if _overlap(library) else every)
+
+
 def hits(events: DataFrame, library: Library, keep: list[str] | None = None, fields: Callable[[str], str] | None = None, chunk: int = 250) -> DataFrame:
     """rule_id and the columns `keep` of events, a row for each rule that an event matches (each rule once)."""
     register(events.sparkSession)
     keep = events.columns if keep is None else keep
     if not any(r.pairs for r in library.routes.values()):
         return events.select(*keep, F.lit("").alias("rule_id")).limit(0)
-    resolve = fields or (lambda n: Fields(events.schema)(n).sql)
-    kinds = [(k, g) for k, g in enumerate(_groups(library)) if g]
-    used = " ".join(library.predicates.values())
-    shared = {alias: F.expr(sql) for alias, sql in library.shared.items() if used.count(alias) > 1}
-    texts = {k: p for k, p in library.predicates.items()}
-    for alias, sql in library.shared.items():
-        if alias not in shared and alias in used:
-            texts = {k: p.replace(alias, sql) for k, p in texts.items()}
-
-    def test(key: str) -> Column:
-        p = F.expr(texts[key])
-        if guard := library.routes[key].guard:
-            p = p & F.lower(F.coalesce(F.expr(f"cast({resolve(guard[0])} as string)"), F.lit(""))).isin(*guard[1])
-        return F.when(p, F.lit(key))
-
-    def found(kind: int, groups: dict[tuple[str, ...], list[tuple[str, int | None]]]) -> Column:
-        out = None
-        for g, ids in enumerate(groups):
-            parts = [F.array_compact(F.array(*map(test, ids[i : i + chunk]))) for i in range(0, len(ids), chunk)]
-            here, one = F.col(f"__group{kind}") == g, parts[0] if len(parts) == 1 else F.concat(*parts)
-            out = F.when(here, one) if out is None else out.when(here, one)
-        return out.otherwise(F.array().cast("array<string>"))
-
-    keys = keyed(_pruned(events, library)).withColumns({f"__group{k}": _number(g) for k, g in kinds} | shared)
-    keys = keys.filter(reduce(Column.__or__, [F.col(f"__group{k}").isNotNull() for k, _ in kinds]))
-    parts = [found(k, g) for k, g in kinds]
-    every = parts[0] if len(parts) == 1 else F.concat(*parts)
-    return keys.select(*keep, F.explode(F.array_distinct(every) if _overlap(library) else every).alias("rule_id"))
+    asked = routed(library, fields or (lambda n: Fields(events.schema)(n).sql), chunk)
+    keys = keyed(_pruned(events, library)).withColumns(asked.columns).filter(asked.covered)
+    return keys.select(*keep, F.explode(asked.matching).alias("rule_id"))
 
 
 def hits_per_rule(found: DataFrame, index: str = "event_idx") -> DataFrame:

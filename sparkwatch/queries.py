@@ -701,12 +701,12 @@ def draft_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    from . import report_queries  # noqa: F401  registers its own
+    from . import library_queries, report_queries  # noqa: F401  they register their own
 
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import report_queries  # noqa: F401
+    from . import library_queries, report_queries  # noqa: F401
 
     return dict(_oracle)

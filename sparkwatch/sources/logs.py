@@ -1,24 +1,21 @@
 """Log files as events: file, event_idx, Channel, EventID and the event's fields as a map.
 
 Values in the map are texts; nested ones are their JSON, which dotted field names reach into. Lines, JSON lines, Sysmon XML,
-auditd and CloudTrail records are parsed by Spark functions; archives and concatenated JSON by Arrow batches, a file a row.
+auditd and CloudTrail records are parsed by Spark functions. JSON documents and archives are listed first, then streamed: a
+zip's members are dealt to all tasks, and no task holds a file, a member or a document of many records as a whole.
 """
 
 from __future__ import annotations
 
-import gzip
-import io
-import json
-import tarfile
-import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from html.entities import name2codepoint
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.stored import before
 from ..operators.routes import ALIASES_4688, ALIASES_DEFENDER, AUDITD, CLOUDTRAIL, DEFENDER, LINUX_SYSMON, SECURITY
+from .members import members, records
 
 # What collectors add to an event around its own fields.
 ENVELOPE = (
@@ -133,6 +130,23 @@ def auditd(line: Column) -> Column:
     return F.when(kind != "", _put(fields, type=kind, Channel=F.lit(AUDITD), EventID=F.lit(0), TimeCreated=when))
 
 
+def _logged(line: Column) -> Column:
+    """Whether sysmon_xml or auditd makes an event of a line."""
+    return line.rlike(r"<EventID>\d+</EventID>") | F.substring_index(line, "\x1d", 1).rlike(r"(?s)^type=\S+\s+(?:msg=)?audit\([^)]*\)\s*:\s*.*$")
+
+
+def is_event(doc: Column, any_object: bool = True) -> Column:
+    """Whether `normalised` makes an event of a VARIANT, told without building it; or only of CloudTrail's and syslog's."""
+
+    def known(v: Column) -> Column:
+        has = lambda k: F.try_variant_get(v, f"$.{k}", "variant").isNotNull()
+        line = F.coalesce(F.try_variant_get(v, "$.SyslogMessage", "string"), F.to_json(F.try_variant_get(v, "$.SyslogMessage", "variant")))
+        trail, wrapped = has("eventSource") & has("eventName"), F.when(has("SyslogMessage"), F.coalesce(_logged(line), F.lit(False)))
+        return F.schema_of_variant(v).startswith("OBJECT") & (trail | F.coalesce(wrapped, F.lit(any_object)))
+
+    return F.coalesce(_let(doc, known), F.lit(False))
+
+
 def normalised(doc: Column) -> Column:
     """A JSON object in any of the known forms, as an event's fields; null for what is no object."""
 
@@ -164,13 +178,18 @@ def aliased(m: Column) -> Column:
     return _let(m, named)
 
 
-def numbered(lines: DataFrame) -> DataFrame:
-    """event_idx from 0 in each file: rows are counted by split, and the counts of earlier splits added, so no task sees a whole file."""
-    order = lines.withColumn("__row", F.monotonically_increasing_id())
-    inside = order.withColumn("__n", F.row_number().over(Window.partitionBy("file", "__start").orderBy("__row")))
-    sizes = inside.groupBy("file", "__start").agg(F.count("*").alias("size"))
-    before = sizes.withColumn("__before", F.coalesce(F.sum("size").over(Window.partitionBy("file").orderBy("__start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("size")
-    return inside.join(before, ["file", "__start"]).withColumn("event_idx", (F.col("__n") - 1 + F.col("__before")).cast("long")).drop("__row", "__n", "__start", "__before")
+def numbered(rows: DataFrame, there: Column) -> DataFrame:
+    """The rows that are `there`, with event_idx from 0 in each file; no row is shuffled.
+
+    A task reads the splits of its files one after the other, so a row's place in its split is its running number in the
+    task less that of the split's first row. These and the splits' counts come from a pass that evaluates `there` alone,
+    and only they are shuffled and added up.
+    """
+    own = rows.filter(there).withColumn("__row", F.monotonically_increasing_id())
+    splits = own.groupBy("file", "__start").agg(F.count("*").alias("n"), F.min("__row").alias("first"))
+    earlier = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("__start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = splits.select("file", "__start", (earlier - F.col("first")).alias("__offset"))
+    return own.join(F.broadcast(offsets), ["file", "__start"]).withColumn("event_idx", F.col("__row") + F.col("__offset")).drop("__row", "__start", "__offset")  # broadcast: a row for each split of spark.sql.files.maxPartitionBytes
 
 
 def text_lines(spark: SparkSession, paths: str | list[str], glob: str | None = None) -> DataFrame:
@@ -182,99 +201,75 @@ def text_lines(spark: SparkSession, paths: str | list[str], glob: str | None = N
 
 
 def _events(df: DataFrame) -> DataFrame:
-    """Adds the promoted columns to event maps; rows without an event are left out."""
-    out = df.filter("event is not null").withColumn("event", aliased(F.col("event")))
+    """file, event_idx and the promoted columns of event maps."""
+    out = df.withColumn("event", aliased(F.col("event")))
     get = lambda k: F.try_element_at("event", F.lit(k))
-    return out.select("file", *(["__start"] if "__start" in df.columns else ["event_idx"]), get("Channel").alias("Channel"), get("EventID").try_cast("int").alias("EventID"), "event")
+    return out.select("file", "event_idx", get("Channel").alias("Channel"), get("EventID").try_cast("int").alias("EventID"), "event")
+
+
+def _json(text: Column, strict: bool = False) -> Column:
+    return F.parse_json(text) if strict else F.try_parse_json(text)
 
 
-def read_jsonl(spark: SparkSession, paths: str | list[str], strict: bool = False) -> DataFrame:
+def read_jsonl(spark: SparkSession, paths: str | list[str], strict: bool = False, glob: str | None = None) -> DataFrame:
     """JSON lines. Blank lines are skipped; bad lines and what is no object are dropped, or raise if strict."""
-    lines = text_lines(spark, paths).filter(F.trim("value") != "")
-    doc = F.to_json(F.parse_json("value")) if strict else F.to_json(F.try_parse_json("value"))
-    return numbered(_events(lines.withColumn("event", normalised(doc))))
+    lines = text_lines(spark, paths, glob).filter(F.trim("value") != "")
+    doc = _json(F.col("value"), strict)
+    return _events(numbered(lines, is_event(doc)).withColumn("event", normalised(F.to_json(doc))))
+
+
+def _line_records(v: Column) -> Column:
+    """The records of a line: of a CloudTrail document those that it lists, else the line."""
+    listed = F.from_json(F.get_json_object(v, "$.Records"), "array<string>")
+    return F.when(v.startswith("{"), F.coalesce(listed, F.array(v))).otherwise(F.array(v))
+
+
+def _line_event(v: Column) -> tuple[Column, Column]:
+    """Whether a line is an event, and the event: Sysmon XML, auditd, or JSON of CloudTrail or syslog, told by how it starts."""
+    doc = F.try_parse_json(v)
+    there = F.when(v.startswith("{"), is_event(doc, False)).otherwise(v.rlike("^(?:<Event|type=)") & _logged(v))
+    return there, F.when(v.startswith("{"), normalised(F.to_json(doc))).when(v.startswith("<Event"), sysmon_xml(v)).when(v.startswith("type="), auditd(v))
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
-    """Events of text lines (file, __start, value), each line told by how it starts: Sysmon XML, auditd, or JSON of CloudTrail or syslog."""
-    v = F.ltrim("value")
-    records = F.from_json(F.get_json_object("value", "$.Records"), "array<string>")
-    docs = lines.filter(v.startswith("{")).select("file", "__start", F.explode(F.coalesce(records, F.array("value"))).alias("d")).withColumn("event", normalised(F.col("d")))
-    keep = F.try_element_at("event", F.lit("Channel")).isin(CLOUDTRAIL, LINUX_SYSMON, AUDITD)
-    rest = lines.withColumn("event", F.when(v.startswith("<Event"), sysmon_xml(v)).when(v.startswith("type="), auditd(v)))
-    return _events(docs.filter(keep).select("file", "__start", "event").unionByName(rest.select("file", "__start", "event")))
+    """Events of text lines (file, __start, value), each line told by how it starts."""
+    pieces = lines.select("file", "__start", F.explode(_line_records(F.ltrim("value"))).alias("value"))
+    there, event = _line_event(F.ltrim("value"))
+    return _events(numbered(pieces, there).withColumn("event", event))
 
 
 def read_text_logs(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    return numbered(parse_lines(text_lines(spark, paths)))
-
-
-def objects(text: str) -> Iterator[dict]:
-    """Objects in a text of JSON documents one after the other; arrays are opened, other values dropped, and malformed text raises."""
-    decoder, i = json.JSONDecoder(), 0
-    while True:
-        while i < len(text) and text[i].isspace():
-            i += 1
-        if i == len(text):
-            return
-        value, i = decoder.raw_decode(text, i)
-        yield from (x for x in (value if isinstance(value, list) else [value]) if isinstance(x, dict))
-
-
-def _members(path: str, data: bytes) -> Iterator[tuple[str, bytes]]:
-    """Files in an archive told by its bytes, or the file itself."""
-    if data[:2] == b"PK":
-        with zipfile.ZipFile(io.BytesIO(data)) as z:
-            yield from ((n, z.read(n)) for n in z.namelist() if not n.endswith("/") and "__MACOSX" not in n)
-    elif path.endswith((".tar.gz", ".tgz")):
-        with tarfile.open(fileobj=io.BytesIO(data), mode="r:gz") as t:
-            yield from ((m.name, t.extractfile(m).read()) for m in t.getmembers() if m.isfile())
-    else:
-        yield path, gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
-
-
-def _records(name: str, raw: bytes) -> Iterator[tuple[str, str]]:
-    """What a file holds: lines of a log, or JSON records."""
-    text = raw.decode("utf-8", "replace")
-    if name.endswith((".log", ".txt")):
-        yield from (("line", x) for x in text.splitlines())
-        return
-    for x in objects(text):
-        yield from (("json", json.dumps(y)) for y in (x["Records"] if isinstance(x.get("Records"), list) else [x]))
+    return parse_lines(text_lines(spark, paths))
 
 
 def read_json_files(spark: SparkSession, paths: str | list[str], glob: str = "*", skip_broken: bool = False) -> DataFrame:
-    """JSON files, archives of them, and logs in archives; each file is one row, so its size must fit a task. A broken file raises, or is passed over."""
-
-    def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for path, data in zip(part.path, part.content, strict=True):
-                rows = []
-                try:
-                    for name, raw in _members(path, bytes(data)):
-                        rows += [(path, kind, x) for kind, x in _records(name, raw)]
-                except (ValueError, OSError, EOFError, zipfile.BadZipFile, tarfile.TarError):
-                    if not skip_broken:
-                        raise
-                    continue
-                yield pd.DataFrame(rows, columns=["file", "kind", "value"]).assign(n=range(len(rows)))
-
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(paths)
-    rows = found.select("path", "content").mapInPandas(work, "file string, kind string, value string, n long")
-    v = F.ltrim("value")
-    event = F.when(F.col("kind") == "json", normalised(F.col("value"))).when(v.startswith("<Event"), sysmon_xml(v)).when(v.startswith("type="), auditd(v))
-    return _events(rows.withColumn("event", event).withColumnRenamed("n", "event_idx"))
+    """JSON documents of any size, zip and tar archives of them, and logs in either, told by their first bytes.
+
+    A broken file or member raises, or is passed over as a whole. Events of an archive are numbered through its members.
+    """
+    listed = members(spark, paths, glob, skip_broken)
+    rows = records(listed, skip_broken).withColumnRenamed("member", "__start")
+    line = F.ltrim("value")
+    there, event = _line_event(line)
+    doc = F.try_parse_json("value")
+    is_json = F.col("kind") == "json"
+    found = numbered(rows, F.when(is_json, is_event(doc)).otherwise(there))
+    return _events(found.withColumn("event", F.when(is_json, normalised(F.to_json(doc))).otherwise(event)))
+
+
+#: What read_logs takes for lines, and of these for JSON lines.
+LINES, JSON_LINES = "{jsonl,ndjson,jsonl.gz,ndjson.gz,log,txt,log.gz,txt.gz}", r"\.(?:jsonl|ndjson)(?:\.gz)?$"
 
 
 def read_logs(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Any mix of files, told apart by their suffixes: .jsonl and .ndjson, .log and .txt (each also .gz), .json, .zip, .tar.gz."""
-    names = "{%s}"
-    groups = (("*." + names % "jsonl,ndjson,jsonl.gz,ndjson.gz", lambda g: numbered(_events(text_lines(spark, paths, g).withColumn("event", normalised(F.to_json(F.try_parse_json("value"))))))), ("*." + names % "log,txt,log.gz,txt.gz", lambda g: numbered(parse_lines(text_lines(spark, paths, g)))), ("*." + names % "json,json.gz,zip,tar.gz,tgz", lambda g: read_json_files(spark, paths, g)))
-    out = None
-    for glob, read in groups:
-        part = read(glob).select("file", "event_idx", "Channel", "EventID", "event")
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Any mix of files, told apart by their suffixes: .jsonl and .ndjson, .log and .txt (each also .gz), .json, .zip, .tar.gz. All lines are one scan."""
+    as_json = F.col("file").rlike(JSON_LINES)
+    v = F.ltrim("value")
+    pieces = text_lines(spark, paths, f"*.{LINES}").select("file", "__start", F.explode(F.when(as_json, F.array("value")).otherwise(_line_records(v))).alias("value"))
+    (there, event), doc = _line_event(v), F.try_parse_json("value")
+    lines = numbered(pieces, F.when(as_json, is_event(doc)).otherwise(there))
+    lines = lines.withColumn("event", F.when(as_json, normalised(F.to_json(doc))).otherwise(event))
+    return _events(lines).unionByName(read_json_files(spark, paths, "*.{json,json.gz,zip,tar.gz,tgz}"))
 
 
 def write_jsonl(events: DataFrame, path: str, gzipped: bool = True, rows: int = 0) -> int:
@@ -292,6 +287,25 @@ def ingest(spark: SparkSession, paths: str | list[str], out: str, shard_size: in
     return spark.read.parquet(out)
 
 
+def in_order(events: DataFrame) -> DataFrame:
+    """events (file, event_idx, ...) with position, their number over all files in the order of the files' names. Only the files' counts are gathered."""
+    counts = events.groupBy("file").agg(F.count("*").alias("__before"))
+    return events.join(F.broadcast(before(counts, "file", "__before")), "file").withColumn("position", F.col("__before") + F.col("event_idx")).drop("__before")  # broadcast: a row for each file
+
+
+def write_shards(events: DataFrame, out: str, size: int = 100_000, gzipped: bool = True) -> DataFrame:
+    """JSON lines in shards of exactly `size` events, the last one less, in the order of files and events.
+
+    A shard is one file, in a folder shard=N below `out`, written by one task from some `size` events; rerun tasks write
+    the same. Returns shard, n of what was written.
+    """
+    plain = in_order(events)
+    plain = shards(plain, size, "position").select("shard", "position", F.to_json("event").alias("value"))
+    sorted_ = plain.repartition("shard").sortWithinPartitions("shard", "position").select("shard", "value")
+    sorted_.write.mode("overwrite").partitionBy("shard").option("compression", "gzip" if gzipped else "none").text(out)
+    return events.sparkSession.read.text(out).groupBy("shard").agg(F.count("*").alias("n"))
+
+
 def shards(events: DataFrame, size: int, index: str = "event_idx") -> DataFrame:
     """Adds the number of each event's shard of `size` events; the index must have no gaps."""
     return events.withColumn("shard", F.floor(F.col(index) / size).cast("int"))
