@@ -2,6 +2,7 @@
 
 import json
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -241,8 +242,47 @@ def test_features_and_cross_validation(spark):
     assert len(features.features(Rule())) == 65
     rules = [Rule(id=f"r{i}", level="high" if i % 2 else "low", detection={"s": {"Image|contains": "x" * (i % 7 + 1)}, "condition": "s"}, logsource=LogSource("windows", "process_creation")) for i in range(60)]
     table = features.feature_table(spark, rules).withColumn("label", (F.col("level") < 2).cast("int"))
-    got = {r.model: r.roc_auc for r in features.cross_validate(table, ["level", "mean_len", "n_values"], folds=2).collect()}
-    assert got["logistic"] > 0.9 and got["boosted"] > 0.9
+    got = {r.model: r for r in features.cross_validate(table, ["level", "mean_len", "n_values"], folds=2, rounds=5).collect()}
+    assert set(got) == {"logistic", "boosted", "heuristic_level", "heuristic_hunting", "heuristic_no_filter", "random"}
+    assert got["logistic"].roc_auc > 0.9 and got["boosted"].roc_auc > 0.9 and got["heuristic_level"].roc_auc == got["heuristic_level"].precision_at_k == 1
+    assert got["logistic"].rows == 60 and got["logistic"].positives == 30 and abs(got["heuristic_level"].recall_at_share - 0.2) < 1e-12
+
+
+def test_areas_and_bootstrap_by_brute_force(spark):
+    rng = random.Random(3)
+    rows = [(m, f"r{i}", float(i % 3 == 0), float(rng.randint(0, 6) + (2 if m == "a" and i % 3 == 0 else 0))) for i in range(40) for m in ("a", "heuristic_level")]
+    scored = spark.createDataFrame(rows, "model string, rule_id string, y double, score double")
+
+    def plain(some):
+        p, n = [s for y, s in some if y], [s for y, s in some if not y]
+        roc = sum((x > z) + (x == z) / 2 for x in p for z in n) / (len(p) * len(n))
+        ap = 0.0
+        for s in {s for _, s in some}:
+            at = [y for y, t in some if t >= s]
+            ap += sum(y for y, t in some if t == s) / len(p) * sum(at) / len(at)
+        return roc, ap
+
+    for r in features.areas(scored, ["model"]).collect():
+        roc, ap = plain([(y, s) for m, _, y, s in rows if m == r.model])
+        assert math.isclose(r.roc_auc, roc) and math.isclose(r.pr_auc, ap)
+    assert features.areas(scored.filter("y > 0"), ["model"]).first().roc_auc is None
+    boot = {(r.model, r.metric): r for r in features.bootstrap_areas(scored, draws=60).collect()}
+    a, same = boot[("a", "roc_auc")], boot[("heuristic_level", "roc_auc")]
+    assert a.draws == 60 and a.lo < plain([(y, s) for m, _, y, s in rows if m == "a"])[0] < a.hi and a.delta_lo <= a.delta_hi and a.at_or_below < 20
+    assert same.delta_lo == same.delta_hi == 0 and same.at_or_below == 60
+
+
+def test_folds_are_stratified_and_features_that_matter_are_found(spark):
+    rows = [(f"r{i}", float(i % 5 == 0), float(i % 5 == 0) + (i * 7919 % 13) / 30, float(i * 31 % 17)) for i in range(100)]
+    table = spark.createDataFrame(rows, "rule_id string, label double, sign double, noise double")
+    dealt = features.stratified(table, "label", 4, 1)
+    assert dealt.groupBy("__fold", "__y").count().count() == 8
+    assert {(r["__y"], r["count"]) for r in dealt.groupBy("__fold", "__y").count().collect()} == {(1.0, 5), (0.0, 20)}
+    assert {r["__y"]: round(r.w, 9) for r in dealt.groupBy("__y").agg(F.sum("__w").alias("w")).collect()} == {0.0: 50.0, 1.0: 50.0}
+    got = {r.feature: r.importance for r in features.importance(table, ["sign", "noise"], repeats=2, rounds=3).collect()}
+    assert got["sign"] > 0.3 and abs(got["noise"]) < 0.1
+    again = {(r.model, r.metric): r for r in features.repeated(table, ["sign", "noise"], folds=2, seeds=(1, 2), rounds=2).collect()}
+    assert again[("boosted", "roc_auc")].mean > 0.95 and again[("boosted", "roc_auc")].lo <= again[("boosted", "roc_auc")].mean
 
 
 def test_drafts(spark):
