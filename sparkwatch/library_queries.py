@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.dialect import Fields
-from .functions.stored import shared_dir
+from .functions.stored import materialize, shared_dir
 from .model import LogSource, Rule
-from .operators import gate, index, routes, scan
-from .queries import _DETECTIONS, _ID, full_library, query, routed_telemetry, table
-from .sources import logs
+from .operators import coverage, decay, features, gate, index, reports, routes, scan
+from .queries import _DETECTIONS, _ID, _SAID, _UNROUTED, HITS, RULE_WHERE, TELEMETRY, all_hits, full_library, library, library_rules, query, routed_telemetry, table, telemetry
+from .sources import captures, logs
+from .sources.rules import rules_table
 
 # files of logs
 
@@ -135,3 +136,147 @@ def gate_library(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = gate.gate_library(full_library(), cases, df.filter("event_id % 3 <> 0"), Fields(df.schema), index="event_id")
     first = F.coalesce(F.get("missed_tps", F.lit(0)), F.lit(-1)).alias("first_missed")
     return out.select("rule_id", "tp_total", "tp_fired", "tn_total", "tn_fired", "corpus_size", "fp_hits", first, F.size("missed_tps").alias("n_missed"), "precision", "recall", "passed")
+
+
+# changes of schema
+
+
+def decay_library() -> list[Rule]:
+    """Rules over the fields that changes of schema take away: in several sources, under filters, as alternatives."""
+    process, security, windows = LogSource("windows", "process_creation"), LogSource("windows", "", "security"), LogSource("windows")
+    found = [
+        ({"s": {"CommandLine|contains": "run 1"}, "condition": "s"}, process),
+        ({"s": {"Hashes|contains": "MD5=1"}, "condition": "s"}, process),
+        ({"s": {"Image|endswith": "click.exe"}, "condition": "s"}, process),
+        ({"s": {"User": "u7"}, "condition": "s"}, process),
+        ({"s": {"Image|contains": "view"}, "condition": "s"}, windows),
+        ({"s": {"CommandLine|contains": "run 2"}, "condition": "s"}, security),
+        ({"s": {"Image|endswith": ".exe"}, "f": {"CommandLine|contains": "run"}, "condition": "s and not f"}, process),
+        ({"a": {"Hashes|contains": "MD5=2"}, "b": {"Image": "error.exe"}, "condition": "a or b"}, process),
+    ]
+    return [Rule(id=f"{_ID}{i:012d}", title=f"decay {i}", detection=d, logsource=source) for i, (d, source) in enumerate(found, 1)]
+
+
+def process_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as maps: clicks and views are Sysmon's process creations and connections, errors Security's process creations."""
+    kind, k = F.col("event_type"), F.get_json_object("props", "$.k")
+    channel = F.when(kind.isin("click", "view"), "Microsoft-Windows-Sysmon/Operational").when(kind == "error", "Security").otherwise("application")
+    eid = F.when(kind == "click", 1).when(kind == "view", 3).when(kind == "error", 4688).otherwise(7)
+    values = {"Channel": channel, "EventID": eid, "Image": F.concat(kind, F.lit(".exe")), "CommandLine": F.concat(F.lit("run "), F.col("user_id").cast("string")), "Hashes": F.concat(F.lit("MD5="), k), "User": F.concat(F.lit("u"), (F.col("user_id") % 10).cast("string"))}
+    return table(spark, sf_dir, "events").select("event_id", F.create_map(*[x for n, v in values.items() for x in (F.lit(n), v.cast("string"))]).alias("event"))
+
+
+_CHANGED = f"""
+WITH e AS (SELECT event_type AS t, user_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, CASE WHEN event_type IN ('click', 'view') THEN 'sysmon' WHEN event_type = 'error' THEN 'security' ELSE 'application' END AS ch, CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 3 WHEN 'error' THEN 4688 ELSE 7 END AS id FROM events),
+c AS (SELECT e.*, v.change, v.change IN ('sysmon_to_4688', '4688_no_cmdline', '4688_no_cmdline_mixed') AND ch = 'sysmon' AS conv FROM e, (VALUES ('none'), ('ecs_rename'), ('sysmon_to_4688'), ('4688_no_cmdline'), ('4688_no_cmdline_mixed'), ('no_commandline'), ('no_hashes')) v(change)),
+x AS (SELECT change, CASE WHEN conv THEN 'security' ELSE ch END AS ch, CASE WHEN conv THEN 4688 ELSE id END AS id,
+  CASE WHEN change <> 'ecs_rename' THEN t || '.exe' END AS image,
+  CASE WHEN change IN ('ecs_rename', 'no_commandline') OR (conv AND change LIKE '4688%') OR (change = '4688_no_cmdline' AND ch = 'security' AND id = 4688) THEN NULL ELSE 'run ' || user_id END AS line,
+  CASE WHEN change IN ('ecs_rename', 'no_hashes') OR conv THEN NULL ELSE 'md5=' || k END AS hashes,
+  CASE WHEN change = 'ecs_rename' OR conv THEN NULL ELSE 'u' || (user_id % 10) END AS who
+  FROM c WHERE NOT (conv AND id <> 1)),
+p AS (SELECT *, (ch = 'sysmon' AND id = 1) OR (ch = 'security' AND id = 4688) AS process FROM x),
+h AS (SELECT change, unnest([CASE WHEN process AND contains(line, 'run 1') THEN 1 END, CASE WHEN process AND contains(hashes, 'md5=1') THEN 2 END, CASE WHEN process AND ends_with(image, 'click.exe') THEN 3 END, CASE WHEN process AND who = 'u7' THEN 4 END,
+  CASE WHEN contains(image, 'view') THEN 5 END, CASE WHEN ch = 'security' AND contains(line, 'run 2') THEN 6 END, CASE WHEN process AND ends_with(image, '.exe') AND NOT coalesce(contains(line, 'run'), FALSE) THEN 7 END, CASE WHEN process AND (contains(hashes, 'md5=2') OR image = 'error.exe') THEN 8 END]) AS n FROM p)"""
+
+
+@query(f"{_CHANGED} SELECT change, '{_ID}' || lpad(CAST(n AS VARCHAR), 12, '0') AS rule_id, count(*) AS hits FROM h WHERE n IS NOT NULL GROUP BY 1, 2")
+def decay_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of each rule before and after six changes of schema, in one read."""
+    found = decay.evidence(process_maps(spark, sf_dir), decay_library()).filter("rule_id is not null")
+    return found.select(F.when(F.col("change") == "", "none").otherwise(F.col("change")).alias("change"), "rule_id", F.col("n").alias("hits"))
+
+
+@query(f"{_CHANGED}, b AS (SELECT DISTINCT n FROM h WHERE change = 'none' AND n IS NOT NULL) SELECT v.change, count(*) AS rules, count(*) FILTER (a.n IS NULL) AS decayed FROM b CROSS JOIN (SELECT DISTINCT change FROM c WHERE change <> 'none') v LEFT JOIN (SELECT DISTINCT change, n FROM h) a ON a.change = v.change AND a.n = b.n GROUP BY 1")
+def decay_lost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of the rules that fired no longer do, by change: what the monitors are held against."""
+    rules = decay_library()
+    told = reports.decay_changes(rules, materialize(decay.evidence(process_maps(spark, sf_dir), rules), "evidence"))
+    return told.filter("method = 'verdict'").select("change", "rules", "decayed")
+
+
+@query()
+def decay_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three monitors on six changes of schema, with exact paired p values."""
+    rules = decay_library()
+    return reports.decay_changes(rules, materialize(decay.evidence(process_maps(spark, sf_dir), rules), "evidence"))
+
+
+# engines
+
+_ABLATION = " UNION ALL ".join(f"SELECT '{_ID}{i:012d}' AS rule_id, count(*) FILTER ({RULE_WHERE[i]}) AS routed, count(*) FILTER ({_UNROUTED[i]}) AS unrouted FROM ({TELEMETRY}) t" for i in RULE_WHERE)
+
+
+@query(_ABLATION)
+def routing_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What routing takes from each rule's hits."""
+    df = telemetry(spark, sf_dir)
+    return scan.ablation(df, library(df)).select("rule_id", "routed", "unrouted")
+
+
+_ALL_UNROUTED = " UNION ALL ".join(f"SELECT '{_ID}{i:012d}' AS rule_id, * FROM ({TELEMETRY}) t WHERE {w}" for i, w in _UNROUTED.items())
+_SIDE = "SELECT rule_id, user_id AS file, count(*) AS n, list_sort(list(event_id)) AS ids FROM ({}) x GROUP BY 1, 2"
+
+
+@query(
+    f"WITH a AS ({_SIDE.format(HITS)}), b AS ({_SIDE.format(_ALL_UNROUTED)}), c AS (SELECT DISTINCT r.rule_id, e.user_id AS file FROM events e, (VALUES {', '.join(f'({chr(39)}{_ID}{i:012d}{chr(39)})' for i in RULE_WHERE)}) r(rule_id)), "
+    "j AS (SELECT coalesce(a.n, 0) AS x, coalesce(b.n, 0) AS y, coalesce(a.ids, []) = coalesce(b.ids, []) AS same FROM c LEFT JOIN a USING (rule_id, file) LEFT JOIN b USING (rule_id, file)), "
+    "s AS (SELECT count(*) AS cases, count(*) FILTER (x > 0 AND y > 0) AS both_, count(*) FILTER (x > 0 AND y = 0) AS only_a, count(*) FILTER (x = 0 AND y > 0) AS only_b, count(*) FILTER (x = 0 AND y = 0) AS neither, count(*) FILTER (x = y) AS same_count, count(*) FILTER (same) AS same_events FROM j), "
+    "k AS (SELECT *, ((both_ + only_a) * (both_ + only_b) + (cases - both_ - only_a) * (cases - both_ - only_b)) / (cases * cases) AS chance FROM s) "
+    "SELECT cases, both_, only_a, only_b, neither, same_count, same_events, round(((both_ + neither) / cases - chance) / (1 - chance), 9) AS kappa FROM k"
+)
+def two_engines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users as captures, each with every rule: the routed scan against one without routes, whose hits are read from a table."""
+    from .plans.compile import hit_column
+
+    df = telemetry(spark, sf_dir)
+    tests = F.array_compact(F.array(*[F.when(hit_column(df, r), F.lit(r.key)) for r in library_rules()]))
+    other = materialize(df.select("event_id", F.col("user_id").alias("file"), F.explode(tests).alias("rule_id")), "engine")
+    own = all_hits(spark, sf_dir).select("rule_id", F.col("user_id").alias("file"), "event_id")
+    cases = df.select(F.col("user_id").alias("file")).distinct().select("file", F.explode(F.array(*[F.lit(r.key) for r in library_rules()])).alias("rule_id"))
+    out = reports.verdicts_of_two(own, other, cases, "event_id")
+    return out.withColumnRenamed("both", "both_").withColumn("kappa", F.round("kappa", 9))
+
+
+# captures
+
+
+@query(f"SELECT d.id, coalesce(bool_or(s.id = d.t OR s.id = split_part(d.t, '.', 1)), FALSE) AS claimed FROM (SELECT DISTINCT event_type AS id, CASE WHEN event_type IN ('error', 'click') THEN 'T1059.001' WHEN event_type = 'signup' THEN 'T1110.003' ELSE 'T1486' END AS t FROM events) d LEFT JOIN {_SAID} ON TRUE GROUP BY 1")
+def detection_claimed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Channels as captures of one technique each, and whether any rule names it, fired or not."""
+    what = F.when(F.col("id").isin("error", "click"), "T1059.001").when(F.col("id") == "signup", "T1110.003").otherwise("T1486")
+    sets = telemetry(spark, sf_dir).select(F.col("event_type").alias("id")).distinct().select("id", F.array(what).alias("techniques"))
+    return coverage.claimed(sets, rules_table(spark, library_rules()))
+
+
+@query("WITH m AS (SELECT doc_id AS key, coalesce(text, '') || ' see report ' || (doc_id % 40) || ' (final).pcap, a.b and T1105' AS text FROM documents), f AS (SELECT DISTINCT unnest(['report ' || (event_id % 25) || ' (final).pcap', 'a.b', 'nowhere ' || (event_id % 25)]) AS name FROM events) SELECT f.name, m.key FROM f JOIN m ON contains(m.text, f.name)")
+def contained_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Descriptions that hold a file's name, blanks, brackets and short ones included."""
+    said = F.concat(F.coalesce("text", F.lit("")), F.lit(" see report "), (F.col("doc_id") % 40).cast("string"), F.lit(" (final).pcap, a.b and T1105"))
+    metadata = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), said.alias("text"))
+    n = (F.col("event_id") % 25).cast("string")
+    files = table(spark, sf_dir, "events").select(F.explode(F.array(F.concat(F.lit("report "), n, F.lit(" (final).pcap")), F.lit("a.b"), F.concat(F.lit("nowhere "), n))).alias("name"))
+    return captures.named_in(files, metadata).select("name", "key")
+
+
+# models of noise
+
+
+@query(
+    "WITH s AS (SELECT CAST(l.toxic AS DOUBLE) AS y, -floor(d.n_chars / 200) AS score FROM documents d JOIN labels l USING (doc_id)), g AS (SELECT score, sum(y) AS pos, sum(1 - y) AS neg FROM s GROUP BY 1), "
+    "r AS (SELECT *, sum(pos) OVER (ORDER BY score DESC) AS tp, sum(neg) OVER (ORDER BY score DESC) AS fp FROM g) SELECT round(1 - sum(pos * (fp - neg / 2)) / (sum(pos) * sum(neg)), 9) AS roc_auc, round(sum(CASE WHEN pos > 0 THEN pos * tp / (tp + fp) ELSE 0 END) / sum(pos), 9) AS pr_auc FROM r"
+)
+def rank_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Areas under the ROC and precision-recall curves of a score with many ties."""
+    scored = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select(F.lit("length").alias("model"), F.col("toxic").cast("double").alias("y"), (-F.floor(F.col("n_chars") / 200)).alias("score"))
+    return features.areas(scored, ["model"]).select(F.round("roc_auc", 9).alias("roc_auc"), F.round("pr_auc", 9).alias("pr_auc"))
+
+
+@query()
+def noise_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled documents in the place of rules: models of low quality from counts, by stratified held-out folds, beside plain signs and chance."""
+    text = F.coalesce("text", F.lit(""))
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("label")), "doc_id").filter("label is not null")
+    counts = {"level": F.length(text), "hunting": F.regexp_count(text, F.lit(r"[0-9]")), "n_filters": F.regexp_count(text, F.lit(r"\n")), "marks": F.regexp_count(text, F.lit(r"[^\w\s]"))}
+    rows = docs.select(F.col("doc_id").cast("string").alias("rule_id"), "label", *[v.cast("double").alias(k) for k, v in counts.items()])
+    return features.cross_validate(rows, list(counts), folds=2, rounds=5)

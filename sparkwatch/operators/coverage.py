@@ -26,16 +26,20 @@ def active(catalog: DataFrame, platform: str | None = None, sub: bool = True) ->
     return out if sub else out.filter("not is_subtechnique")
 
 
-def resolve(catalog: DataFrame, depth: int = 20) -> DataFrame:
-    """id, resolved: where a chain of revocations ends, null if that one isn't active (or the chain is a circle)."""
+def resolve(catalog: DataFrame) -> DataFrame:
+    """id, resolved: where a chain of revocations ends, null if that one isn't active, isn't there, or the chain is a circle.
+
+    Only revoked techniques lead on. A chain keeps the ids that it has seen and goes to none of them again, so it ends.
+    """
     spark = catalog.sparkSession
-    catalog.select("id", "revoked_by", (~F.col("revoked") & ~F.col("deprecated")).alias("live")).createOrReplaceTempView("__catalog")
-    chain = spark.sql(f"""
-        WITH RECURSIVE chain(id, at, n) AS (
-            SELECT id, id, 0 FROM __catalog
+    catalog.select("id", "revoked", "revoked_by", (~F.col("revoked") & ~F.col("deprecated")).alias("live")).createOrReplaceTempView("__catalog")
+    chain = spark.sql("""
+        WITH RECURSIVE chain(id, at, seen) AS (
+            SELECT id, id, array(id) FROM __catalog
             UNION ALL
-            SELECT c.id, k.revoked_by, c.n + 1 FROM chain c JOIN __catalog k ON c.at = k.id WHERE k.revoked_by IS NOT NULL AND c.n < {depth})
-        SELECT id, max_by(at, n) AS at FROM chain GROUP BY id""")
+            SELECT c.id, k.revoked_by, array_append(c.seen, k.revoked_by) FROM chain c JOIN __catalog k ON c.at = k.id
+            WHERE k.revoked AND k.revoked_by IS NOT NULL AND NOT array_contains(c.seen, k.revoked_by))
+        SELECT id, max_by(at, size(seen)) AS at FROM chain GROUP BY id""")
     ends = spark.table("__catalog").select(F.col("id").alias("at"), "live")
     return chain.join(ends, "at", "left").select("id", F.when(F.col("live"), F.col("at")).alias("resolved"))
 
@@ -76,6 +80,19 @@ def detection_matrix(datasets: DataFrame, file_hits: DataFrame, rules: DataFrame
     return fired.groupBy("id").agg(F.count_distinct("rule_id").alias("rules_fired"), strict.alias("technique_detected"), loose.alias("lenient")).withColumn("any_alert", F.col("rules_fired") > 0)
 
 
+def claimed(datasets: DataFrame, rules: DataFrame) -> DataFrame:
+    """id, claimed: whether any rule (rule_id, techniques) names one of a dataset's techniques or its parent, fired or not."""
+    wide = datasets.select("id", F.explode(F.array_union("techniques", F.transform("techniques", parent))).alias("technique"))
+    said = rules.select(F.explode("techniques").alias("technique")).distinct()
+    named = wide.join(said, "technique", "left_semi").select("id").distinct().withColumn("claimed", F.lit(True))
+    return datasets.select("id").distinct().join(named, "id", "left").fillna(False, ["claimed"])
+
+
+def missed(matrix: DataFrame, claims: DataFrame) -> DataFrame:
+    """Rows of a detection matrix whose technique is claimed and wasn't detected."""
+    return matrix.join(claims.filter("claimed"), "id", "left_semi").filter("not technique_detected")
+
+
 def navigator_layer(per_technique: DataFrame, name: str = "coverage") -> str:
     """A layer for the ATT&CK Navigator: 2 for validated techniques, 1 for claimed ones. Its rows are a catalogue's."""
     rows = per_technique.filter("claimed > 0").orderBy("id").collect()

@@ -214,6 +214,75 @@ SCHEMA_CHANGES: dict[str, Callable[[DataFrame], DataFrame]] = {
 }
 
 
+# the same changes of events that are maps, so that one read of a corpus shows what each of them does
+
+
+def _map_rename(event: Column, names: dict[str, str] = ECS) -> Column:
+    """Keys under their new names; what stood under a new name before goes."""
+    new = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
+    return F.transform_keys(F.map_filter(event, lambda k, v: ~k.isin(*names.values())), lambda k, v: F.coalesce(F.try_element_at(new, k), k))
+
+
+def _map_without(event: Column, *names: str) -> Column:
+    return F.map_filter(event, lambda k, v: ~k.isin(*names))
+
+
+def _map_4688(event: Column, command_line: bool = True, everywhere: bool = True) -> Column:
+    """As to_4688; null for an event that goes."""
+    get = lambda k: F.try_element_at(event, F.lit(k))
+    channel, eid = F.lower(F.coalesce(get("Channel"), F.lit(""))), F.coalesce(get("EventID").try_cast("int"), F.lit(0))
+    made = {"Channel": F.lit("Security"), "EventID": F.lit("4688"), "Provider_Name": F.lit(PROVIDER_4688), **{new: get(old) for new, old in AS_4688.items()}}
+    if command_line:
+        made["CommandLine"] = get("CommandLine")
+    converted = F.map_filter(F.create_map(*[x for k, v in made.items() for x in (F.lit(k), v)]), lambda k, v: v.isNotNull())
+    rest = event
+    if not command_line and everywhere:
+        rest = F.when((channel == rt.SECURITY) & (eid == 4688), _map_without(event, "CommandLine")).otherwise(event)
+    return F.when(channel != rt.SYSMON, rest).when(eid == 1, converted)
+
+
+MAP_CHANGES: dict[str, Callable[[Column], Column]] = {
+    "ecs_rename": _map_rename,
+    "sysmon_to_4688": _map_4688,
+    "4688_no_cmdline": lambda e: _map_4688(e, False),
+    "4688_no_cmdline_mixed": lambda e: _map_4688(e, False, False),
+    "no_commandline": lambda e: _map_without(e, "CommandLine"),
+    "no_hashes": lambda e: _map_without(e, "Hashes"),
+}
+
+
+def evidence(events: DataFrame, rules: list[Rule], changes: dict[str, Callable[[Column], Column]] = MAP_CHANGES) -> DataFrame:
+    """change (empty: none), rule_id, channel, eid, fields, n: how often each rule fires, and what each source's events hold, before and after every change.
+
+    Events (with `event`, a map) are read once and each takes all its forms in turn. A row is either about a rule's hits
+    (rule_id) or about a source's sets of fields (channel, eid, fields); both are counted by one aggregation, which meets
+    a row a rule or a set of fields in each task.
+    """
+    from ..functions.dialect import Fields
+    from . import scan
+
+    forms = F.array(F.struct(F.lit("").alias("change"), F.col("event")), *[F.struct(F.lit(name).alias("change"), f(F.col("event")).alias("event")) for name, f in changes.items()])
+    each = events.select(F.explode(forms).alias("x")).select("x.change", "x.event").filter("event is not null")
+    get = lambda k: F.try_element_at("event", F.lit(k))
+    each = each.select("change", "event", get("Channel").alias("Channel"), get("EventID").try_cast("int").alias("EventID"))
+    fields = Fields(each.schema, document="event")
+    library = scan.Library.build(rules, fields)
+    keys = scan.keyed(each)
+    none = F.array().cast("array<string>")
+    fired = none
+    if any(r.pairs for r in library.routes.values()):
+        asked = scan.routed(library, lambda n: fields(n).sql)
+        keys = keys.withColumns(asked.columns)
+        fired = F.when(asked.covered, asked.matching).otherwise(none)
+    held = F.array_sort(F.map_keys(F.map_filter("event", lambda k, v: v.isNotNull())))
+    kind = "struct<rule_id: string, channel: string, eid: int, fields: array<string>>"
+    empty = lambda t: F.lit(None).cast(t)
+    hit = F.transform(fired, lambda k: F.struct(k, empty("string"), empty("int"), empty("array<string>")).cast(kind))
+    shape = F.struct(empty("string"), F.col("__channel"), F.col("__eid"), held).cast(kind)
+    rows = keys.select("change", F.explode(F.array_append(hit, shape)).alias("x")).select("change", "x.*")
+    return rows.groupBy("change", "rule_id", "channel", "eid", "fields").agg(F.count("*").alias("n"))
+
+
 def worsened(before: DataFrame, after: DataFrame) -> DataFrame:
     """Rules whose verdict is worse after a change."""
     rank = lambda c: F.element_at(F.create_map(*[x for i, s in enumerate(("ok", "degraded", "broken", "source-missing")) for x in (F.lit(s), F.lit(i))]), F.col(c))

@@ -9,6 +9,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.stats import mcnemar
 from ..model import GatePolicy, Rule
 from ..plans.compile import rule_fields
 from . import coverage, decay
@@ -123,22 +124,65 @@ def removal_truth(found: DataFrame, by_file: DataFrame, removed: str = rt.SYSMON
     return found.join(both, "file", "left_semi").groupBy("rule_id").agg(F.bool_or(F.col("channel") != removed).alias("fires_after"))
 
 
+_ORDER = ("ok", "degraded", "broken", "source-missing")
+Inventory = dict[tuple[str, int], set[str]]
+
+
+def _anywhere(inventory: Inventory) -> set[str]:
+    return set().union(*inventory.values())
+
+
+def _flags(rule: Rule, before: Inventory, after: Inventory, everywhere: list[set[str]]) -> tuple[bool, bool, bool, bool]:
+    """What a rule's verdict, the fields of its own source and those of all sources say, and whether its verdict is worse."""
+    old, new = decay.analyse(rule, before), decay.analyse(rule, after)
+    worse = _ORDER.index(new.status) > _ORDER.index(old.status)
+    was, gone = old.status != "source-missing", new.status == "source-missing"
+    missing = [(rule_fields(rule) - set(decay.META_FIELDS)) - there for there in everywhere]
+    return worse and new.status in _ORDER[2:], was and (gone or bool(set(new.missing) - set(old.missing))), bool(missing[1] - missing[0]), worse
+
+
 def decay_flags(rules: list[Rule], before: DataFrame, after: DataFrame) -> DataFrame:
     """rule_id and what three monitors flag when the inventory changes: verdict (worse, and can't fire), by_source and anywhere (fields that are newly missing in a rule's own source, and in all).
 
     The inventories are what decay.observed gives; they have a row for each source and are read by the driver, as is the library.
     """
-    seen = {k: {(r["channel"], r["eid"]): set(r["fields"]) for r in df.collect()} for k, df in (("before", before), ("after", after))}
-    everywhere = {k: set().union(*inv.values()) if inv else set() for k, inv in seen.items()}
-    order = ("ok", "degraded", "broken", "source-missing")
-    rows = []
-    for r in rules:
-        old, new = (decay.analyse(r, seen[k]) for k in ("before", "after"))
-        fields = rule_fields(r) - set(decay.META_FIELDS)
-        worse = order.index(new.status) > order.index(old.status)
-        gone = new.status == "source-missing"
-        rows.append((r.key, worse and new.status in order[2:], (gone and old.status != "source-missing") or (not gone and old.status != "source-missing" and bool(set(new.missing) - set(old.missing))), bool((fields - everywhere["after"]) - (fields - everywhere["before"])), worse))
-    return before.sparkSession.createDataFrame(rows, "rule_id string, verdict boolean, by_source boolean, anywhere boolean, worsened boolean")
+    old, new = ({(r["channel"], r["eid"]): set(r["fields"]) for r in df.collect()} for df in (before, after))
+    everywhere = [_anywhere(old), _anywhere(new)]
+    return before.sparkSession.createDataFrame([(r.key, *_flags(r, old, new, everywhere)) for r in rules], "rule_id string, verdict boolean, by_source boolean, anywhere boolean, worsened boolean")
+
+
+METHODS = ("verdict", "by_source", "anywhere")
+
+
+def decay_changes(rules: list[Rule], evidence: DataFrame) -> DataFrame:
+    """change, method, rules (that fired before), decayed (that no longer do), flagged, found, false_alarms, recall, precision, only_verdict, only_method, p: how each monitor does on each schema change.
+
+    evidence is what decay.evidence gives, stored: a row a rule or a set of fields, which the driver reads with the
+    library. only_verdict and only_method say how often just one of the verdict monitor and this one is right; p is the
+    exact two-sided one of that.
+    """
+    spark = evidence.sparkSession
+    fired: dict[str, set[str]] = {}
+    seen: dict[str, Inventory] = {}
+    for r in evidence.select("change", "rule_id", "channel", "eid", "fields").distinct().collect():
+        if r["rule_id"] is not None:
+            fired.setdefault(r["change"], set()).add(r["rule_id"])
+        else:
+            seen.setdefault(r["change"], {}).setdefault((r["channel"], r["eid"]), set()).update(r["fields"])
+    before, of = fired.get("", set()), {r.key: r for r in rules}
+    there = {change: _anywhere(inventory) for change, inventory in seen.items()}
+    flags = [
+        (change, key, key not in fired.get(change, set()), flags[0], method, flag)
+        for change in sorted({*seen, *fired} - {""}) for key in sorted(before & set(of)) for flags in [_flags(of[key], seen.get("", {}), seen.get(change, {}), [there.get("", set()), there.get(change, set())])] for method, flag in zip(METHODS, flags, strict=False)
+    ]
+    rows = spark.createDataFrame(flags, "change string, rule_id string, decayed boolean, verdict boolean, method string, flag boolean")
+    right = lambda c: F.col(c) == F.col("decayed")
+    out = rows.groupBy("change", "method").agg(
+        F.count("*").alias("rules"), F.count_if("decayed").alias("decayed"), F.count_if("flag").alias("flagged"), F.count_if(F.expr("flag and decayed")).alias("found"), F.count_if(F.expr("flag and not decayed")).alias("false_alarms"),
+        F.count_if(right("verdict") & ~right("flag")).alias("only_verdict"), F.count_if(~right("verdict") & right("flag")).alias("only_method"),
+    ).withColumns({"recall": F.try_divide("found", "decayed"), "precision": F.try_divide("found", "flagged")})
+    told = [(*r, mcnemar(r["only_verdict"], r["only_method"])) for r in out.collect()]  # a row for each change and method
+    return spark.createDataFrame(told, out.schema.add("p", "double"))
 
 
 def decay_methods(flags: DataFrame, decayed: DataFrame, universe: DataFrame) -> DataFrame:
@@ -161,6 +205,27 @@ def agreement(a: DataFrame, b: DataFrame, index: str = "event_idx") -> DataFrame
     return out.withColumn("same", F.expr("only_a = 0 and only_b = 0"))
 
 
+def verdicts_of_two(a: DataFrame, b: DataFrame, cases: DataFrame, index: str = "event_idx") -> DataFrame:
+    """One row: cases, both, only_a, only_b, neither (whether each engine fires on a case), same_count, same_events (cases on which they agree in how many events they hit, and which), kappa.
+
+    a and b are hits (rule_id, file, index) of two engines, one of them perhaps read from a table that another engine
+    wrote; cases (rule_id, file) are what both were asked. Event sets are compared by their number and the sum of their
+    hashes, so none is gathered.
+    """
+    keys = ["rule_id", "file"]
+    of = lambda df, name: df.select(*keys, index).distinct().groupBy(*keys).agg(F.count("*").alias(f"n_{name}"), F.sum(F.xxhash64(index).cast("decimal(38,0)")).alias(f"h_{name}"))
+    each = cases.select(*keys).distinct().join(of(a, "a"), keys, "left").join(of(b, "b"), keys, "left").fillna(0, ["n_a", "n_b"])
+    fires = {x: F.col(f"n_{x}") > 0 for x in "ab"}
+    count = lambda c, name: F.count_if(c).alias(name)
+    out = each.agg(
+        F.count("*").alias("cases"), count(fires["a"] & fires["b"], "both"), count(fires["a"] & ~fires["b"], "only_a"), count(~fires["a"] & fires["b"], "only_b"), count(~fires["a"] & ~fires["b"], "neither"),
+        count(F.col("n_a") == F.col("n_b"), "same_count"), count((F.col("n_a") == F.col("n_b")) & F.col("h_a").eqNullSafe(F.col("h_b")), "same_events"),
+    )
+    n, a_yes, b_yes = F.col("cases"), F.col("both") + F.col("only_a"), F.col("both") + F.col("only_b")
+    agree, chance = (F.col("both") + F.col("neither")) / n, (a_yes * b_yes + (n - a_yes) * (n - b_yes)) / (n * n)
+    return out.withColumn("kappa", F.when(chance == 1, 1.0).otherwise((agree - chance) / (1 - chance)))
+
+
 def paired(a: DataFrame, b: DataFrame, key: str, value: str = "hit") -> DataFrame:
     """key, a, b: the results of two methods on the same cases; a case that one of them doesn't have is a miss there."""
     one = lambda df, name: df.groupBy(key).agg(F.bool_or(value).alias(name))

@@ -180,6 +180,29 @@ def hits(events: DataFrame, library: Library, keep: list[str] | None = None, fie
     return keys.select(*keep, F.explode(asked.matching).alias("rule_id"))
 
 
+def ablation(events: DataFrame, library: Library, fields: Callable[[str], str] | None = None, chunk: int = 250) -> DataFrame:
+    """rule_id, routed, unrouted, tested: hits of each rule under its route and without it, and how many events its route has it tested on. One read: an event is tested by all rules once."""
+    register(events.sparkSession)
+    resolve = fields or (lambda n: Fields(events.schema)(n).sql)
+    texts, shared = ready(library.predicates, library.shared)
+
+    def covers(route: rt.Route) -> str:
+        windows = f"__channel NOT IN ({', '.join(map(SPARK.text, rt.NOT_WINDOWS))})"
+        parts = [(windows if c == rt.ANY else f"__channel = {SPARK.text(c)}") + ("" if i is None else f" AND __eid = {i}") for c, i in route.pairs]
+        return guarded(" OR ".join(f"({p})" for p in parts) or "FALSE", route, resolve)
+
+    def row(key: str) -> str:
+        test = f"struct({SPARK.text(key)} AS rule_id, coalesce({covers(library.routes[key])}, FALSE) AS covered, coalesce({texts[key]}, FALSE) AS hit)"
+        return test
+
+    ids = list(texts)
+    if not ids:
+        return events.sparkSession.createDataFrame([], "rule_id string, routed long, unrouted long, tested long")
+    parts = [F.expr(f"filter(array({', '.join(map(row, ids[i : i + chunk]))}), x -> x.covered OR x.hit)") for i in range(0, len(ids), chunk)]
+    found = keyed(events).withColumns(shared).select(F.explode(F.concat(*parts)).alias("x")).select("x.*")
+    return found.groupBy("rule_id").agg(F.count_if(F.expr("hit AND covered")).alias("routed"), F.count_if("hit").alias("unrouted"), F.count_if("covered").alias("tested"))
+
+
 def hits_per_rule(found: DataFrame, index: str = "event_idx") -> DataFrame:
     """rule_id, hits, first_hit."""
     return found.groupBy("rule_id").agg(F.count("*").alias("hits"), F.min(index).alias("first_hit"))

@@ -5,12 +5,14 @@ Descriptions are small files that the driver reads; the logs that they name are
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from pathlib import Path, PurePosixPath
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.stored import BROADCAST_ROWS, Scratch
 from .rules import documents
 
 # Kinds of regression captures, and suffixes of log files.
@@ -101,8 +103,51 @@ def techniques_in(text: str = "text") -> Column:
     return F.array_sort(F.array_distinct(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(f"({TECHNIQUE})"), F.lit(1))))
 
 
+def emulations(spark: SparkSession, root: str) -> DataFrame:
+    """id, techniques, host_files, start, end of recorded emulations: folders below root with logs and a window.txt, which says what was run and when (seconds; null if it doesn't say)."""
+    rows = []
+    for window in sorted(Path(root).rglob("window.txt")):
+        about = recording(str(window))
+        files = sorted(str(f) for f in window.parent.iterdir() if f.is_file() and f.suffix.lower() in LOG_SUFFIXES)
+        number = lambda k: float(v) if re.fullmatch(r"\d+(\.\d+)?", v := about.get(k, "")) else None
+        if files:
+            rows.append((f"live:{window.parent.name}", [t for t in about.get("techniques", "").split(",") if t], files, number("start"), number("end")))
+    return spark.createDataFrame(rows, "id string, techniques array<string>, host_files array<string>, start double, end double")
+
+
+def within(events: DataFrame, windows: DataFrame, seconds: str) -> DataFrame:
+    """Events of recordings (with their id) that fall in their recording's window; an open end lets all pass."""
+    of = windows.select("id", "start", "end")
+    at = F.col(seconds)
+    return events.join(F.broadcast(of), "id").filter((F.col("start").isNull() | (at >= F.col("start"))) & (F.col("end").isNull() | (at <= F.col("end")))).drop("start", "end")  # broadcast: a row for each recording
+
+
+#: Characters by which a file's name is looked for.
+GRAM = 4
+
+
 def named_in(files: DataFrame, metadata: DataFrame) -> DataFrame:
-    """name, key, techniques: descriptions (key, text) that name a file (name). File names are found in the texts and joined, so no text is compared with every file."""
-    names = F.array_distinct(F.regexp_extract_all("text", F.lit(r"([\w][\w.-]*\.(?:zip|json|log|gz|tgz|evtx))\b"), F.lit(1)))
-    said = metadata.select("key", techniques_in("text").alias("techniques"), F.explode(names).alias("name"))
-    return files.select("name").distinct().join(said, "name").select("name", "key", "techniques")
+    """name, key, techniques: descriptions (key, text) that hold a file's name, whatever characters it has.
+
+    A name is known by the run of four characters (all of a shorter name) that fewest names have. The runs in a text are
+    looked up among these, by a broadcast of a counted size or a shuffle of the runs, and only the names found there are
+    searched for in it; so no text is compared with every file.
+    """
+    names = files.select("name").distinct().filter("name <> ''")
+    size = F.least(F.length("name"), F.lit(GRAM))
+    grams = names.select("name", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("name") - size + 1), lambda i: F.substring(F.col("name"), i, size)))).alias("gram"))
+    rarity = grams.groupBy("gram").agg(F.count("*").alias("n"))
+    keyed = Scratch(files.sparkSession).write(grams.join(rarity, "gram").groupBy("name").agg(F.min(F.struct("n", "gram")).alias("x")).select("name", F.col("x.gram").alias("gram")), "names")
+    sizes = sorted(r[0] for r in keyed.select(F.length("gram")).distinct().collect())  # at most four
+    texts = metadata.select("key", F.coalesce("text", F.lit("")).alias("text"))
+    runs = [F.regexp_extract_all("text", F.lit(f"(?s)(?=({'.' * k}))"), F.lit(1)) for k in sizes]
+    if not runs:
+        return texts.select(F.lit("").alias("name"), "key", techniques_in("text").alias("techniques")).limit(0)
+    found = texts.withColumn("gram", F.explode(F.array_distinct(F.concat(*runs))))
+    n = keyed.count()
+    if n <= BROADCAST_ROWS:
+        near = found.join(F.broadcast(keyed), "gram")
+    else:  # the texts stay where they are: only runs travel, and of the texts those that may hold a name
+        pairs = found.select("gram", F.xxhash64("text").alias("of"), "key").join(keyed, "gram").select("key", "of", "name")
+        near = texts.withColumn("of", F.xxhash64("text")).join(pairs, ["key", "of"])
+    return near.filter(F.contains("text", F.col("name"))).select("name", "key", techniques_in("text").alias("techniques")).distinct()
