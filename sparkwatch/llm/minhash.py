@@ -209,8 +209,18 @@ def _rarity(sets: DataFrame) -> np.ndarray:
     return out
 
 
+#: Longs in a set's parity bitmap: 64 bits each.
+PARITY = 4
+
+
+def _parity(s: np.ndarray) -> np.ndarray:
+    """For each of 256 classes of hashes whether the set has an odd number of them. Two sets' bitmaps differ in no more bits than the sets differ in members."""
+    odd = np.bincount((s & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _prefixes(sets: DataFrame, rarity: np.ndarray, percent: int) -> DataFrame:
-    """shingle, id, n, at (from 0), short: the rarest shingles of each set, of which a linked pair shares the first that it shares.
+    """shingle, id, n, at (from 0), short, b0 to b3 (its parity bitmap): the rarest shingles of each set, of which a linked pair shares the first that it shares.
 
     A pair needs percent / (100 + percent) of the sum of its sizes in common, thus percent % of either size, and of the
     smaller one even 2 * percent / (100 + percent): its first common shingle is in the one's prefix for the former and in
@@ -228,26 +238,30 @@ def _prefixes(sets: DataFrame, rarity: np.ndarray, percent: int) -> DataFrame:
                 most, least = n + (-percent * n) // 100 + 1, n + (-2 * percent * n) // (100 + percent) + 1
                 first = s[np.lexsort((s, counts[(s >> np.uint64(64 - RARITY_BITS)).astype(np.int64)]))[:most]]
                 at = np.arange(len(first))
-                parts.append((first.view(np.int64), np.full(len(first), i), np.full(len(first), n), at, at < least))
+                parts.append((first.view(np.int64), np.full(len(first), i), np.full(len(first), n), at, at < least, *(np.full(len(first), b) for b in _parity(s))))
             if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], ["shingle", "id", "n", "at", "short"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], ["shingle", "id", "n", "at", "short", *bits])
 
-    return sets.select("doc_id", "set").mapInArrow(work, "shingle long, id long, n long, at long, short boolean")
+    bits = [f"b{k}" for k in range(PARITY)]
+    return sets.select("doc_id", "set").mapInArrow(work, "shingle long, id long, n long, at long, short boolean, " + ", ".join(f"{b} long" for b in bits))
 
 
 def _across(prefixes: DataFrame, comp: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """Pairs (a, b) of different components that share a shingle of their prefixes, if sizes and positions allow a link.
+    """Pairs (a, b) of different components that share a shingle of their prefixes, if sizes, positions and parity bitmaps allow a link.
 
-    Of the documents with a shingle those outside its largest component are paired with all of other components, so a
+    A pair at the threshold differs in at most (100 - percent) / (100 + percent) of the sum of its sizes; where the bitmaps
+    differ in more bits there is no link, and the join itself leaves the pair out. Of the documents with a shingle those outside its largest component are paired with all of other components, so a
     large group of linked near copies makes no pairs within itself.
     """
+    bits = [f"b{k}" for k in range(PARITY)]
     rows = _named(prefixes, comp)
     groups = rows.groupBy("shingle", "component").agg(F.count("*").alias("m")).groupBy("shingle").agg(F.count("*").alias("groups"), F.max_by("component", F.struct("m", "component")).alias("main"))
     rows = scratch.write(rows.join(groups.filter("groups > 1").select("shingle", "main"), "shingle"), "prefixes")
-    cols = lambda c: [F.col(x).alias(c + x) for x in ("id", "n", "at", "short", "component")]
+    cols = lambda c: [F.col(x).alias(c + x) for x in ("id", "n", "at", "short", "component", *bits)]
     minor = rows.filter("component <> main").select("shingle", *cols("p"))
+    differ = " + ".join(f"bit_count(p{b} ^ q{b})" for b in bits)
     both = minor.join(rows.select("shingle", "main", *cols("q")), "shingle").filter(
-        f"pcomponent <> qcomponent and 100 * least(pn, qn) >= {percent} * greatest(pn, qn) and (pn > qn or pshort) and (qn > pn or qshort)"
+        f"{100 + percent} * ({differ}) <= {100 - percent} * (pn + qn) and pcomponent <> qcomponent and 100 * least(pn, qn) >= {percent} * greatest(pn, qn) and (pn > qn or pshort) and (qn > pn or qshort)"
         f" and {100 + percent} * least(pn - pat, qn - qat) >= {percent} * (pn + qn) and (qcomponent = main or pid < qid)"
     )
     return both.select(F.col("pid").alias("a"), F.col("qid").alias("b")).distinct()

@@ -355,3 +355,25 @@ def test_sketch_estimates(spark):
     rows = df.select(F.lit(1).alias("k"), F.explode(F.array("x", "y")).alias("sketch"))
     both = fingerprint.merge_all(rows, ["k"]).first().sketch
     assert both == df.select(fingerprint.merge(F.col("x"), F.col("y"))).first()[0] and len(both) == 128
+
+
+def test_dense_tables_send_pairs_in_proportion_to_documents(spark, monkeypatch):
+    """Documents that share boilerplate and differ in four words: few are linked, and the exact join confirms few pairs that aren't."""
+    sent = []
+    confirm = minhash._confirm
+    monkeypatch.setattr(minhash, "_confirm", lambda pairs, sets, percent: sent.append(pairs.count()) or confirm(pairs, sets, percent))
+    rng = random.Random(1)
+    base = [f"w{i}" for i in range(68)]
+    rows = [(d, " ".join([*base[:34], *[f"s{i}" if i % 4 else f"v{i}_{rng.randint(0, 19)}" for i in range(16)], *base[34:]])) for d in range(500)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == labels_of(rows) and len({c for _, c in got.values()}) > 300
+    assert sum(sent[2:]) < 50 and sum(sent) < 60 * len(rows)
+
+
+def test_parity_bitmaps_never_differ_more_than_the_sets():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 5, 80, 300, 5000):
+        a = np.unique(rng.integers(0, 1 << 63, n, np.uint64))
+        b = np.unique(np.concatenate([a[: n // 2], rng.integers(0, 1 << 63, n // 3, np.uint64)]))
+        bits = sum(bin(int(x) & (2**64 - 1)).count("1") for x in minhash._parity(a) ^ minhash._parity(b))
+        assert bits <= len(np.setxor1d(a, b)) and len(minhash._parity(a)) == minhash.PARITY
