@@ -8,11 +8,12 @@ how many shingles there are.
 from __future__ import annotations
 
 from collections.abc import Callable
-from math import isqrt
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 K = 128
 
 
@@ -78,22 +79,28 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", sketch(F.col("text")).alias("sketch"))
 
 
-def _ranges(docs: DataFrame, buckets: int | None, bytes_each: int = 32 << 20) -> tuple[Column, int]:
-    """The number of the range that a row's doc_id falls in, and how many there are: ranges of about as many rows each.
+def _ranges(docs: DataFrame, buckets: int | None, bytes_each: int = 32 << 20) -> tuple[DataFrame, int]:
+    """docs with the number of the range that a row's doc_id falls in (a null one: the first), and how many there are: ranges of about as many rows each.
 
-    Their bounds are approximate percentiles of the ids, so uneven ids or one far off make no range large; there are
-    enough that each has some `bytes_each` of text. Bounds are searched in two steps, as there may be many.
+    Spark deals the ids alone to as many ranges as their texts ask for, some `bytes_each` of text each, and tells where
+    each ends. These ends are one row of arrays, eight bytes a range, that is broadcast; the plan holds none of them. They
+    are searched in two steps, as there may be many.
     """
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = buckets or max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // bytes_each))
-    shares = F.array(*[F.lit(i / n) for i in range(1, n)]) if n > 1 else F.array(F.lit(0.5))
-    bounds = sorted(set(docs.agg(F.percentile_approx("doc_id", shares, F.lit(20 * n))).first()[0] or []))
-    step = isqrt(len(bounds)) + 1
-    fine = [bounds[i : i + step] for i in range(0, len(bounds), step)] or [[]]
-    number = lambda of: F.array(*[F.lit(x) for x in of]).cast("array<bigint>")
+    ids = docs.filter("doc_id is not null").select("doc_id").repartitionByRange(n, "doc_id")
+    tops = ids.groupBy(F.spark_partition_id().alias("p")).agg(F.max("doc_id").alias("top")).agg(F.sort_array(F.collect_list("top")).alias("e"))  # one number a range
+    ends = tops.select(F.slice("e", 1, F.greatest(F.size("e") - 1, F.lit(0))).alias("e")).withColumn("step", F.floor(F.sqrt(F.size("e"))).cast("int") + 1)
+    fine = F.transform(F.sequence(F.lit(0), F.floor(F.size("e") / F.col("step")).cast("int")), lambda i: F.slice("e", i * F.col("step") + 1, F.col("step")))
+    cut = ends.select("step", fine.alias("fine"))
+    last = F.transform(F.slice("fine", 1, F.size("fine") - 1), lambda part: F.element_at(part, -1))
+    # stored, so that all that reads it sees the same ranges
+    table = materialize(cut.select(F.pmod(F.size("fine"), F.lit(1)).cast("bigint").alias("__all"), F.col("step").alias("__step"), last.alias("__coarse"), F.col("fine").alias("__fine")), "ranges")
     below = lambda of: F.size(F.filter(of, lambda x: x < F.col("doc_id")))
-    coarse = below(number([part[-1] for part in fine[:-1]]))
-    return (coarse * step + below(F.element_at(F.array(*map(number, fine)), coarse + 1))).alias("bucket"), len(bounds) + 1
+    with_ends = docs.withColumn("__all", F.coalesce(F.pmod("doc_id", F.lit(1)), F.lit(0)).cast("bigint")).join(F.broadcast(table), "__all")
+    coarse = below(F.col("__coarse"))
+    bucket = F.when(F.col("doc_id").isNull(), 0).otherwise(coarse * F.col("__step") + below(F.element_at("__fine", coarse + 1)))
+    return with_ends.withColumn("bucket", bucket).drop("__all", "__step", "__coarse", "__fine"), n
 
 
 def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
@@ -101,8 +108,7 @@ def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
 
     Rows are dealt to ranges of doc_id and sorted in each; where a range ends, the first row of the next one follows.
     """
-    bucket, parts = _ranges(docs, buckets)
-    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), bucket)
+    base, parts = _ranges(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), buckets)
     both = lambda text: F.struct(text.alias("text"), sketch(text).alias("sketch"))
     tops = base.groupBy("bucket").agg(F.max("doc_id").alias("doc_id"))
     first = base.join(F.broadcast(tops), ["bucket", "doc_id"]).groupBy("bucket").agg(F.max("text").alias("text"))  # broadcast: a row for each bucket
