@@ -59,6 +59,22 @@ def json_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.join(first, ["file", "user_id"]).select("user_id", "event_id", (F.col("event_idx") - F.col("first")).alias("place"))
 
 
+def _told(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Users as files, each with its events, and the five rules of the flagship."""
+    df = telemetry(spark, sf_dir).withColumn("file", F.concat(F.lit("user "), F.col("user_id").cast("string")))
+    return scan.told(df, library(df), lambda n: Fields(df.schema)(n).sql, "event_id")
+
+
+@query(f"SELECT rule_id, 'user ' || user_id AS file, event_type AS channel, count(*) AS hits FROM ({HITS}) h GROUP BY 1, 2, 3")
+def scan_per_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _told(spark, sf_dir)["hits"]
+
+
+@query("SELECT 'user ' || user_id AS file, count(*) AS events FROM events GROUP BY 1")
+def events_per_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _told(spark, sf_dir)["events"]
+
+
 # thousands of literals
 
 EACH = 700

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dialect import SPARK, Fields
 from ..functions.network import register
+from ..functions.stored import Scratch
 from ..model import GatePolicy, Rule, UnsupportedRule
 from ..plans.compile import Compiler, required_event_ids
 from . import routes as rt
@@ -233,14 +234,35 @@ def gate(per_rule: DataFrame, policy: GatePolicy) -> DataFrame:
     return per_rule.withColumn("alerts_per_day", daily).withColumn("passed", daily <= F.lit(policy.budget))
 
 
-def scan_files(spark: SparkSession, paths: list[str], rules: list[Rule], reader: Callable[..., DataFrame], drop: set[str] = frozenset(), **options: Any) -> dict[str, DataFrame]:  # type: ignore[assignment]
-    """Hits by (file, rule, channel), events by file and by (channel, id) of the files together, as one job each."""
-    events = reader(spark, paths, **options)
-    library = Library.build(rules, Fields(events.schema), drop=drop)
-    found = hits(events, library, ["file", "Channel", "event_idx"])
+def told(events: DataFrame, library: Library, fields: Callable[[str], str], index: str = "event_idx") -> dict[str, DataFrame]:
+    """What a library says of files of events (file, Channel, EventID, index and its own columns), from one read of them.
+
+    The read stores a narrow row for each event and one for each hit, which alone has the event's text; of these are hits
+    by (file, rule, channel), events by file and by (channel, id), first hits by rule, and the first three examples of each.
+    """
+    spark = events.sparkSession
+    register(spark)
+    none, fired = F.array().cast("array<string>"), None
+    keys = keyed(events)
+    if any(r.pairs for r in library.routes.values()):
+        asked = routed(library, fields)
+        keys, fired = keys.withColumns(asked.columns), F.when(asked.covered, asked.matching).otherwise(none)
+    own = [c for c in events.columns if c not in ("file", index)]
+    each = keys.select("file", "__channel", "__eid", F.col(index).alias("event_idx"), F.struct(*own).alias("__own"), F.explode(F.array_append(none if fired is None else fired, F.lit(None).cast("string"))).alias("rule_id"))
+    text = F.when(F.col("rule_id").isNotNull(), F.to_json("__own"))
+    rows = Scratch(spark).write(each.select("file", F.col("__channel").alias("channel"), F.col("__eid").alias("eid"), "event_idx", "rule_id", text.alias("event")), "told", last=True)
+    found, of = rows.filter("rule_id is not null"), rows.filter("rule_id is null")
     return {
-        "hits": found.groupBy("file", "rule_id", F.lower("Channel").alias("channel")).agg(F.count("*").alias("hits")),
-        "events": events.groupBy("file").agg(F.count("*").alias("events")),
-        "by_key": events_by_key(events),
-        "examples": examples(hits(events, library), 3),
+        "hits": found.groupBy("file", "rule_id", "channel").agg(F.count("*").alias("hits")),
+        "events": of.groupBy("file").agg(F.count("*").alias("events")),
+        "by_key": of.groupBy("channel", "eid").agg(F.count("*").alias("n")),
+        "first": found.groupBy("rule_id").agg(F.count("*").alias("hits"), F.min(F.struct("file", "event_idx")).alias("first")),
+        "examples": examples(found.select("rule_id", "file", "event_idx", "event"), 3),
     }
+
+
+def scan_files(spark: SparkSession, paths: list[str], rules: list[Rule], reader: Callable[..., DataFrame], drop: set[str] = frozenset(), **options: Any) -> dict[str, DataFrame]:  # type: ignore[assignment]
+    """`told` of log files and a library, whose events `reader` gives as maps."""
+    events = reader(spark, paths, **options)
+    fields = Fields(events.schema, document="event")
+    return told(events, Library.build(rules, fields, drop=drop), lambda n: fields(n).sql)

@@ -218,3 +218,109 @@ def test_streams_of_json():
     for n, x in enumerate(scanner.values(), 1):
         most = max(most, len(scanner._text))
     assert n == 20_000 and most < 20_000
+
+
+def test_changes_of_maps_are_those_of_columns(spark):
+    """Each rule's hits after a change of maps, in one read, equal those of a scan of the changed table."""
+    from sparkwatch import library_queries as lq
+    from sparkwatch.operators import decay, reports
+
+    rng = random.Random(6)
+    channels = ["Microsoft-Windows-Sysmon/Operational", "Security", "other"]
+    rows = [(rng.choice(channels), rng.choice([1, 3, 4688]), f"{rng.choice(['click', 'view', 'error'])}.exe", rng.choice([f"run {rng.randint(1, 3)}", None]), rng.choice([f"MD5={rng.randint(1, 3)}", None]), f"u{rng.randint(6, 8)}") for _ in range(200)]
+    df = spark.createDataFrame(rows, "Channel string, EventID int, Image string, CommandLine string, Hashes string, User string")
+    names = df.columns
+    maps = df.select(F.map_filter(F.create_map(*[x for n in names for x in (F.lit(n), F.col(n).cast("string"))]), lambda k, v: v.isNotNull()).alias("event"))
+    rules = lq.decay_library()
+    seen = decay.evidence(maps, rules).cache()
+    got = {}
+    for r in seen.filter("rule_id is not null").collect():
+        got.setdefault(r.change, {})[r.rule_id] = r.n
+    want = {}
+    for change, f in {"": lambda x: x, **decay.SCHEMA_CHANGES}.items():
+        changed = f(df).withColumn("i", F.lit(0))
+        library = scan.Library.build(rules, Fields(changed.schema))
+        want[change] = {r.rule_id: r.hits for r in scan.hits_per_rule(scan.hits(changed, library, ["i"]), "i").collect()}
+    assert got == {k: v for k, v in want.items() if v}
+    assert seen._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") <= 1
+    told = {(r.change, r.method): r for r in reports.decay_changes(rules, seen).collect()}
+    assert len(told) == 18
+    for change in decay.SCHEMA_CHANGES:
+        fired = set(want[""])
+        lost = fired - set(want[change])
+        before, after = (decay.observed(f(df)) for f in (lambda x: x, decay.SCHEMA_CHANGES[change]))
+        if change == "ecs_rename":
+            continue  # columns of the changed table have names with dots, which `observed` tells as they are: the flags are compared for the others
+        flags = {r.rule_id: r for r in reports.decay_flags([x for x in rules if x.key in fired], before, after).collect()}
+        for method in reports.METHODS:
+            x = told[(change, method)]
+            flagged = {k for k, r in flags.items() if r[method]}
+            assert (x.rules, x.decayed, x.flagged, x.found, x.false_alarms) == (len(fired), len(lost), len(flagged), len(flagged & lost), len(flagged - lost)), (change, method)
+            right = lambda m: {k for k in fired if flags[k][m] == (k in lost)}
+            assert x.only_verdict == len(right("verdict") - right(method)) and x.only_method == len(right(method) - right("verdict"))
+
+
+def test_verdicts_of_two_engines(spark):
+    from sparkwatch.operators import reports
+
+    a = spark.createDataFrame([("r", "f", 1), ("r", "f", 2), ("r", "g", 1), ("s", "f", 5), ("r", "f", 2)], "rule_id string, file string, event_idx long")
+    b = spark.createDataFrame([("r", "f", 2), ("r", "f", 1), ("r", "h", 1), ("s", "f", 6)], "rule_id string, file string, event_idx long")
+    cases = spark.createDataFrame([(r, f) for r in "rs" for f in "fgh"], "rule_id string, file string")
+    x = reports.verdicts_of_two(a, b, cases).first()
+    assert (x.cases, x.both, x.only_a, x.only_b, x.neither, x.same_count, x.same_events) == (6, 2, 1, 1, 2, 4, 3)
+    assert abs(x.kappa - (4 / 6 - 0.5) / 0.5) < 1e-12
+    assert reports.verdicts_of_two(a, a, cases).first().kappa == 1.0
+
+
+def test_revocations_end(spark):
+    from sparkwatch.operators import coverage
+    from sparkwatch.sources.rules import CATALOG_SCHEMA
+
+    row = lambda i, revoked, by, deprecated=False: (i, i, ["t"], ["Windows"], False, revoked, deprecated, by)
+    chain = [row(f"C{i}", True, f"C{i + 1}") for i in range(40)] + [row("C40", False, "C0")]
+    rows = chain + [row("A", True, "B"), row("B", True, "A"), row("D", True, None), row("E", True, "gone"), row("F", True, "G"), row("G", False, None, True), row("H", False, "A")]
+    got = {r.id: r.resolved for r in coverage.resolve(spark.createDataFrame(rows, CATALOG_SCHEMA)).collect()}
+    assert all(got[f"C{i}"] == "C40" for i in range(41)) and got["H"] == "H" and [got[k] for k in "ABDEFG"] == [None] * 6
+    sets = spark.createDataFrame([("x", ["T1003.001"]), ("y", ["T1003"]), ("z", [])], "id string, techniques array<string>")
+    rules = spark.createDataFrame([("r", ["T1003"])], "rule_id string, techniques array<string>")
+    assert {r.id: r.claimed for r in coverage.claimed(sets, rules).collect()} == {"x": True, "y": True, "z": False}
+    matrix = spark.createDataFrame([("x", True), ("y", False), ("z", False)], "id string, technique_detected boolean")
+    assert [r.id for r in coverage.missed(matrix, coverage.claimed(sets, rules)).collect()] == ["y"]
+
+
+def test_recorded_windows_and_contained_names(spark, tmp_path):
+    from sparkwatch.sources import captures
+
+    (tmp_path / "live" / "emulation").mkdir(parents=True)
+    (tmp_path / "live" / "emulation" / "window.txt").write_text("techniques=T1003,T1059\nstart = 100\nnoise\n")
+    (tmp_path / "live" / "emulation" / "a.log").write_text("type=X msg=audit(99:1): a=1\n")
+    (tmp_path / "live" / "bare").mkdir()
+    (tmp_path / "live" / "bare" / "window.txt").write_text("x")
+    made = captures.emulations(spark, str(tmp_path))
+    assert [(r.id, r.techniques, len(r.host_files), r.start, r.end) for r in made.collect()] == [("live:emulation", ["T1003", "T1059"], 1, 100.0, None)]
+    events = spark.createDataFrame([("live:emulation", 99.0), ("live:emulation", 100.0), ("else", 1.0)], "id string, at double")
+    assert [r.at for r in captures.within(events, made, "at").collect()] == [100.0]
+    names = ["a b (1).pcap", "x", "été", "longer name.zip", "", "no such"]
+    texts = [(1, "see a b (1).pcap T1003"), (2, "x marks l'été"), (3, None), (4, "LONGER NAME.ZIP"), (5, "longer name.zip longer name.zip\nx"), (5, "longer name.zip longer name.zip\nx")]
+    got = sorted((r.name, r.key) for r in captures.named_in(spark.createDataFrame([(n,) for n in names], "name string"), spark.createDataFrame(texts, "key int, text string")).collect())
+    assert got == sorted((n, k) for k, t in dict.fromkeys(texts) for n in names if n and t and n in t)
+    assert captures.named_in(spark.createDataFrame([("",)], "name string"), spark.createDataFrame(texts, "key int, text string")).count() == 0
+
+
+def test_files_are_parsed_once(spark, tmp_path):
+    lake = tmp_path / "lake"
+    lake.mkdir()
+    for name in "ab":
+        (lake / f"{name}.jsonl").write_text("\n".join(json.dumps({"Channel": "Security" if i % 2 else "Other", "EventID": i % 3, "Image": f"{name}{i % 5}.exe"}) for i in range(20)))
+    rules = [Rule(id="r", detection={"s": {"Image|startswith": "a1"}, "condition": "s"}, logsource=LogSource("windows")), Rule(id="q", detection={"s": {"Image|endswith": "3.exe"}, "condition": "s"}, logsource=LogSource("windows", "", "security")), Rule(id="no", detection={"s": {"Image": "zzz"}, "condition": "s"}, logsource=LogSource("windows"))]
+    out = scan.scan_files(spark, [str(lake)], rules, logs.read_logs)
+    short = lambda r: r.file.rsplit("/", 1)[-1]
+    assert {(short(r), r.rule_id, r.channel): r.hits for r in out["hits"].collect()} == {("a.jsonl", "r", "security"): 2, ("a.jsonl", "r", "other"): 2, ("a.jsonl", "q", "security"): 2, ("b.jsonl", "q", "security"): 2}
+    assert {short(r): r.events for r in out["events"].collect()} == {"a.jsonl": 20, "b.jsonl": 20} and out["by_key"].agg(F.sum("n")).first()[0] == 40
+    assert {r.rule_id: (r.hits, short(r.first), r.first.event_idx) for r in out["first"].collect()} == {"r": (4, "a.jsonl", 1), "q": (4, "a.jsonl", 3)}
+    examples = out["examples"].filter("rule_id = 'r'").orderBy("n").collect()
+    assert [r.event_idx for r in examples] == [1, 6, 11] and json.loads(examples[0].event)["event"]["Image"] == "a1.exe"
+    for df in out.values():
+        assert "Scan text" not in df._jdf.queryExecution().executedPlan().toString()
+    empty = scan.scan_files(spark, [str(lake)], [], logs.read_logs)
+    assert empty["hits"].count() == 0 and empty["events"].count() == 2
