@@ -324,3 +324,31 @@ def test_files_are_parsed_once(spark, tmp_path):
         assert "Scan text" not in df._jdf.queryExecution().executedPlan().toString()
     empty = scan.scan_files(spark, [str(lake)], [], logs.read_logs)
     assert empty["hits"].count() == 0 and empty["events"].count() == 2
+
+
+def test_streams_count_what_batches_count(spark, tmp_path):
+    from sparkwatch.operators import decay
+    from sparkwatch.streaming import rules as streaming
+
+    rng = random.Random(8)
+    df = random_events(spark, rng, 90, False)
+    for part in range(3):
+        df.filter(F.col("event_idx") % 3 == part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    df = spark.read.parquet(str(tmp_path / "in")).cache()
+    stream = lambda: spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    library = scan.Library.build(random_rules(rng, 40), Fields(df.schema))
+    seen = {}
+    runs = [
+        streaming.store(streaming.by_key(stream()), str(tmp_path / "keys"), str(tmp_path / "c1")),
+        streaming.store(streaming.held_fields(stream()), str(tmp_path / "fields"), str(tmp_path / "c2")),
+        streaming.on_hits(streaming.stream_hits(stream(), library, ["event_idx"]), lambda batch, n: seen.__setitem__(n, {(r.rule_id, r.event_idx) for r in batch.collect()}), str(tmp_path / "c3")),
+        streaming.on_hits(index.hits(stream(), library, ["event_idx"]), lambda batch, n: seen.__setitem__(100 + n, {(r.rule_id, r.event_idx) for r in batch.collect()}), str(tmp_path / "c4")),
+    ]
+    for run in runs:
+        assert run.trigger(availableNow=True).start().awaitTermination(120)
+    plain = lambda d: sorted(map(tuple, d.collect()), key=str)
+    assert plain(streaming.stored(spark, str(tmp_path / "keys"), ["channel", "eid"])) == plain(scan.events_by_key(df))
+    held = streaming.stored(spark, str(tmp_path / "fields"), ["channel", "eid", "field"])
+    assert plain(streaming.inventory(held)) == plain(decay.observed(df)) and len(list((tmp_path / "fields").glob("batch=*"))) == 3
+    want = {(r.rule_id, r.event_idx) for r in scan.hits(df, library, ["event_idx"]).collect()}
+    assert set().union(*(v for k, v in seen.items() if k < 100)) == want == set().union(*(v for k, v in seen.items() if k >= 100))
