@@ -133,13 +133,19 @@ class LiteralIndex:
         return spark.createDataFrame(rows, "__gram string, __rule int, __earlier array<string>, __pairs array<struct<channel: string, eid: int>>")
 
 
-def _chosen(tests: list[tuple[str, str]], block: int = 64) -> Column:
-    """The id of the rule whose number is in `__rule`, if its test holds: by blocks of numbers first, then by number."""
-    out = []
-    for b in range(0, len(tests), block):
-        inner = " ".join(f"WHEN __rule = {n} AND ({test}) THEN {SPARK.text(key)}" for n, (test, key) in enumerate(tests[b : b + block], b))
-        out.append(f"WHEN __rule < {b + block} THEN CASE {inner} END")
-    return F.expr(f"CASE {' '.join(out)} END")  # as text, which is parsed at once
+def _chosen(tests: list[tuple[str, str]], fan: int = 12) -> Column:
+    """The id of the rule whose number is in `__rule`, if its test holds: a tree of choices by ranges of numbers, so that few are looked at."""
+
+    def choose(lo: int, hi: int) -> str:
+        if hi - lo == 1:
+            test, key = tests[lo]
+            return f"CASE WHEN {test} THEN {SPARK.text(key)} END"
+        step = 1
+        while step * fan < hi - lo:
+            step *= fan
+        return "CASE " + " ".join(f"WHEN __rule < {min(i + step, hi)} THEN {choose(i, min(i + step, hi))}" for i in range(lo, hi, step)) + " END"
+
+    return F.expr(choose(0, len(tests)))  # as text, which is parsed at once
 
 
 def hits(events: DataFrame, library: scan.Library, keep: list[str] | None = None, fields: Fields | None = None) -> DataFrame:
