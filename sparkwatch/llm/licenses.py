@@ -2,8 +2,9 @@
 
 Spark functions alone. A file's statements are its lines, its sentences and its paragraphs (lines joined, comment marks
 taken off, so wrapped headers are whole again), and the text as a whole; each is a TF-IDF vector, compared with templates
-of licence notices, file headers and full texts. Document counts of the templates' words come from all files; other words
-weigh as much as the rarest word of the templates. A statement can only reach the threshold with a template if the words
+of licence notices, file headers and full texts. Document counts come from all files, those of the templates' words for the
+prefilter and those of the other words of the statements that it leaves. Each licence that an SPDX tag names is a statement
+too, whose template is that tag alone and must be met in full. A statement can only reach the threshold with a template if the words
 that both hold make up enough of the template's vector. So files are left out that hold too few of every template's rarer
 words, even if all its common ones are granted; only the statements of the others are split into words, each once however
 many files make it. A file's licence is its best statement's; a file without one takes that of
@@ -17,7 +18,7 @@ from math import log, sqrt
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, small, table
+from .common import BROADCAST_ROWS, materialize, small, table
 
 # Notices, file headers and full texts of licences, as published.
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
@@ -77,8 +78,10 @@ THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH RE
 
 Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: the origin of this software must not be misrepresented; altered source versions must be plainly marked as such; this notice may not be removed or altered from any source distribution."""],
 }
-#: A statement of more characters than this many times the longest template is none.
-LONGEST = 4
+#: The number of the template that is a licence's SPDX tag, and how near a statement must be to it: the same words.
+TAG, SAME = -1, 1 - 1e-6
+#: Tasks that share a hot folder or path where a side is too large to be broadcast.
+SALTS = 32
 
 
 def _words(text: Column) -> Column:
@@ -90,7 +93,7 @@ def _template_words() -> list[tuple[str, int, dict[str, int]]]:
 
     out = []
     for name, texts in TEMPLATES.items():
-        for i, text in enumerate(texts):
+        for i, text in [(TAG, f"SPDX-License-Identifier: {name}"), *enumerate(texts)]:
             counts: dict[str, int] = {}
             for w in re.findall(r"[^\W_]+", text.lower()):
                 counts[w] = counts.get(w, 0) + 1
@@ -98,13 +101,20 @@ def _template_words() -> list[tuple[str, int, dict[str, int]]]:
     return out
 
 
-def _statements(text: Column, most: int) -> Column:
-    """Lines, paragraphs, their sentences and the whole text, each once, of up to `most` characters."""
+def _tags(text: Column) -> Column:
+    """A tag for each id of each SPDX expression (ids joined by AND, OR and WITH, bracketed or not), without `+`, `-only` and `-or-later`."""
+    one = r"\(*[A-Za-z0-9.+-]+\)*"
+    expressions = F.regexp_extract_all(text, F.lit(rf"(?i)SPDX-License-Identifier:[ \t]*({one}(?:[ \t]+(?:AND|OR|WITH)[ \t]+{one})*)"), F.lit(1))
+    ids = F.flatten(F.transform(expressions, lambda e: F.regexp_extract_all(e, F.lit(r"([A-Za-z0-9](?:[A-Za-z0-9.-]*[A-Za-z0-9])?)"), F.lit(1))))
+    return F.transform(ids, lambda i: F.concat(F.lit("SPDX-License-Identifier: "), F.regexp_replace(i, "(?i)-(?:only|or-later)$", "")))
+
+
+def _statements(text: Column) -> Column:
+    """Lines, paragraphs, their sentences, the whole text and its SPDX tags, each once."""
     marks = r"(?m)^[ \t]*(?:/\*+|\*+/|//+|\*+|#+|;+|--+|%+|<!--+)?[ \t]*"
     paragraphs = F.split(F.regexp_replace(text, marks, ""), r"\n[ \t\r]*\n")
     sentences = F.flatten(F.transform(paragraphs, lambda p: F.split(p, r"(?<=[.!?;])\s+")))
-    every = F.array_distinct(F.concat(F.split(text, "\n"), paragraphs, sentences, F.array(text)))
-    return F.filter(every, lambda s: F.length(s) <= most)
+    return F.array_distinct(F.concat(F.split(text, "\n"), paragraphs, sentences, F.array(text), _tags(text)))
 
 
 def weights(n: int, df: dict[str, int]) -> tuple[dict[str, float], list[tuple[str, str, int, float]]]:
@@ -131,11 +141,16 @@ def _granted(rows: list[tuple[str, str, int, float]], df: dict[str, int], most:
     return out
 
 
+def _least(template: int, threshold: float) -> float:
+    return max(threshold, SAME) if template == TAG else threshold
+
+
 def _candidates(held: DataFrame, rows: list[tuple[str, str, int, float]], granted: dict[tuple[str, int], tuple[float, set[str]]], threshold: float) -> DataFrame:
-    """file of those whose words (held) could make up threshold^2 of some template's squared vector, if the granted words are there."""
-    rare = held.sparkSession.createDataFrame([(w, name, i, x * x, granted[name, i][0]) for w, name, i, x in rows if w not in granted[name, i][1]], "w string, license string, template int, part double, granted double")
+    """file of those whose words (held) could make up enough of some template's squared vector, if the granted words are there."""
+    rare = [(w, name, i, x * x, granted[name, i][0], _least(i, threshold) ** 2) for w, name, i, x in rows if w not in granted[name, i][1]]
+    rare = held.sparkSession.createDataFrame(rare, "w string, license string, template int, part double, granted double, least double")
     met = held.select("file", F.explode(F.array_distinct("w")).alias("w")).join(F.broadcast(rare), "w")  # broadcast: the templates' words
-    return met.groupBy("file", "license", "template").agg((F.sum("part") + F.max("granted")).alias("most")).filter(F.col("most") >= threshold * threshold - 1e-9).select("file").distinct()
+    return met.groupBy("file", "license", "template").agg((F.sum("part") + F.max("granted")).alias("most"), F.max("least").alias("least")).filter(F.col("most") >= F.col("least") - 1e-9).select("file").distinct()
 
 
 def statement_licenses(files: DataFrame, threshold: float = 0.75, grant: float = 0.25) -> DataFrame:
@@ -149,33 +164,49 @@ def statement_licenses(files: DataFrame, threshold: float = 0.75, grant: float =
     held = materialize(files.select("file", F.array_intersect(_words(F.col("text")), known).alias("w")), "held")
     n = files.count()
     df = {r["w"]: r["count"] for r in held.select(F.explode("w").alias("w")).groupBy("w").count().collect()}  # at most the templates' words
-    idf, rows = weights(n, df)
-    rest = max(idf.values())
+    _, rows = weights(n, df)
     granted = _granted(rows, df, grant)
     candidates = materialize(_candidates(held, rows, granted, threshold), "candidates")
-    weighted = spark.createDataFrame(rows, "w string, license string, template int, weight double")
-    most = LONGEST * max(len(t) for texts in TEMPLATES.values() for t in texts)
-    units = files.join(small(candidates, candidates.count()), "file", "left_semi").select("file", F.explode(_statements(F.col("text"), most)).alias("text"))
-    units = materialize(units.withColumn("said", F.xxhash64("text")), "statements")
+    weighted = spark.createDataFrame([(*r, _least(r[2], threshold)) for r in rows], "w string, license string, template int, weight double, least double")
     telling = F.array(*map(F.lit, sorted({w for w, name, i, _ in rows if w not in granted[name, i][1]})))
-    words = units.groupBy("said").agg(F.min("text").alias("text")).select("said", _words(F.col("text")).alias("w")).filter(F.arrays_overlap("w", telling)).select("said", F.explode("w").alias("w"))
-    tf = words.groupBy("said", "w").agg(F.count("*").alias("tf"))
-    inverse = spark.createDataFrame(list(idf.items()), "w string, idf double")
-    vector = tf.join(F.broadcast(inverse), "w", "left").withColumn("x", F.col("tf") * F.coalesce("idf", F.lit(rest)))  # broadcast: the templates' words
+    units = files.join(small(candidates, candidates.count()), "file", "left_semi").select("file", F.explode(_statements(F.col("text"))).alias("text"))
+    units = materialize(units.filter(F.arrays_overlap(_words(F.col("text")), telling)).withColumn("said", F.xxhash64("text")), "statements")
+    words = units.groupBy("said").agg(F.min("text").alias("text")).select("said", F.explode(_words(F.col("text"))).alias("w"))
+    tf = materialize(words.groupBy("said", "w").agg(F.count("*").alias("tf")), "terms")
+    counts = materialize(_counts(files, materialize(tf.select("w").distinct(), "vocabulary")), "counts")
+    inverse = counts.select("w", (F.log((F.lit(float(n)) + 1) / (F.col("files") + 1)) + 1).alias("idf"))
+    vector = tf.join(small(inverse, counts.count()), "w").withColumn("x", F.col("tf") * F.col("idf"))
     norms = vector.groupBy("said").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    dots = vector.join(F.broadcast(weighted), "w").groupBy("said", "license", "template").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"))
-    scored = dots.join(norms, "said").select("said", "license", "template", F.round(F.col("dot") / F.col("norm"), 9).alias("score")).filter(F.col("score") >= threshold)
+    dots = vector.join(F.broadcast(weighted), "w").groupBy("said", "license", "template").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"), F.max("least").alias("least"))  # broadcast: the templates' words
+    scored = dots.join(norms, "said").select("said", "license", "template", "least", F.round(F.col("dot") / F.col("norm"), 9).alias("score")).filter(F.col("score") >= F.col("least"))
     best = F.min_by(F.struct("license", "template", "score"), F.struct(-F.col("score"), "license", "template"))
     found = materialize(scored.groupBy("said").agg(best.alias("b")).select("said", "b.*"), "scored")
     return units.select("file", "said").join(small(found, found.count()), "said").select("file", "said", "license", "template", "score")
 
 
+def _counts(files: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """w and files, the number of files that hold it, for the words of a vocabulary: looked up before words are counted where it is small enough, after that (a row a word) beyond."""
+    held = files.select(F.explode(F.array_distinct(_words(F.col("text")))).alias("w"))
+    if vocabulary.count() <= BROADCAST_ROWS:
+        return held.join(F.broadcast(vocabulary), "w", "left_semi").groupBy("w").agg(F.count("*").alias("files"))
+    return held.groupBy("w").agg(F.count("*").alias("files")).join(vocabulary, "w", "left_semi")
+
+
+def _lookup(rows: DataFrame, found: DataFrame, on: str, spread: str, how: str, most: int) -> DataFrame:
+    """rows joined with found, which holds each `on` once and is broadcast up to `most` rows. Beyond that found goes to all of `SALTS` places and rows to one of them by `spread`, so that a hot (or null) key is shared by many tasks."""
+    if found.count() <= most:
+        return rows.join(F.broadcast(found), on, how)
+    salted = found.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(salted, [on, "salt"], how).drop("salt")
+
+
 def scan(files: DataFrame, threshold: float = 0.75, most: int = 1_000_000) -> DataFrame:
     """file, path, license, score, found (own, inherited or none), from_dir of each row of files (file, path, text).
 
     A licence file is one named LICENSE, LICENCE or COPYING, with or without a suffix. Its folder's licence is that of its
     best statement (ties: the first name). A null path has no folder; rows that repeat each get a row; an empty table none.
-    Null and empty texts say nothing; very long lines and texts are no statements themselves, but what they hold may be.
+    Null and empty texts say nothing; very long lines and texts are statements as all others are.
+    SPDX tags name a licence of the templates or none; of several (MIT OR Apache-2.0) the first name is taken.
     """
     own = materialize(statement_licenses(files.select("file", "text"), threshold).groupBy("file").agg(F.min_by(F.struct("license", "score"), F.struct(-F.col("score"), "license")).alias("o")).select("file", "o.*"), "own")
     name, folder = F.substring_index("path", "/", -1), F.regexp_replace("path", "/?[^/]*$", "")
@@ -186,9 +217,9 @@ def scan(files: DataFrame, threshold: float = 0.75, most: int = 1_000_000) -> Da
     depth = F.size(F.split("dir", "/"))
     above = dirs.select("dir", F.explode(F.transform(F.sequence(F.lit(0), depth), lambda i: F.struct(i.alias("depth"), F.array_join(F.slice(F.split("dir", "/"), 1, i), "/").alias("up")))).alias("a")).select("dir", "a.*")
     at = materialize(at.withColumnRenamed("dir", "up"), "folders")
-    near = above.join(small(at, at.count(), most), "up").groupBy("dir").agg(F.max_by(F.struct("up", "license"), "depth").alias("n")).select("dir", F.col("n.up").alias("from_dir"), F.col("n.license").alias("near"))
+    near = _lookup(above, at, "up", "dir", "inner", most).groupBy("dir").agg(F.max_by(F.struct("up", "license"), "depth").alias("n")).select("dir", F.col("n.up").alias("from_dir"), F.col("n.license").alias("near"))
     near = materialize(near, "near")
-    out = paths.join(small(own, own.count(), most), "file", "left").join(small(near, near.count(), most), "dir", "left")
+    out = _lookup(_lookup(paths, own, "file", "path", "left", most), near, "dir", "file", "left", most)
     found = F.when(F.col("license").isNotNull(), "own").when(F.col("near").isNotNull(), "inherited").otherwise("none")
     return out.select("file", "path", F.coalesce("license", "near").alias("license"), "score", found.alias("found"), F.when(F.col("license").isNull(), F.col("from_dir")).alias("from_dir"))
 

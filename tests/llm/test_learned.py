@@ -310,9 +310,7 @@ def test_licence_scores_against_plain_tf_idf(spark, real):
     templates = {(name, i): Counter(words(t)) for name, texts in licenses.TEMPLATES.items() for i, t in enumerate(texts)}
     df = Counter(w for _, t in docs for w in set(words(t or "")))
     n = len(docs)
-    idf = {w: np.log((n + 1) / (df[w] + 1)) + 1 for c in templates.values() for w in c}
-    rest = max(idf.values())
-    weigh = lambda c: {w: k * idf.get(w, rest) for w, k in c.items()}
+    weigh = lambda c: {w: k * (np.log((n + 1) / (df[w] + 1)) + 1) for w, k in c.items()}
     norm = lambda v: np.sqrt(sum(x * x for x in v.values()))
     vectors = {k: weigh(c) for k, c in templates.items()}
     want = {}
@@ -331,6 +329,29 @@ def test_licence_scores_against_plain_tf_idf(spark, real):
     assert {d: sorted(x) for d, x in got.items()} == {d: sorted(x) for d, x in want.items()} and len(want) > 20
 
 
+def test_spdx_tags(spark):
+    """Tags in any comment, several ids, old and new suffixes; ids that no template has are no licence, however near they are."""
+    files = [
+        ("Apache-2.0", "// SPDX-License-Identifier: Apache-2.0\nint x;"), ("MIT", "/* SPDX-License-Identifier: MIT */"), ("Apache-2.0", "# SPDX-License-Identifier: (MIT OR Apache-2.0)"), ("GPL-2.0", "<!-- spdx-license-identifier: GPL-2.0-or-later-->"),
+        ("GPL-2.0", "; SPDX-License-Identifier: GPL-2.0+ WITH Classpath-exception-2.0"), ("LGPL-2.1", "SPDX-License-Identifier:LGPL-2.1-only\r\nx"), (None, "# SPDX-License-Identifier: Foo"), (None, "# SPDX-License-Identifier: MIT-0"), (None, "SPDX-License-Identifier:"),
+        (None, "The SPDX license identifier is a tag."), ("BSD-2-Clause", "code();" * 1000 + "// SPDX-License-Identifier: BSD-2-Clause"), (None, "# SPDX-License-Identifier: Foo\nApache-2.0 MIT"), (None, None),
+    ]
+    df = spark.createDataFrame([(i, f"{i}/x", t) for i, (_, t) in enumerate(files)], "file long, path string, text string")
+    got = {r.file: r.license for r in licenses.scan(df).collect()}
+    assert got == {i: want for i, (want, _) in enumerate(files)}
+
+
+def test_long_statements_and_hot_folders(spark):
+    """One line that repeats a licence hundreds of times is a statement; sides too large to be broadcast give the same rows."""
+    mit = " ".join(licenses.TEMPLATES["MIT"][3].split())
+    files = [(0, "LICENSE", " ".join([mit] * 200)), (1, "a/LICENSE", "Released under the MIT License."), *((i, f"a/{i % 7}/{i}.c", f"text {i}") for i in range(2, 60)), (60, "b/x.c", "y"), (61, None, "z"), (61, None, "z")]
+    df = spark.createDataFrame(files, "file long, path string, text string")
+    want = sorted(map(str, licenses.scan(df).collect()))
+    assert sorted(map(str, licenses.scan(df, most=0).collect())) == want and len(want) == len(files)
+    got = {r.file: (r.license, r.found, r.from_dir) for r in licenses.scan(df).collect()}
+    assert got[0] == ("MIT", "own", None) and got[30] == ("MIT", "inherited", "a") and got[60] == ("MIT", "inherited", "") and got[61][1] == "none"
+
+
 def test_native_operators_run_no_python(spark, real):
     for name in ("op6_document_fingerprints", "op7_license_scan"):
         plan = q.queries()[name](spark, real)._jdf.queryExecution().executedPlan().toString()
