@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from .functions.dialect import Fields
 from .functions.stored import materialize, shared_dir
 from .model import LogSource, Rule
-from .operators import coverage, decay, features, gate, index, reports, routes, scan
+from .operators import coverage, decay, features, gate, index, lint, reports, routes, scan
+from .plans.compile import selection_column
 from .queries import _DETECTIONS, _ID, _SAID, _UNROUTED, HITS, RULE_WHERE, TELEMETRY, all_hits, full_library, library, library_rules, query, routed_telemetry, table, telemetry
 from .sources import captures, logs
 from .sources.rules import rules_table
@@ -59,6 +60,106 @@ def json_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.join(first, ["file", "user_id"]).select("user_id", "event_id", (F.col("event_idx") - F.col("first")).alias("place"))
 
 
+_KINDS = "SELECT event_id, event_id % 4 AS kind, event_type, CAST(user_id AS VARCHAR) AS u FROM events"
+
+
+@query(
+    "SELECT event_id, CASE kind WHEN 1 THEN 'System' ELSE event_type END AS channel, CASE kind WHEN 0 THEN 'P' WHEN 1 THEN 'flat' ELSE '' END AS provider, u AS who, "
+    f"CASE kind WHEN 0 THEN 'v' || u WHEN 2 THEN 'text ' || u WHEN 3 THEN '[\"x\",\"' || u || '\",null]' END AS extra FROM ({_KINDS}) k"
+)
+def evtx_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EVTX in JSON in its several forms: names with blanks, sections that wrap, override or are texts, elements with attributes, lists."""
+    head = '{"Event":{"System":{"Channel":"%2$s","EventID":1'
+    forms = [
+        head + ',"Provider":{"#attributes":{"Name":"P"}}},"EventData":{"Who":"%1$d","New Value":"v%1$d"}}}',
+        head + ',"Provider":{"Name":"flat"}},"UserData":{"LogFileCleared":{"#attributes":{"x":1},"Channel":"System","Who":"%1$d"}}}}',
+        head + '},"EventData":"text %1$d","UserData":{"Who":"%1$d","Other":"o"}}}',
+        head + '},"EventData":{"Who":{"#text":"%1$d","#attributes":{"x":1}},"Gone":{"#attributes":{"x":1}},"Data":["x",{"#text":"%1$d"},{"#attributes":{}}]}}}',
+    ]
+    doc = F.coalesce(*[F.when(F.col("event_id") % 4 == i, F.format_string(f, "user_id", "event_type")) for i, f in enumerate(forms)])
+    m = table(spark, sf_dir, "events").select("event_id", logs.normalised(doc).alias("m"))
+    return m.filter("m.Gone IS NULL").select("event_id", *[F.col(f"m.{c}").alias(n) for c, n in (("Channel", "channel"), ("Provider_Name", "provider"), ("Who", "who"))], F.coalesce("m.NewValue", "m.Data").alias("extra"))
+
+
+@query(
+    "SELECT event_id, CASE WHEN kind < 2 THEN 'source' ELSE 'named' END AS provider, CASE WHEN kind >= 2 THEN 'source' END AS source, 'h' || u AS computer, event_type AS at_, "
+    f"CASE WHEN kind % 2 = 0 THEN 'c:\\' || u ELSE 'own' END AS image FROM ({_KINDS}) k"
+)
+def flat_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flat records of process creations: the envelope goes, source, host and time are renamed, and images too unless there is one."""
+    names = F.when(F.col("event_id") % 4 >= 2, F.lit("named")).alias("Provider_Name")
+    image = F.when(F.col("event_id") % 2 == 1, F.lit("own")).alias("Image")
+    user = F.col("user_id").cast("string")
+    fields = [F.lit("security").alias("Channel"), F.lit(4688).alias("EventID"), F.lit("source").alias("SourceName"), names, F.concat(F.lit("h"), user).alias("Hostname"), F.col("event_type").alias("@timestamp"), F.lit("m").alias("Message")]
+    doc = F.to_json(F.struct(*fields, F.concat(F.lit("c:\\"), user).alias("NewProcessName"), image))
+    m = table(spark, sf_dir, "events").select("event_id", logs.aliased(logs.normalised(doc)).alias("m")).filter("m.Message IS NULL AND m.Hostname IS NULL")
+    got = {"Provider_Name": "provider", "SourceName": "source", "Computer": "computer", "TimeCreated": "at_", "Image": "image"}
+    return m.select("event_id", *[F.col(f"m.{c}").alias(n) for c, n in got.items()])
+
+
+@query(
+    "SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'linux-sysmon/operational' WHEN 2 THEN 'aws-cloudtrail' WHEN 5 THEN CASE WHEN event_id % 12 = 5 THEN 'security' END ELSE 'linux-auditd' END AS channel, "
+    "CAST(CASE event_id % 6 WHEN 0 THEN 3 WHEN 5 THEN CASE WHEN event_id % 12 = 5 THEN 4688 END ELSE 0 END AS INT) AS eid, "
+    "CASE event_id % 6 WHEN 0 THEN 'Linux-Sysmon' WHEN 1 THEN '1.2:' || event_id WHEN 3 THEN '1.2:' || event_id WHEN 5 THEN CASE WHEN event_id % 12 = 5 THEN 'a.exe' END END AS told FROM events WHERE event_id % 6 <> 4"
+)
+def mixed_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder of text logs (Sysmon XML, auditd, CloudTrail, syslog; other lines are none) and JSON files, read as one."""
+    line = [
+        '<Event><System><Provider Name="Linux-Sysmon"/><EventID>3</EventID></System><Data Name="Id">%1$d</Data></Event>',
+        "type=EXECVE msg=audit(1.2:%1$d): Id=%1$d Id=again",
+        '{"Records":[{"eventSource":"s3","eventName":"get","Id":"%1$d"},{"Id":"no event"}]}',
+        '{"SyslogMessage":"type=EXECVE msg=audit(1.2:%1$d): Id=%1$d"}',
+        '{"Hostname":"not among lines","Id":"%1$d"}',
+    ]
+    record = [(5, '{"Hostname":"h","Channel":"security","EventID":4688,"NewProcessName":"a.exe","Id":"%1$d"}'), (11, '{"SyslogMessage":"neither","Id":"%1$d"}')]
+    events, out = table(spark, sf_dir, "events"), _folder(spark, "mixed")
+    text = F.coalesce(*[F.when(F.col("event_id") % 6 == i, F.format_string(f, "event_id")) for i, f in enumerate(line)])
+    events.select(text.alias("value")).filter("value IS NOT NULL").write.text(f"{out}/lines")
+    doc = F.coalesce(*[F.when(F.col("event_id") % 12 == i, F.format_string(f, "event_id")) for i, f in record])
+    events.select(F.from_json(doc, "Hostname string, Channel string, EventID int, NewProcessName string, SyslogMessage string, Id string").alias("d")).filter("d IS NOT NULL").select("d.*").write.json(f"{out}/records")
+    read = logs.read_logs(spark, out)
+    return read.select(F.col("event.Id").cast("long").alias("event_id"), F.col("Channel").alias("channel"), F.col("EventID").alias("eid"), F.coalesce("event.audit_id", "event.Provider_Name", "event.Image").alias("told"))
+
+
+@query("SELECT user_id, event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS earlier FROM events QUALIFY earlier IS NOT NULL")
+def repeated_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as rules whose ids are users: where an id was used before."""
+    rules = table(spark, sf_dir, "events").select(F.col("user_id").alias("rule_id"), F.col("event_id").alias("path"), F.col("event_id").alias("load_order"))
+    return lint.first_with_id(rules).select(F.col("rule_id").alias("user_id"), F.col("path").alias("event_id"), "earlier")
+
+
+@query("SELECT event_type, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids, FALSE AS helper FROM events GROUP BY 1")
+def written_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events written as compressed JSON lines, without helper columns, and read again."""
+    out = _folder(spark, "written")
+    logs.write_jsonl(table(spark, sf_dir, "events").select("event_id", "event_type", F.lit(1).alias("__helper")), out)
+    read = logs.read_jsonl(spark, out)
+    kind = F.col("event.event_type").alias("event_type")
+    return read.groupBy(kind).agg(F.count("*").alias("n"), F.sum(F.col("event.event_id").cast("long")).alias("ids"), F.bool_or(F.map_contains_key("event", "__helper")).alias("helper"))
+
+
+_FLAGS = "SELECT event_id, user_id % 2 = 0 AS flag, CASE user_id % 3 WHEN 0 THEN 'TRUE' WHEN 1 THEN 'yes' END AS word FROM events"
+
+
+@query(f"SELECT event_id FROM ({_FLAGS}) f WHERE flag OR word = 'TRUE'")
+def sel_bool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A truth value meets flags and, in any case, the text that spells it."""
+    df = _flags(spark, sf_dir)
+    return df.filter(selection_column(df, [{"flag": True}, {"word": True}])).select("event_id")
+
+
+@query(f"SELECT event_id FROM ({_FLAGS}) f WHERE word IS NULL")
+def sel_empty_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No values at all ask for a field that isn't there."""
+    df = _flags(spark, sf_dir)
+    return df.filter(selection_column(df, {"word": []})).select("event_id")
+
+
+def _flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = F.col("user_id")
+    return table(spark, sf_dir, "events").select("event_id", (u % 2 == 0).alias("flag"), F.when(u % 3 == 0, "TRUE").when(u % 3 == 1, "yes").alias("word"))
+
+
 def _told(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Users as files, each with its events, and the five rules of the flagship."""
     df = telemetry(spark, sf_dir).withColumn("file", F.concat(F.lit("user "), F.col("user_id").cast("string")))

@@ -51,37 +51,65 @@ def _parsed(text: Column) -> Column:
     return F.when(F.ltrim(text).startswith("{"), F.from_json(text, _MAP))
 
 
-def _unwrapped(m: Column) -> Column:
-    return F.transform_values(_without(m, ("#attributes",)), lambda k, v: F.coalesce(F.when(v.startswith("{"), F.get_json_object(v, "$['#text']")), v))
-
-
 def _object(text: Column) -> Column:
     return F.coalesce(F.from_json(text, _MAP), F.create_map().cast(_MAP))
 
 
+def _element(v: Column) -> Column:
+    """What an XML element in JSON says: its text if it has one, nothing if it has attributes only, else itself."""
+    told = lambda m: F.when(F.map_contains_key(m, "#text"), F.try_element_at(m, F.lit("#text"))).when(F.map_keys(m) != F.array(F.lit("#attributes")), v)
+    return F.when(F.coalesce(v.startswith("{"), F.lit(False)), _let(_object(v), told)).otherwise(v)
+
+
+def _section(text: Column, wrapped: bool) -> Column:
+    """Fields of EventData or UserData, whose one element may wrap them; a section that is no object is its Data."""
+    inside = lambda m: F.coalesce(F.when(F.size(m) == 1, _let(F.get(F.map_values(m), F.lit(0)), _parsed)), m)
+    fields = _let(_object(text), inside) if wrapped else _object(text)
+    return F.when(text.startswith("{"), _without(fields, ("#attributes",))).when(text != "", F.create_map(F.lit("Data"), text)).otherwise(F.create_map().cast(_MAP))
+
+
+def _elements(m: Column) -> Column:
+    """What the fields say as elements, those listed as Data too."""
+    each = lambda k, v: F.when((k == "Data") & v.startswith("["), F.from_json(v, "array<string>")).otherwise(F.array(v))
+    said = lambda k, v: _let(F.transform(each(k, v), _element), lambda x: F.when((k == "Data") & v.startswith("["), F.to_json(x)).otherwise(F.get(x, F.lit(0))))
+    return F.transform_values(m, said)
+
+
+def _without_blanks(m: Column) -> Column:
+    """Fields whose names hold blanks under names without them too, unless there are such fields."""
+    spaced = F.map_filter(m, lambda k, v: F.contains(k, F.lit(" ")))
+    named = _first(F.transform(F.map_keys(spaced), lambda k: F.replace(k, F.lit(" "), F.lit(""))), F.map_values(spaced))
+    return F.when(F.exists(F.map_keys(m), lambda k: F.contains(k, F.lit(" "))), _over(named, m)).otherwise(m)
+
+
 def flatten_evtx(event: Column) -> Column:
-    """System, EventData and UserData (as JSON, by key) of an event in EVTX's JSON form, as flat fields."""
+    """System, EventData and UserData (as JSON, by key) of an event in EVTX's JSON form, as flat fields; of fields that share a name the later section's counts."""
     part = lambda k: F.try_element_at(event, F.lit(k))
-    inner = lambda u: _unwrapped(_object(F.get(F.map_values(u), F.lit(0))))
-    fields = _over(_unwrapped(_object(part("EventData"))), _let(_object(part("UserData")), inner))
 
     def named(system: Column) -> Column:
         get = lambda k: F.try_element_at(system, F.lit(k))
         attribute = lambda k, a: F.get_json_object(get(k), f"$['#attributes'].{a}")
-        eid = F.coalesce(F.when(get("EventID").startswith("{"), F.get_json_object(get("EventID"), "$['#text']")), get("EventID"))
+        there = lambda v: F.coalesce(v, F.lit(""))
+        has = F.get_json_object(get("Provider"), "$['#attributes']").isNotNull()
+        provider = F.when(has, attribute("Provider", "Name")).otherwise(F.get_json_object(get("Provider"), "$.Name"))
+        when = F.when(there(get("TimeCreated")).startswith("{"), attribute("TimeCreated", "SystemTime")).otherwise(get("TimeCreated"))
         return F.create_map(*[x for k, v in {
-            "Channel": get("Channel"), "EventID": eid, "Computer": get("Computer"), "Provider_Name": attribute("Provider", "Name"),
-            "TimeCreated": attribute("TimeCreated", "SystemTime"), "UserID": attribute("Security", "UserID"),
+            "Channel": there(get("Channel")), "EventID": _element(get("EventID")), "Computer": there(get("Computer")), "Provider_Name": there(provider),
+            "TimeCreated": there(when), "UserID": F.nullif(attribute("Security", "UserID"), F.lit("")),
         }.items() for x in (F.lit(k), v)])
 
-    return _over(fields, F.map_filter(_let(_object(part("System")), named), lambda k, v: v.isNotNull()))
+    system = F.map_filter(_let(_object(part("System")), named), lambda k, v: v.isNotNull())
+    data = _over(_section(part("EventData"), False), _section(part("UserData"), True))
+    return _let(_over(system, _elements(data)), _without_blanks)
 
 
 def flatten_flat(m: Column) -> Column:
-    """A flat record of a public attack data set: envelope dropped, three fields renamed."""
+    """A flat record of a public attack data set: envelope dropped, the time renamed, and source and host too unless their new names are taken."""
     get = lambda k: F.try_element_at(m, F.lit(k))
-    kept = _without(m, (*ENVELOPE, "SourceName", "Hostname", "@timestamp"))
-    return _put(kept, Provider_Name=F.coalesce(get("Provider_Name"), get("SourceName")), Computer=F.coalesce(get("Computer"), get("Hostname")), TimeCreated=F.coalesce(get("@timestamp"), get("TimeCreated")))
+    taken = lambda old, new: (F.lit(old), F.map_contains_key(m, new))
+    kept = F.map_filter(_without(m, (*ENVELOPE, "@timestamp")), lambda k, v: ~F.coalesce(*[F.when(k == old, ~there) for old, there in (taken("SourceName", "Provider_Name"), taken("Hostname", "Computer"))], F.lit(False)))
+    renamed = lambda old, new: F.when(~F.map_contains_key(m, new), get(old))
+    return _put(kept, Provider_Name=renamed("SourceName", "Provider_Name"), Computer=renamed("Hostname", "Computer"), TimeCreated=get("@timestamp"))
 
 
 def cloudtrail(m: Column) -> Column:
@@ -109,13 +137,13 @@ def _first(keys: Column, values: Column) -> Column:
 
 
 def sysmon_xml(line: Column) -> Column:
-    """Fields of a Sysmon for Linux line; null without an event id. An empty element is an empty text."""
+    """Fields of a Sysmon for Linux line; null without an event id. An empty element is an empty text; data count before the head, and the last of repeated ones."""
     part = lambda p: F.nullif(F.regexp_extract(line, p, 1), F.lit(""))
     found = r'(?s)<Data Name="([^"]+)"(?:\s*/>|>(.*?)</Data>)'
     names, values = (F.regexp_extract_all(line, F.lit(found), F.lit(i)) for i in (1, 2))
-    fields = _first(names, F.transform(values, unescape))
-    eid = part(r"<EventID>(\d+)</EventID>")
-    return F.when(eid.isNotNull(), _put(fields, Channel=F.lit(LINUX_SYSMON), EventID=eid, Computer=part(r"<Computer>(.*?)</Computer>"), TimeCreated=part(r'<TimeCreated SystemTime="([^"]+)"')))
+    fields = _first(F.reverse(names), F.reverse(F.transform(values, unescape)))
+    head = {"Channel": F.lit(LINUX_SYSMON), "EventID": part(r"<EventID>(\d+)</EventID>"), "Provider_Name": F.lit("Linux-Sysmon"), "Computer": part(r"<Computer>(.*?)</Computer>"), "TimeCreated": part(r'<TimeCreated SystemTime="([^"]+)"')}
+    return F.when(head["EventID"].isNotNull(), _over(_put(F.create_map().cast(_MAP), **head), fields))
 
 
 def auditd(line: Column) -> Column:
@@ -127,7 +155,7 @@ def auditd(line: Column) -> Column:
     keys, values = (F.regexp_extract_all(rest, F.lit(pair), F.lit(i)) for i in (1, 2))
     bare = F.transform(values, lambda v: F.when(v.rlike("^\"(?s).*\"$|^'(?s).*'$"), F.substring(v, 2, F.length(v) - 2)).otherwise(v))
     fields = _without(_first(keys, bare), ("type",))
-    return F.when(kind != "", _put(fields, type=kind, Channel=F.lit(AUDITD), EventID=F.lit(0), TimeCreated=when))
+    return F.when(kind != "", _put(fields, type=kind, Channel=F.lit(AUDITD), EventID=F.lit(0), audit_id=when))
 
 
 def _logged(line: Column) -> Column:
@@ -135,14 +163,25 @@ def _logged(line: Column) -> Column:
     return line.rlike(r"<EventID>\d+</EventID>") | F.substring_index(line, "\x1d", 1).rlike(r"(?s)^type=\S+\s+(?:msg=)?audit\([^)]*\)\s*:\s*.*$")
 
 
-def is_event(doc: Column, any_object: bool = True) -> Column:
+def _is_sysmon(message: Column) -> Column:
+    return F.contains(message, F.lit("<Event>")) & F.contains(message, F.lit("Linux-Sysmon"))
+
+
+def syslog(message: Column) -> Column:
+    """The event that a syslog message wraps: Sysmon for Linux, or an auditd record."""
+    return F.when(_is_sysmon(message), sysmon_xml(message)).when(message.startswith("type="), auditd(message))
+
+
+def is_event(doc: Column, any_object: bool | Column = True) -> Column:
     """Whether `normalised` makes an event of a VARIANT, told without building it; or only of CloudTrail's and syslog's."""
 
+    any_object = F.lit(any_object) if isinstance(any_object, bool) else any_object
+
     def known(v: Column) -> Column:
         has = lambda k: F.try_variant_get(v, f"$.{k}", "variant").isNotNull()
         line = F.coalesce(F.try_variant_get(v, "$.SyslogMessage", "string"), F.to_json(F.try_variant_get(v, "$.SyslogMessage", "variant")))
-        trail, wrapped = has("eventSource") & has("eventName"), F.when(has("SyslogMessage"), F.coalesce(_logged(line), F.lit(False)))
-        return F.schema_of_variant(v).startswith("OBJECT") & (trail | F.coalesce(wrapped, F.lit(any_object)))
+        trail, wrapped = has("eventSource") & has("eventName"), (_is_sysmon(line) | line.startswith("type=")) & _logged(line)
+        return F.schema_of_variant(v).startswith("OBJECT") & (any_object | trail | F.coalesce(wrapped, F.lit(False)))
 
     return F.coalesce(_let(doc, known), F.lit(False))
 
@@ -157,7 +196,7 @@ def normalised(doc: Column) -> Column:
         return (
             F.when(m.isNull(), None)
             .when(has("eventSource") & has("eventName"), cloudtrail(m))
-            .when(has("SyslogMessage"), F.coalesce(sysmon_xml(wrapped), auditd(wrapped)))
+            .when(F.coalesce((_is_sysmon(wrapped) | wrapped.startswith("type=")) & _logged(wrapped), F.lit(False)), syslog(wrapped))
             .when(F.coalesce(event.startswith("{"), F.lit(False)), _let(_object(event), flatten_evtx))
             .when(has("Hostname") | has("SourceName") | has("@timestamp"), flatten_flat(m))
             .otherwise(m)
@@ -224,11 +263,12 @@ def _line_records(v: Column) -> Column:
     return F.when(v.startswith("{"), F.coalesce(listed, F.array(v))).otherwise(F.array(v))
 
 
-def _line_event(v: Column) -> tuple[Column, Column]:
-    """Whether a line is an event, and the event: Sysmon XML, auditd, or JSON of CloudTrail or syslog, told by how it starts."""
-    doc = F.try_parse_json(v)
-    there = F.when(v.startswith("{"), is_event(doc, False)).otherwise(v.rlike("^(?:<Event|type=)") & _logged(v))
-    return there, F.when(v.startswith("{"), normalised(F.to_json(doc))).when(v.startswith("<Event"), sysmon_xml(v)).when(v.startswith("type="), auditd(v))
+def _line_event(v: Column, as_json: Column | None = None) -> tuple[Column, Column]:
+    """Whether a line is an event, and the event: Sysmon XML, auditd, or JSON of CloudTrail or syslog, told by how it starts; any JSON object where `as_json`."""
+    doc, any_json = F.try_parse_json(v), F.lit(False) if as_json is None else as_json
+    is_json = any_json | v.startswith("{")
+    there = F.when(is_json, is_event(doc, any_json)).otherwise(v.rlike("^(?:<Event|type=)") & _logged(v))
+    return there, F.when(is_json, normalised(F.to_json(doc))).when(v.startswith("<Event"), sysmon_xml(v)).when(v.startswith("type="), auditd(v))
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
@@ -249,12 +289,8 @@ def read_json_files(spark: SparkSession, paths: str | list[str], glob: str = "*"
     """
     listed = members(spark, paths, glob, skip_broken)
     rows = records(listed, skip_broken).withColumnRenamed("member", "__start")
-    line = F.ltrim("value")
-    there, event = _line_event(line)
-    doc = F.try_parse_json("value")
-    is_json = F.col("kind") == "json"
-    found = numbered(rows, F.when(is_json, is_event(doc)).otherwise(there))
-    return _events(found.withColumn("event", F.when(is_json, normalised(F.to_json(doc))).otherwise(event)))
+    there, event = _line_event(F.ltrim("value"), F.col("kind") == "json")
+    return _events(numbered(rows, there).withColumn("event", event))
 
 
 #: What read_logs takes for lines, and of these for JSON lines.
@@ -266,10 +302,8 @@ def read_logs(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     as_json = F.col("file").rlike(JSON_LINES)
     v = F.ltrim("value")
     pieces = text_lines(spark, paths, f"*.{LINES}").select("file", "__start", F.explode(F.when(as_json, F.array("value")).otherwise(_line_records(v))).alias("value"))
-    (there, event), doc = _line_event(v), F.try_parse_json("value")
-    lines = numbered(pieces, F.when(as_json, is_event(doc)).otherwise(there))
-    lines = lines.withColumn("event", F.when(as_json, normalised(F.to_json(doc))).otherwise(event))
-    return _events(lines).unionByName(read_json_files(spark, paths, "*.{json,json.gz,zip,tar.gz,tgz}"))
+    there, event = _line_event(v, as_json)
+    return _events(numbered(pieces, there).withColumn("event", event)).unionByName(read_json_files(spark, paths, "*.{json,json.gz,zip,tar.gz,tgz}"))
 
 
 def write_jsonl(events: DataFrame, path: str, gzipped: bool = True, rows: int = 0) -> int:

@@ -15,7 +15,7 @@ from sparkwatch.sources.rules import load_rule_dir, load_rules, skipped
 EVTX = {"Event": {"System": {"Provider": {"#attributes": {"Name": "P"}}, "EventID": {"#text": 1}, "Channel": "Security", "Computer": "h", "TimeCreated": {"#attributes": {"SystemTime": "t"}}}, "EventData": {"Image": "a.exe", "#attributes": {"x": 1}}}}
 USER = {"Event": {"System": {"EventID": 7, "Channel": "C"}, "UserData": {"One": {"Param": "v"}}}}
 FLAT = {"SourceName": "S", "Hostname": "H", "EventID": "4688", "Channel": "Security", "Message": "m", "NewProcessName": "n.exe", "@timestamp": "t"}
-XML = '<Event><System><EventID>1</EventID><Computer>box</Computer></System><EventData><Data Name="Image">/bin/a &amp; b</Data><Data Name="ParentImage"/></EventData></Event>'
+XML = '<Event><System><Provider Name="Linux-Sysmon"/><EventID>1</EventID><Computer>box</Computer></System><EventData><Data Name="Image">/bin/a &amp; b</Data><Data Name="ParentImage"/></EventData></Event>'
 AUDIT = "type=EXECVE msg=audit(1700000000.123:42): argc=2 a0=\"cat\" a1='x y' a0=late\x1dUID=root"
 TRAIL = {"eventSource": "s3", "eventName": "Get", "requestParameters": {"userName": "u"}, "@timestamp": "t"}
 
@@ -37,7 +37,7 @@ def test_json_lines(spark, tmp_path):
 
 
 def test_text_logs(spark, tmp_path):
-    (tmp_path / "a.log").write_text("\n".join([XML, AUDIT, json.dumps(TRAIL), json.dumps({"Records": [TRAIL, TRAIL]}), json.dumps({"SyslogMessage": XML}), json.dumps({"other": 1}), "prose"]))
+    (tmp_path / "a.log").write_text("\n".join([XML, AUDIT, json.dumps(TRAIL), json.dumps({"Records": [TRAIL, TRAIL]}), json.dumps({"SyslogMessage": XML}), json.dumps({"SyslogMessage": XML.replace("Linux-Sysmon", "Other")}), json.dumps({"other": 1}), "prose"]))
     got = events(logs.read_text_logs(spark, str(tmp_path / "a.log")))
     assert len(got) == 6
     xml = next(e for e in got if e.get("Computer") == "box")
@@ -47,6 +47,32 @@ def test_text_logs(spark, tmp_path):
     assert sum(e["Channel"] == "aws-cloudtrail" for e in got) == 3
 
 
+FORMS = [
+    ({"Event": {"System": {"Provider": {"Name": "flat"}, "EventID": "7", "TimeCreated": "2020"}, "EventData": {"Computer": "own", "New Value": "v", "a": {"#text": "t", "#attributes": {}}, "b": {"#attributes": {"x": 1}}, "Data": ["x", {"#text": "y"}]}, "UserData": {"Cleared": {"Channel": "System", "#attributes": {}}}}},
+     {"Provider_Name": "flat", "EventID": "7", "TimeCreated": "2020", "Computer": "own", "New Value": "v", "NewValue": "v", "a": "t", "b": None, "Data": '["x","y"]', "Channel": "System"}),
+    ({"Event": {"System": {"Channel": "c", "Security": {"#attributes": {"UserID": "S-1"}}}, "EventData": "plain", "UserData": {"p": 1, "q": {"r": 2}}}},
+     {"Channel": "c", "UserID": "S-1", "Data": "plain", "p": "1", "q": '{"r":2}', "Computer": "", "Provider_Name": "", "TimeCreated": ""}),
+    ({"Event": {"EventData": {"a b": "x", "ab": "y", "s": "{ not json"}}}, {"a b": "x", "ab": "y", "s": "{ not json", "Channel": "", "Computer": "", "Provider_Name": "", "TimeCreated": ""}),
+    ({"Event": {"EventData": None, "UserData": ""}}, {"Channel": "", "Computer": "", "Provider_Name": "", "TimeCreated": ""}),
+    ({"SourceName": "s", "Provider_Name": "p", "Hostname": "h", "Computer": "c", "@timestamp": "t", "TimeCreated": "u", "Message": "m"}, {"SourceName": "s", "Provider_Name": "p", "Hostname": "h", "Computer": "c", "TimeCreated": "t"}),
+    ({"SourceName": "s", "Hostname": "h", "x": None}, {"Provider_Name": "s", "Computer": "h", "x": None}),
+    ({"SyslogMessage": "nothing", "a": 1}, {"SyslogMessage": "nothing", "a": "1"}),
+    ({"SyslogMessage": " type=EXECVE msg=audit(1.2:3): a0=x"}, {"SyslogMessage": " type=EXECVE msg=audit(1.2:3): a0=x"}),
+    ({"SyslogMessage": "type=EXECVE msg=audit(1.2:3): a0=x a0=y type=z"}, {"Channel": "linux-auditd", "EventID": "0", "type": "EXECVE", "audit_id": "1.2:3", "a0": "x"}),
+    ({"SyslogMessage": '<Event><EventID>3</EventID><Provider Name="Linux-Sysmon"/><Computer>h</Computer><Data Name="Computer">d</Data><Data Name="x">1</Data><Data Name="x">2</Data></Event>'},
+     {"Channel": "linux-sysmon/operational", "EventID": "3", "Provider_Name": "Linux-Sysmon", "Computer": "d", "x": "2"}),
+]
+
+
+def test_forms_of_events(spark):
+    """Sections that override, wrap or are texts; elements with attributes; names with blanks; taken names; messages that wrap no event."""
+    df = spark.createDataFrame([(i, json.dumps(doc)) for i, (doc, _) in enumerate(FORMS)], "i int, doc string")
+    as_line = logs.is_event(F.try_parse_json("doc"), any_object=False).alias("line")
+    got = df.select(logs.normalised(F.col("doc")).alias("m"), logs.is_event(F.try_parse_json("doc")).alias("any"), as_line).orderBy("i").collect()
+    assert [r.m for r in got] == [want for _, want in FORMS]
+    assert all(r.any for r in got) and [r.line for r in got] == [False] * 8 + [True] * 2
+
+
 def test_archives_and_concatenated_json(spark, tmp_path):
     (tmp_path / "m.json").write_text('{"a":1}\n{"a":2}{"a":3} [{"a":4},{"a":5}]')
     with zipfile.ZipFile(tmp_path / "z.zip", "w") as z:
