@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+if TYPE_CHECKING:
+    from pyspark.ml.util import JavaMLWritable
+
 #: Rows of ids or pairs (under 64 MB once hashed) up to which one side of a join is broadcast.
 BROADCAST_ROWS = 1_000_000
 
@@ -41,6 +45,13 @@ class Scratch:
         self._paths.append((path, last))
         return self._spark.read.schema(df.schema).parquet(path)
 
+    def model(self, fitted: JavaMLWritable, name: str) -> JavaMLWritable:
+        """A fitted model as read back, without the summary of its training: that holds the session, which can't be sent to tasks any more once it has observed a query."""
+        path = f"{self._dir}/step-{len(self._paths)}-{name}"
+        fitted.write().save(path)
+        self._paths.append((path, False))
+        return type(fitted).load(path)
+
     def drop(self) -> None:
         conf = self._spark.sparkContext._jsc.hadoopConfiguration()
         for path, last in self._paths:
@@ -58,7 +69,7 @@ def small(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
 def before(parts: DataFrame, part: str, *sums: str) -> DataFrame:
     """part and, for each of `sums`, its total over all smaller parts. parts holds one row for each partition or file, and is added up on the driver."""
     rows = sorted(parts.select(part, *sums).collect())
-    out, totals = [], [0] * len(sums)
+    out, totals = [], [type(v)() for v in rows[0][1:]] if rows else []
     for p, *values in rows:
         out.append((p, *totals))
         totals = [t + v for t, v in zip(totals, values, strict=True)]

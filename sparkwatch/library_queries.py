@@ -393,7 +393,8 @@ def rank_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
 def noise_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled documents in the place of rules: models of low quality from counts, by stratified held-out folds, beside plain signs and chance."""
     text = F.coalesce("text", F.lit(""))
-    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("label")), "doc_id").filter("label is not null")
     counts = {"level": F.length(text), "hunting": F.regexp_count(text, F.lit(r"[0-9]")), "n_filters": F.regexp_count(text, F.lit(r"\n")), "marks": F.regexp_count(text, F.lit(r"[^\w\s]"))}
-    rows = docs.select(F.col("doc_id").cast("string").alias("rule_id"), "label", *[v.cast("double").alias(k) for k, v in counts.items()])
+    docs = materialize(table(spark, sf_dir, "documents").select("doc_id", *[v.cast("double").alias(k) for k, v in counts.items()]), "counts")
+    labels = table(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("label")).filter("label is not null")
+    rows = docs.join(labels, "doc_id").select(F.col("doc_id").cast("string").alias("rule_id"), "label", *counts)
     return features.cross_validate(rows, list(counts), folds=2, rounds=5)

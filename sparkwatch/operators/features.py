@@ -5,11 +5,11 @@ from __future__ import annotations
 import re
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.literals import ENCODING
-from ..functions.stored import Scratch
+from ..functions.stored import Scratch, numbered, small
 from ..model import Rule
 from ..plans.compile import walk
 
@@ -85,8 +85,6 @@ def stratified(table: DataFrame, label: str, folds: int, seed: int) -> DataFrame
 
     Within a label rows are ordered by a hash of rule_id and the seed, over ranges.
     """
-    from ..functions.stored import numbered
-
     y = F.when(F.col(label).cast("double") > 0, 1.0).otherwise(0.0)
     dealt = numbered(table.withColumn("__y", y).withColumn("__order", F.xxhash64("rule_id", F.lit(seed))), "__y", "__order", name="__place").drop("__order")
     sizes = {r["__y"]: r["n"] for r in dealt.groupBy("__y").agg(F.count("*").alias("n")).collect()}
@@ -112,7 +110,8 @@ def held_out(table: DataFrame, names: list[str], label: str = "label", folds: in
         ready = Pipeline(stages=[assemble, scale]).fit(rest)
         shown, asked = ready.transform(rest), ready.transform(part)
         for name, model in _models(seed, rounds).items():
-            scored = model.fit(shown).transform(asked)
+            fitted = model.fit(shown)
+            scored = (scratch.model(fitted, f"{name}-{k}-model") if getattr(fitted, "hasSummary", False) else fitted).transform(asked)
             parts.append(scratch.write(scored.select(F.lit(name).alias("model"), "rule_id", F.col("__y").alias("y"), vector_to_array("probability")[1].alias("score")), f"{name}-{k}"))
     known = set(table.columns)
     plain = {n: h() for n, h in HEURISTICS.items() if {"level"} | ({"hunting"} if n.endswith("hunting") else {"n_filters"} if n.endswith("filter") else set()) <= known}
@@ -125,28 +124,41 @@ def held_out(table: DataFrame, names: list[str], label: str = "label", folds: in
     return scratch.write(every, "held-out", last=True)
 
 
-def areas(scored: DataFrame, by: list[str], weight: str | None = None) -> DataFrame:
-    """by, roc_auc, pr_auc of weighted rows (by, y, score): the area under the ROC curve with ties halved, and the average precision with tied rows taken together. Null with one label only."""
+def _ranked(scored: DataFrame, by: list[str], weight: str | None = None) -> DataFrame:
+    """by, score, pos, neg, tp, fp, p, n: of each group of equal scores the (weighted) rows of either label, those that score as high or higher, and all that `by` has.
+
+    Running sums go over ranges of (by, score): however few values `by` has, no task sees all rows of one.
+    """
     w = F.col(weight) if weight else F.lit(1)
     groups = scored.groupBy(*by, "score").agg(F.sum(F.when(F.col("y") > 0, w).otherwise(0)).cast("double").alias("pos"), F.sum(F.when(F.col("y") > 0, 0).otherwise(w)).cast("double").alias("neg"))
-    down = Window.partitionBy(*by).orderBy(F.desc("score"))
-    above = down.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = groups.withColumns({"tp": F.sum("pos").over(above), "fp": F.sum("neg").over(above)})
-    out = ranked.groupBy(*by).agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"), F.sum(F.col("pos") * (F.col("fp") - F.col("neg") / 2)).alias("lost"), F.sum(F.when(F.col("pos") > 0, F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))).otherwise(0.0)).alias("kept"))
-    both = (F.col("p") > 0) & (F.col("n") > 0)
-    return out.select(*by, F.when(both, 1 - F.col("lost") / (F.col("p") * F.col("n"))).alias("roc_auc"), F.when(both, F.col("kept") / F.col("p")).alias("pr_auc"))
+    placed = numbered(groups, *by, F.desc("score"), sums={"pos": "tp", "neg": "fp"})
+    totals = placed.groupBy(*by).agg(F.min("tp").alias("__tp"), F.min("fp").alias("__fp"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    own = placed.join(small(totals, totals.count()), by)
+    return own.withColumns({"tp": F.col("tp") - F.col("__tp") + F.col("pos"), "fp": F.col("fp") - F.col("__fp") + F.col("neg")}).drop("position", "__tp", "__fp")
+
+
+def _areas() -> list[Column]:
+    """Both areas of a `_ranked` group."""
+    p, n = F.max("p"), F.max("n")
+    lost = F.sum(F.col("pos") * (F.col("fp") - F.col("neg") / 2))
+    kept = F.sum(F.when(F.col("pos") > 0, F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))).otherwise(0.0))
+    both = (p > 0) & (n > 0)
+    return [F.when(both, 1 - lost / (p * n)).alias("roc_auc"), F.when(both, kept / p).alias("pr_auc")]
+
+
+def areas(scored: DataFrame, by: list[str], weight: str | None = None) -> DataFrame:
+    """by, roc_auc, pr_auc of weighted rows (by, y, score): the area under the ROC curve with ties halved, and the average precision with tied rows taken together. Null with one label only."""
+    return _ranked(scored, by, weight).groupBy(*by).agg(*_areas())
 
 
 def metrics(scored: DataFrame, share: float = 0.1) -> DataFrame:
     """model, rows, positives, roc_auc, pr_auc, precision_at_k (k: as many as there are positives) and recall_at_share of held-out scores, ties broken at random in expectation."""
-    counts = scored.groupBy("model").agg(F.count("*").alias("rows"), F.sum("y").cast("long").alias("positives"))
-    groups = scored.groupBy("model", "score").agg(F.count("*").alias("size"), F.sum("y").alias("hits"))
-    higher = F.coalesce(F.sum("size").over(Window.partitionBy("model").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = groups.withColumn("before", higher).join(counts, "model")
-    top = lambda k: F.sum(F.col("hits") * F.greatest(F.lit(0), F.least(F.col("size"), k - F.col("before"))) / F.col("size"))
-    k, few = F.greatest(F.lit(1), F.col("positives")), F.greatest(F.lit(1), F.floor(F.col("rows") * share))
-    tops = ranked.groupBy("model", "rows", "positives").agg((top(k) / F.max(k)).alias("precision_at_k"), (top(few) / F.greatest(F.lit(1), F.max("positives"))).alias("recall_at_share"))
-    return tops.join(areas(scored, ["model"]), "model").select("model", "rows", "positives", "roc_auc", "pr_auc", "precision_at_k", "recall_at_share")
+    size, before = F.col("pos") + F.col("neg"), F.col("tp") + F.col("fp") - F.col("pos") - F.col("neg")
+    top = lambda k: F.sum(F.col("pos") * F.greatest(F.lit(0), F.least(size, k - before)) / size)
+    k, few = F.greatest(F.lit(1), F.col("p")), F.greatest(F.lit(1), F.floor((F.col("p") + F.col("n")) * share))
+    counts = [(F.max("p") + F.max("n")).cast("long").alias("rows"), F.max("p").cast("long").alias("positives")]
+    tops = [(top(k) / F.max(k)).alias("precision_at_k"), (top(few) / F.greatest(F.lit(1), F.max("p"))).alias("recall_at_share")]
+    return _ranked(scored, ["model"]).groupBy("model").agg(*counts, *_areas(), *tops)
 
 
 def cross_validate(table: DataFrame, names: list[str], label: str = "label", folds: int = 5, seed: int = 7, rounds: int = 20) -> DataFrame:
@@ -174,8 +186,6 @@ def bootstrap_areas(scored: DataFrame, reference: str = "heuristic_level", draws
     Rules are drawn with replacement, the same ones for all models of a draw; draws of one label only don't count. Each
     rule's number of times in a draw is its weight. A draw of a model is one group of as many rows as there are rules.
     """
-    from ..functions.stored import numbered
-
     rules = numbered(scored.select("rule_id").distinct(), "rule_id", name="at")
     n = rules.count()
     spark = scored.sparkSession

@@ -5,6 +5,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from sparkwatch.functions import stats
@@ -248,6 +249,33 @@ def test_features_and_cross_validation(spark):
     assert got["logistic"].rows == 60 and got["logistic"].positives == 30 and abs(got["heuristic_level"].recall_at_share - 0.2) < 1e-12
 
 
+def test_models_score_in_a_session_that_has_observed_a_query(spark):
+    spark.range(3).observe(Observation(), F.count("*").alias("n")).collect()
+    rows = [(f"r{i}", float(i % 3 == 0), float(i % 3 == 0) + (i * 7919 % 13) / 30) for i in range(60)]
+    scored = features.held_out(spark.createDataFrame(rows, "rule_id string, label double, sign double"), ["sign"], folds=2, rounds=2)
+    assert {r.model: r["count"] for r in scored.groupBy("model").count().collect()} == {"logistic": 60, "boosted": 60, "random": 60}
+    assert features.areas(scored.filter("model = 'logistic'"), ["model"]).first().roc_auc > 0.95
+
+
+def test_metrics_by_brute_force_without_a_window_over_a_models_rows(spark):
+    rng = random.Random(5)
+    rows = [(m, f"r{i}", float(rng.random() < p), float(rng.randint(0, most))) for m, p, most in (("a", 0.3, 6), ("b", 0.02, 4), ("c", 0.5, 10**6), ("none", 0.0, 3)) for i in range(90)]
+    scored = spark.createDataFrame(rows, "model string, rule_id string, y double, score double")
+    for r in (told := features.metrics(scored)).collect():
+        own = [(y, s) for m, _, y, s in rows if m == r.model]
+        positives = int(sum(y for y, _ in own))
+
+        def expected(k, own=own):
+            at = [(sum(y for y, t in own if t == s), sum(t == s for _, t in own), sum(t > s for _, t in own)) for s in {s for _, s in own}]
+            return sum(hits * max(0, min(size, k - higher)) / size for hits, size, higher in at)
+
+        assert (r.rows, r.positives) == (90, positives) and (r.roc_auc is None) == (positives == 0)
+        assert math.isclose(r.precision_at_k, expected(max(1, positives)) / max(1, positives)) and math.isclose(r.recall_at_share, expected(9) / max(1, positives))
+    for df in (told, features.areas(scored, ["model"])):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window" in plan and all("[__part#" in line for line in plan.splitlines() if "Window [" in line)
+
+
 def test_areas_and_bootstrap_by_brute_force(spark):
     rng = random.Random(3)
     rows = [(m, f"r{i}", float(i % 3 == 0), float(rng.randint(0, 6) + (2 if m == "a" and i % 3 == 0 else 0))) for i in range(40) for m in ("a", "heuristic_level")]
